@@ -93,3 +93,34 @@ def scan(texts: list[bytes | None], lower: bool = True) -> Words:
         return Words(data, z, z, z, np.zeros(0, np.uint64))
     start, end, h = (np.concatenate([f[k] for f in found]) for k in range(3))
     return Words(data, np.searchsorted(begins, start, "right") - 1, start, end, h)
+
+
+class WordMemo:
+    """Rows of numbers by word hash, kept per worker for recent words; bounded, and never a change of results."""
+
+    def __init__(self, width: int, most: int = 300_000):
+        self.width, self.most = width, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.rows = np.zeros(0, np.uint64), np.zeros((0, self.width), np.float32)
+
+    def lookup(self, words: Words, compute) -> tuple[np.ndarray, np.ndarray]:
+        """Per word its place in a table of rows, and the table. ``compute(list of bytes)`` makes new rows."""
+        unique, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        if not len(unique):
+            return inverse, np.zeros((0, self.width), np.float32)
+        at = np.searchsorted(self.known, unique)
+        at[at == len(self.known)] = 0
+        hit = self.known[at] == unique if len(self.known) else np.zeros(len(unique), bool)
+        table = np.empty((len(unique), self.width), np.float32)
+        table[hit] = self.rows[at[hit]]
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            table[miss] = compute([words.text(i) for i in first[miss]])
+            if len(self.known) + len(miss) > self.most:
+                self.clear()
+            known = np.concatenate([self.known, unique[miss][: self.most]])
+            order = np.argsort(known, kind="stable")
+            self.known, self.rows = known[order], np.concatenate([self.rows, table[miss][: self.most]])[order]
+        return inverse, table
