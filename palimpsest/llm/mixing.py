@@ -54,16 +54,14 @@ def budgets(leaves: DataFrame, depth: int, weights: dict[tuple[str, ...], float]
         else:
             children = children.withColumn("one", F.lit(1)).join(level.withColumn("one", F.lit(1)), "one").drop("one")
         # Fill in the order of room per weight: a child is full if the rest of the budget would give it more than its room.
-        fill = Window.partitionBy(*node).orderBy((F.col("room") / F.col("w")).asc(), names[i]) if node else Window.partitionBy(F.lit(1)).orderBy((F.col("room") / F.col("w")).asc(), names[i])
+        every = Window.partitionBy(*node) if node else Window.partitionBy(F.lit(1))
+        fill = every.orderBy((F.col("room") / F.col("w")).asc(), names[i])
         before = fill.rowsBetween(Window.unboundedPreceding, -1)
         after = fill.rowsBetween(0, Window.unboundedFollowing)
         rate = (F.col("give") - F.coalesce(F.sum("room").over(before), F.lit(0.0))) / F.sum("w").over(after)
         children = children.filter("w > 0").withColumn("rate", rate)
-        children = children.withColumn("full", F.col("room") <= F.col("w") * F.col("rate"))
-        every = Window.partitionBy(*node) if node else Window.partitionBy(F.lit(1))
-        last = F.min(F.when(~F.col("full"), F.col("rate"))).over(every)
-        children = children.withColumn("last", last)
-        children = children.withColumn("share", F.when(F.col("full"), F.col("room")).otherwise(F.least("room", F.col("w") * F.col("last"))))
+        # The rate rises over full children and falls after the first that is not, whose rate is right for all.
+        children = children.withColumn("share", F.least("room", F.col("w") * F.max("rate").over(every)))
         level = children.select(*own, F.col("share").alias("give"))
         node = own
     return leaves.join(level, names).select(*names, "supply", F.floor("give").cast("long").alias("budget"))
