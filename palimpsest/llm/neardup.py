@@ -255,3 +255,12 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     of_a, of_b = comps.toDF("a", "ca"), comps.toDF("b", "cb")
     joined = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
     return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def deduplicated(docs: DataFrame, width: int = 5, threshold: str = "0.8", scratch: Scratch | None = None) -> DataFrame:
+    """One row of ``docs`` per group, with its columns: that with the smallest doc_id. Rows with a null doc_id stay."""
+    found = near_duplicates(docs, width, threshold, scratch)
+    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.filter("doc_id is not null").withColumn("__key", F.col("doc_id").cast("long"))
+    first = named.join(kept, F.col("__key") == F.col("__id"), "left_semi").dropDuplicates(["__key"])
+    return first.select(docs.columns).union(docs.filter("doc_id is null"))

@@ -190,26 +190,41 @@ def _estimate(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(fit.join(factor, ["gl", "gs"]))
 
 
-def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept."""
-    scratch = scratch or Scratch(docs.sparkSession, "quality")
-    s = docs.select("doc_id", "lang", "source", statistics(F.col("text")).alias("s"))
-    s = s.select("doc_id", "lang", "source", "s.*", base_failed(F.col("s")).alias("base_failed"))
-    return judge_statistics(scratch.cut(s), scratch)
+def _stats(docs: DataFrame, *extra: Column) -> DataFrame:
+    s = docs.select(*extra, "lang", "source", statistics(F.col("text")).alias("__s"))
+    return s.withColumn("base_failed", base_failed(F.col("__s")))
 
 
-def judge_statistics(stats: DataFrame, scratch: Scratch) -> DataFrame:
-    """The verdict over a written table of statistics; extra columns pass through."""
-    every = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").alias("__s")
-    rows = stats.select("*", every).filter(~F.col("base_failed"))
-    vectors = rows.select("*", *[v.alias(k) for k, v in vector(F.col("__s")).items()]).drop("__s")
+def estimates(stats: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The group of every (lang, source), and the estimate of every group, from a written table of statistics."""
+    rows = stats.filter(~F.col("base_failed"))
     groups = scratch.cut(_groups(rows.select("lang", "source")))
-    inner = _grouped(vectors.select("lang", "source", *_NAMES), groups, "inner").select("gl", "gs", *_NAMES)
-    fit = _estimate(inner, scratch)
+    vectors = rows.select("lang", "source", *[v.alias(k) for k, v in vector(F.col("__s")).items()])
+    return groups, _estimate(_grouped(vectors, groups, "inner").select("gl", "gs", *_NAMES), scratch)
+
+
+def verdicts(stats: DataFrame, groups: DataFrame, fit: DataFrame) -> DataFrame:
+    """``stats`` with ``distance`` (null where the limits fail or no estimate judges) and ``kept``."""
+    safe = {k: F.when(~F.col("base_failed"), v) for k, v in vector(F.col("__s")).items()}
+    rows = _grouped(stats.select("*", *[v.alias(k) for k, v in safe.items()]), groups, "left")
     factor = fit.select(F.col("gl").alias("__gl"), F.col("gs").alias("__gs"), "factor")
-    judged = _distances(_grouped(vectors, groups, "left"), fit.drop("factor"))
+    judged = _distances(rows, fit.drop("factor"))
     judged = judged.join(factor, (F.col("gl") == F.col("__gl")) & (F.col("gs") == F.col("__gs")), "left")
-    judged = judged.withColumn("distance", F.sqrt(F.col("d2") / F.col("factor")))
-    judged = judged.withColumn("kept", F.coalesce(F.col("d2") / F.col("factor") <= CUTOFF, F.lit(True)))
-    failed = stats.filter("base_failed").withColumn("distance", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
-    return judged.select(failed.columns).union(failed)
+    far = F.coalesce(F.col("d2") / F.col("factor") > CUTOFF, F.lit(False))
+    return judged.select(*stats.columns, F.sqrt(F.col("d2") / F.col("factor")).alias("distance"), (~F.col("base_failed") & ~far).alias("kept"))
+
+
+def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance: a row per row of ``docs``."""
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
+    stats = scratch.cut(_stats(docs, F.col("doc_id")))
+    groups, fit = estimates(stats, scratch)
+    return verdicts(stats, groups, fit).select("doc_id", "__s.*", "base_failed", "kept", "distance")
+
+
+def accepted(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns. Statistics are computed twice, so that no text is written or shuffled."""
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
+    groups, fit = estimates(scratch.cut(_stats(docs)), scratch)
+    rows = _stats(docs, F.struct("*").alias("__row"))
+    return verdicts(rows, groups, fit).filter("kept").select("__row.*")
