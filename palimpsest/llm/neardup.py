@@ -225,24 +225,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", scr
     labelled = scratch.cut(long.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
     sizes = labelled.groupBy("value", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"))
-    main = scratch.cut(main.filter("m > top.c").select("value", F.col("top.comp").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    open_lists = labelled.join(main, "value")
-    outer = open_lists.filter("comp != main")
-    looks = outer.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("id", "value").alias("h"), "value"))), 1, LOOKS).alias("l"))
-    looks = looks.select("id", F.explode("l.value").alias("value"))
-    s = outer.join(looks, ["id", "value"]).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).alias("s")
-    r = open_lists.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).alias("r")
-    ok = _promising(F.col("s.sketch"), F.col("r.sketch"), F.col("s.n"), F.col("r.n"), t)
-    late = s.join(r, (F.col("s.value") == F.col("r.value")) & (F.col("s.block") == F.col("r.block")) & (F.col("s.comp") != F.col("r.comp")) & ok)
-    late = late.select(F.least("s.id", "r.id").alias("a"), F.greatest("s.id", "r.id").alias("b")).distinct()
-    late = scratch.cut(late.join(pairs, ["a", "b"], "left_anti"))
-    if late.limit(1).count():
-        wanted = late.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        late_sets = scratch.cut(full_sets(docs.join(wanted, "doc_id", "left_semi"), width))
-        last = scratch.cut(_verified(late, late_sets, t))
-        early_comps, comps = comps, components(links_so_far.union(last), scratch)
-        scratch.drop(late_sets, last, early_comps)
-    scratch.drop(listed, pairs, links, more, labelled, main, late)
+    main = main.filter("m > top.c").select("value", F.col("top.comp").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("rs"))
+    open_lists = scratch.cut(labelled.select("id", "value", "comp").join(scratch.cut(main), "value"))
+    if open_lists.limit(1).count():
+        found_late, late_sets = _late_links(open_lists, docs, width, t, scratch)
+        early_comps, comps = comps, components(links_so_far.union(found_late), scratch)
+        scratch.drop(found_late, late_sets, early_comps)
+    scratch.drop(listed, pairs, links, more, labelled, open_lists)
 
     ided = members.select("doc_id", "n", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     ided = ided.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
@@ -250,6 +239,61 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", scr
     return ided.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _late_links(open_lists: DataFrame, docs: DataFrame, width: int, t: Fraction, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links between members of a long list outside its largest component and its other members.
+
+    Both sides are dealt into blocks of about ``BLOCK`` texts; full sets of two blocks meet in one task, which returns only links.
+    """
+    wanted = open_lists.select(F.col("id").alias("doc_id")).distinct()
+    sets = scratch.cut(full_sets(docs.join(wanted, "doc_id", "left_semi"), width))
+    outer = open_lists.filter("comp != main")
+    # All members prefer the same lists, so that few lists are dealt.
+    order = F.struct(F.xxhash64("value").alias("h"), "value")
+    looks = outer.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, LOOKS).alias("l"))
+    looks = looks.select("id", F.explode("l.value").alias("value"))
+    seekers = scratch.cut(outer.join(looks, ["id", "value"]))
+    dealt = scratch.cut(seekers.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ss")))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    s = seekers.join(dealt, "value").select("id", "comp", "value", own("ss").alias("sb"), every("rs").alias("rb"), F.lit(True).alias("seeks"))
+    r = open_lists.join(dealt, "value").select("id", "comp", "value", every("ss").alias("sb"), own("rs").alias("rb"), F.lit(False).alias("seeks"))
+    rows = s.union(r).join(sets, "id")
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, comp, seeks = (table[c].to_numpy() for c in ("id", "comp", "seeks"))
+        held = [np.frombuffer(x, np.uint64) for x in table["all"].to_pylist()]
+        size = np.array([len(x) for x in held], np.int64)
+        row, value = np.repeat(np.arange(len(held)), size), np.concatenate(held)
+        _, column, often = np.unique(value, return_inverse=True, return_counts=True)
+        place = np.cumsum(often > 1) - 1
+        used = often[column] > 1
+        row, column = row[used], place[column[used]]
+        a, b = np.flatnonzero(seeks), np.flatnonzero(~seeks)
+        to_a, to_b = np.full(len(held), -1), np.full(len(held), -1)
+        to_a[a], to_b[b] = np.arange(len(a)), np.arange(len(b))
+        shared = np.zeros((len(a), len(b)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for lo in range(0, int(place[-1]) + 1, 4096):
+            i, j = np.searchsorted(column, [lo, lo + 4096])
+            x, y = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+            rr, cc = row[i:j], column[i:j] - lo
+            left = seeks[rr]
+            x[to_a[rr[left]], cc[left]] = 1
+            y[to_b[rr[~left]], cc[~left]] = 1
+            shared += x @ y.T
+        n = np.rint(shared).astype(np.int64)
+        total = size[a][:, None] + size[b][None, :] - n
+        good = (n > 0) & (n * t.denominator >= total * t.numerator) & (comp[a][:, None] != comp[b][None, :])
+        i, j = np.nonzero(good)
+        # One link into a component is enough: its members are linked already.
+        edges = {(int(ids[a[x]]), int(comp[b[y]])): int(ids[b[y]]) for x, y in zip(i, j)}
+        first = [k[0] for k in edges]
+        return pa.table({"a": pa.array(first, pa.int64()), "b": pa.array(list(edges.values()), pa.int64())})
+
+    return scratch.cut(rows.groupBy("value", "sb", "rb").applyInArrow(meet, "a long, b long")), sets
+
+
 def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components so far."""
     of_a, of_b = comps.toDF("a", "ca"), comps.toDF("b", "cb")
