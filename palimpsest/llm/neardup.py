@@ -190,7 +190,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", scr
     private = held - F.size("v")
     room = F.greatest(F.lit(0), held - sure + 1 - private).cast("int")
     listed = listed.select("id", "n", "sketch", private.alias("private"), F.explode(F.slice("v", F.lit(1), room)).alias("v"))
-    listed = scratch.cut(listed.select("id", "n", "sketch", "private", "v.value", "v.df"))
+    # Estimates need only the order and equality of retained values: their upper 31 bits.
+    short_sketch = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch")
+    listed = scratch.cut(listed.select("id", "n", short_sketch, "private", "v.value", "v.df"))
 
     # Short lists give all their pairs.
     short = listed.filter(F.col("df") <= SHORT)
