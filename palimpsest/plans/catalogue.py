@@ -1,11 +1,356 @@
-"""Queries of the engine and their SQL."""
+"""Queries of the engine over logs derived from ``events``, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.operators import ancestry, diagnostics, overlay, replay, retention, visibility
+from palimpsest.sources import derived as d
+
+BOUNDARY, FLOOR, PINS = 3000, 4900, [100, 1500]
+OBSERVERS = {"main": ("main", None), "main@100": ("main", 100), "A": ("A", None), "A@20": ("A", 20), "C": ("C", None), "C@80": ("C", 80)}
+
+_MAIN = "main_log AS (SELECT 'main' AS history, event_id + 1 AS commit_seq, user_id AS k, event_type = 'error' AS is_delete, value AS v FROM events)"
+_TREE = """tree_log AS (SELECT history, k, is_delete, v, row_number() OVER (PARTITION BY history ORDER BY event_id) AS commit_seq
+  FROM (SELECT CASE event_id % 4 WHEN 2 THEN 'A' WHEN 3 THEN 'C' ELSE 'main' END AS history, user_id AS k, event_id, event_type = 'error' AS is_delete, value AS v FROM events) z)"""
+_TOPO = "topo(history, parent, base, depth) AS (VALUES ('main', NULL, 0, 0), ('A', 'main', 1500, 1), ('C', 'A', 60, 2))"
+_ROOTS = "roots(root, protected, boundary, state) AS (VALUES " + ", ".join(f"('{a}', '{b}', CAST({c} AS BIGINT), '{s}')" for a, b, c, s in d.ROOTS) + ")"
+_FLOORS = "floors(history, floor) AS (VALUES " + ", ".join(f"('{h}', CAST({f} AS BIGINT))" for h, f in d.FLOORS) + ")"
+_WAL = """wal AS (SELECT txn, type, k, v, row_number() OVER (ORDER BY txn, phase, event_id) AS lsn FROM (
+  SELECT event_id // 5 AS txn, 0 AS phase, min(event_id) AS event_id, 'Begin' AS type, CAST(NULL AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS v FROM events GROUP BY 1
+  UNION ALL SELECT event_id // 5, 1, event_id, CASE WHEN event_type = 'error' THEN 'Delete' ELSE 'Put' END, user_id, CASE WHEN event_type <> 'error' THEN value END FROM events
+  UNION ALL SELECT event_id // 5, 2, max(event_id), CASE WHEN (event_id // 5) % 10 <= 6 THEN 'Commit' ELSE 'Abort' END, NULL, NULL FROM events
+            WHERE (event_id // 5) % 10 <= 7 GROUP BY event_id // 5, CASE WHEN (event_id // 5) % 10 <= 6 THEN 'Commit' ELSE 'Abort' END) u)"""
+_JOURNAL = """journal AS (SELECT (event_id // 3) * 2 + 1 AS event_seq, event_id // 3 AS id, 'Create' AS event, 's' || (event_id // 3) AS name, event_id + 1 AS sequence FROM events WHERE event_id % 3 = 0
+  UNION ALL SELECT (event_id // 3) * 2 + 2, event_id // 3, 'Delete', '', 0 FROM events WHERE event_id % 3 = 0 AND event_type IN ('error', 'view'))"""
+
+
+def _top(log: str, where: str = "true", order: str = "commit_seq DESC", part: str = "k") -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS rn FROM {log} WHERE {where}) WHERE rn = 1)"
+
+
+def _branch(chain: list[tuple[str, int | None, int]]) -> str:
+    parts = [f"SELECT *, {depth} AS depth FROM tree_log WHERE history = '{h}'" + (f" AND commit_seq <= {b}" if b is not None else "") for h, b, depth in chain]
+    return _top("(" + " UNION ALL ".join(parts) + ")", order="depth, commit_seq DESC")
+
+
+def _chain(name: str, boundary: int | None = None) -> list[tuple[str, int | None, int]]:
+    return {"main": [("main", boundary, 0)], "A": [("A", boundary, 0), ("main", 1500, 1)], "C": [("C", boundary, 0), ("A", 60, 1), ("main", 1500, 2)]}[name]
+
+
+def _kept(log: str, floor: int, pins: list[int]) -> str:
+    seen = " OR ".join(f"(commit_seq <= {b} AND {b} < nx)" for b in sorted({*pins, floor}))
+    return f"(SELECT *, (commit_seq >= {floor} OR nx IS NULL OR {seen}) AS keep FROM (SELECT *, lead(commit_seq) OVER (PARTITION BY history, k ORDER BY commit_seq) AS nx FROM {log}))"
+
+
+Query = Callable[[SparkSession, str], DataFrame]
+_made: dict[str, tuple[Query, str | None]] = {}
+
+
+def _query(sql: str | None):
+    def add(f: Query) -> Query:
+        _made[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def _keys(ev: DataFrame) -> DataFrame:
+    """Requested keys: those of the log and as many that it lacks."""
+    k = ev.select(F.col("user_id").alias("k")).distinct()
+    return k.union(k.select(F.col("k") + 1_000_000))
+
+
+_KEYS = "ks AS (SELECT DISTINCT user_id AS k FROM events UNION ALL SELECT DISTINCT user_id + 1000000 FROM events)"
+
+
+@_query(f"WITH {_MAIN} SELECT k, v, commit_seq FROM {_top('main_log')} WHERE NOT is_delete")
+def latest_state(s, p):
+    return visibility.state(d.main_log(d.events(s, p))).select("k", "v", "commit_seq")
+
+
+@_query(f"WITH {_MAIN} SELECT k, v, commit_seq FROM {_top('main_log', f'commit_seq <= {BOUNDARY}')} WHERE NOT is_delete")
+def asof_state(s, p):
+    return visibility.state(d.main_log(d.events(s, p)), BOUNDARY).select("k", "v", "commit_seq")
+
+
+@_query(f"WITH {_MAIN}, {_KEYS} SELECT ks.k, CASE WHEN r.k IS NULL THEN 'NoVisibleVersion' WHEN is_delete THEN 'Tombstone' ELSE 'Value' END AS resolution FROM ks LEFT JOIN {_top('main_log', 'commit_seq <= 200')} r ON r.k = ks.k")
+def asof_resolution(s, p):
+    ev = d.events(s, p)
+    return visibility.resolution(_keys(ev), d.main_log(ev), 200)
+
+
+@_query(f"WITH {_MAIN} SELECT k, commit_seq FROM {_top('main_log', f'commit_seq <= {BOUNDARY}')} WHERE is_delete")
+def tombstoned_keys_at(s, p):
+    return visibility.resolve(d.main_log(d.events(s, p)), BOUNDARY).filter("is_delete").select("k", "commit_seq")
+
+
+@_query(f"WITH {_MAIN} SELECT k, max(commit_seq) AS commit_seq FROM main_log GROUP BY k")
+def latest_commit_seq(s, p):
+    return visibility.latest_commit_seq(d.main_log(d.events(s, p)))
+
+
+@_query(f"WITH {_TREE} SELECT history, k, commit_seq, row_number() OVER w AS chain_length, lag(commit_seq) OVER w AS previous_seq, lead(commit_seq) OVER w AS next_seq FROM tree_log WINDOW w AS (PARTITION BY history, k ORDER BY commit_seq)")
+def version_chain(s, p):
+    return visibility.version_chain(d.tree_log(d.events(s, p)))
+
+
+@_query(f"WITH {_TREE}, c AS (SELECT history, k, count(*) AS n FROM tree_log GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS version_count, count(*) AS chain_count, round(sum(n) / count(*), 6) AS average_chain_length, max(n) AS maximum_chain_length FROM c")
+def chain_stats(s, p):
+    return visibility.chain_stats(d.tree_log(d.events(s, p)))
+
+
+@_query(f"WITH {_TREE} SELECT history, commit_seq, k, is_delete, v FROM tree_log")
+def history_export(s, p):
+    return d.tree_log(d.events(s, p)).select("history", "commit_seq", "k", "is_delete", "v").orderBy("history", "commit_seq", "k")
+
+
+@_query(f"WITH {_MAIN}, b(boundary) AS (VALUES (10), (100), (1000), (3000), (5000)), r AS (SELECT boundary, is_delete, row_number() OVER (PARTITION BY boundary, k ORDER BY commit_seq DESC) AS rn FROM main_log JOIN b ON commit_seq <= boundary) SELECT CAST(boundary AS BIGINT) AS boundary, count(*) AS n FROM r WHERE rn = 1 AND NOT is_delete GROUP BY 1")
+def key_count_by_boundary(s, p):
+    log = d.main_log(d.events(s, p))
+    # A version counts for the boundaries from its own sequence to before its successor's: one window for all boundaries.
+    chain = visibility.version_chain(log).join(log.select("commit_seq", "is_delete"), "commit_seq").filter("not is_delete")
+    bounds = F.array(*[F.lit(b).cast("long") for b in (10, 100, 1000, 3000, 5000)])
+    seen = F.filter(bounds, lambda b: (b >= F.col("commit_seq")) & (F.col("next_seq").isNull() | (b < F.col("next_seq"))))
+    return chain.select(F.explode(seen).alias("boundary")).groupBy("boundary").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_MAIN}, {_KEYS} SELECT ks.k, r.k IS NOT NULL AS existed FROM ks LEFT JOIN (SELECT k FROM {_top('main_log', f'commit_seq <= {BOUNDARY}')} WHERE NOT is_delete) r ON r.k = ks.k")
+def delete_existed(s, p):
+    ev = d.events(s, p)
+    live = visibility.state(d.main_log(ev), BOUNDARY).select("k", F.lit(True).alias("e"))
+    return _keys(ev).join(live, "k", "left").select("k", F.col("e").isNotNull().alias("existed"))
+
+
+@_query("WITH m AS (SELECT event_id // 4 + 1 AS commit_seq, event_id % 4 AS mutation_index, user_id AS k, event_type = 'error' AS is_delete, value AS v FROM events) SELECT commit_seq, k, mutation_index, is_delete, v FROM (SELECT *, row_number() OVER (PARTITION BY commit_seq, k ORDER BY mutation_index DESC) AS rn FROM m) WHERE rn = 1")
+def write_set_dedupe(s, p):
+    return overlay.final_writes(d.multi_log(d.events(s, p)), ("commit_seq", "k")).select("commit_seq", "k", "mutation_index", "is_delete", "v")
+
+
+def _transactions(ev: DataFrame) -> DataFrame:
+    """Declared writes: a transaction for every 1,000 events writes ten keys, and began 200 commits before its last event."""
+    return ev.filter("event_id % 100 = 7").select(F.expr("event_id div 1000").alias("txn"), F.col("user_id").alias("k"), (F.expr("event_id div 1000") * 1000 + 800).alias("start_seq")).distinct()
+
+
+@_query(f"WITH {_MAIN}, w AS (SELECT DISTINCT event_id // 1000 AS txn, user_id AS k, (event_id // 1000) * 1000 + 800 AS start_seq FROM events WHERE event_id % 100 = 7), l AS (SELECT k, max(commit_seq) AS latest_seq FROM main_log GROUP BY k) SELECT txn, k, start_seq, latest_seq FROM w JOIN l USING (k) WHERE latest_seq > start_seq")
+def ww_conflicts(s, p):
+    ev = d.events(s, p)
+    return overlay.conflicts(_transactions(ev), visibility.latest_commit_seq(d.main_log(ev)))
+
+
+@_query(f"WITH {_MAIN}, st AS (SELECT k, v FROM {_top('main_log', f'commit_seq <= {BOUNDARY}')} WHERE NOT is_delete), w AS (SELECT k, is_delete, v FROM {_top('main_log', f'commit_seq > {BOUNDARY} AND commit_seq <= {BOUNDARY + 40}')}) SELECT k, v FROM st WHERE k NOT IN (SELECT k FROM w) UNION ALL SELECT k, v FROM w WHERE NOT is_delete")
+def overlay_read(s, p):
+    log = d.main_log(d.events(s, p))
+    writes = overlay.final_writes(log.filter(f"commit_seq > {BOUNDARY} and commit_seq <= {BOUNDARY + 40}"), order="commit_seq")
+    return overlay.overlay(visibility.state(log, BOUNDARY), writes)
+
+
+@_query(f"WITH {_TREE} SELECT k, v, CAST(depth AS INTEGER) AS depth FROM {_branch(_chain('A'))} WHERE NOT is_delete")
+def branch_state(s, p):
+    return ancestry.history_state(d.tree_log(d.events(s, p)), d.TREE, "A").select("k", "v", "depth")
+
+
+@_query(f"WITH {_TREE} SELECT k, v, CAST(depth AS INTEGER) AS depth FROM {_branch(_chain('A', 40))} WHERE NOT is_delete")
+def branch_asof(s, p):
+    return ancestry.history_state(d.tree_log(d.events(s, p)), d.TREE, "A", 40).select("k", "v", "depth")
+
+
+@_query(f"WITH {_TREE} SELECT k, v, CAST(depth AS INTEGER) AS depth FROM {_branch(_chain('C', 80))} WHERE NOT is_delete")
+def nested_branch_state(s, p):
+    return ancestry.history_state(d.tree_log(d.events(s, p)), d.TREE, "C", 80).select("k", "v", "depth")
+
+
+_OBSERVED = f"SELECT ks.k, CASE WHEN r.k IS NULL THEN 'Missing' ELSE (CASE WHEN depth = 0 THEN 'Local' ELSE 'Inherited' END) || (CASE WHEN is_delete THEN 'Tombstone' ELSE 'Value' END) END AS kind, CAST(coalesce(depth + 1, 3) AS BIGINT) AS probes, CAST(depth AS BIGINT) AS resolved_depth FROM ks LEFT JOIN {_branch(_chain('C', 80))} r ON r.k = ks.k"
+
+
+def _observed(s, p):
+    ev = d.events(s, p)
+    return ancestry.observations(_keys(ev), d.tree_log(ev), d.TREE, "C", 80)
+
+
+@_query(f"WITH {_TREE}, {_KEYS} {_OBSERVED}")
+def branch_resolution_kinds(s, p):
+    return _observed(s, p)
+
+
+@_query(f"WITH {_TREE}, {_KEYS}, o AS ({_OBSERVED}) SELECT least(resolved_depth, 128) AS depth, count(*) AS n FROM o WHERE resolved_depth IS NOT NULL GROUP BY 1")
+def ancestor_depth_histogram(s, p):
+    return diagnostics.depth_histogram(_observed(s, p), "resolved_depth")
+
+
+@_query(f"WITH {_TREE}, {_KEYS}, o AS ({_OBSERVED}) SELECT probes AS depth, count(*) AS n FROM o GROUP BY 1")
+def ancestor_probe_histogram(s, p):
+    return diagnostics.depth_histogram(_observed(s, p), "probes")
+
+
+@_query(f"WITH {_TREE}, {_KEYS}, o AS ({_OBSERVED}), q(share) AS (VALUES (CAST(0.5 AS DOUBLE)), (0.95), (0.99)), r AS (SELECT resolved_depth AS x, row_number() OVER (ORDER BY resolved_depth) AS i, count(*) OVER () AS n FROM o WHERE resolved_depth IS NOT NULL) SELECT share, coalesce(min(x) FILTER (i >= greatest(1, ceil(n * share))), 0) AS value FROM q, r GROUP BY share")
+def ancestor_depth_percentile(s, p):
+    return diagnostics.ceil_rank(diagnostics.depth_histogram(_observed(s, p), "resolved_depth"), [0.5, 0.95, 0.99])
+
+
+@_query(f"WITH {_TREE} " + " UNION ALL ".join(f"SELECT '{o}' AS observer, k, v FROM {_branch(_chain(*a))} WHERE NOT is_delete" for o, a in OBSERVERS.items()))
+def key_across_observers(s, p):
+    return ancestry.observers_state(d.tree_log(d.events(s, p)), d.TREE, OBSERVERS)
+
+
+@_query(f"WITH RECURSIVE {_TOPO}, up AS (SELECT history, history AS ancestor, 0 AS depth, CAST(NULL AS BIGINT) AS boundary FROM topo UNION ALL SELECT u.history, t.parent, u.depth + 1, CAST(t.base AS BIGINT) FROM up u JOIN topo t ON t.history = u.ancestor WHERE t.parent IS NOT NULL) SELECT history, ancestor, CAST(depth AS BIGINT) AS depth, boundary FROM up")
+def ancestry_closure(s, p):
+    return s.createDataFrame(ancestry.closure(d.TREE), "history string, ancestor string, depth long, boundary long")
+
+
+@_query(f"WITH {_TREE}, {_TOPO}, cur AS (SELECT history, max(commit_seq) AS seq FROM tree_log GROUP BY 1), j AS (SELECT t.*, q.depth AS pd, coalesce(cur.seq, 0) AS ps FROM topo t LEFT JOIN topo q ON q.history = t.parent LEFT JOIN cur ON cur.history = t.parent WHERE t.parent IS NOT NULL) SELECT history, 'missing parent' AS violation FROM j WHERE pd IS NULL UNION ALL SELECT history, 'wrong depth' FROM j WHERE depth <> pd + 1 UNION ALL SELECT history, 'base beyond parent' FROM j WHERE base > ps")
+def branch_graph_violations(s, p):
+    log = d.tree_log(d.events(s, p))
+    return ancestry.graph_violations(d.histories(s), log.groupBy("history").agg(F.max("commit_seq").alias("current_seq")))
+
+
+@_query(f"WITH {_MAIN} SELECT greatest({FLOOR}, greatest(0, max(commit_seq) - 1024)) AS floor FROM main_log")
+def retention_floor(s, p):
+    return d.main_log(d.events(s, p)).agg(F.greatest(F.lit(FLOOR), F.lit(0), F.max("commit_seq") - 1024).alias("floor"))
+
+
+_REQUIRED = f"WITH {_ROOTS}, {_FLOORS}, h AS (SELECT protected AS history, min(boundary) AS root_floor, count(*) AS roots FROM roots WHERE state <> 'Deleted' GROUP BY 1)"
+
+
+@_query(f"{_REQUIRED} SELECT history, floor, root_floor, least(floor, root_floor) AS effective_floor, coalesce(roots, 0) AS roots FROM floors LEFT JOIN h USING (history)")
+def retention_requirements(s, p):
+    return retention.requirements(d.roots(s), d.floors(s))
+
+
+@_query(f"{_REQUIRED} SELECT history, least(floor, root_floor) AS effective_floor FROM floors LEFT JOIN h USING (history)")
+def effective_retention_floor(s, p):
+    return retention.requirements(d.roots(s), d.floors(s)).select("history", "effective_floor")
+
+
+@_query(f"WITH {_TOPO} SELECT parent AS history, history AS dependent, CAST(base AS BIGINT) AS boundary FROM topo WHERE parent IS NOT NULL")
+def branch_dependents(s, p):
+    return d.histories(s).filter("parent is not null").select(F.col("parent").alias("history"), F.col("history").alias("dependent"), F.col("parent_base_seq").alias("boundary"))
+
+
+@_query(f"WITH {_MAIN} SELECT history, k, commit_seq, is_delete, v FROM {_kept('main_log', FLOOR, PINS)} WHERE keep")
+def retention_projection(s, p):
+    return retention.projection(d.main_log(d.events(s, p)), FLOOR, PINS).select("history", "k", "commit_seq", "is_delete", "v")
+
+
+@_query(f"WITH {_MAIN} SELECT history, k, commit_seq FROM {_kept('main_log', FLOOR, PINS)} WHERE NOT keep")
+def reclaimed_versions(s, p):
+    return retention.reclaimed(d.main_log(d.events(s, p)), FLOOR, PINS).select("history", "k", "commit_seq")
+
+
+@_query("SELECT * FROM (VALUES ('foreign', CAST(0 AS BIGINT)), ('repeated', 0), ('newest lost', 0)) t(violation, n)")
+def exact_projection_check(s, p):
+    log = d.main_log(d.events(s, p))
+    return retention.projection_violations(log, retention.projection(log, FLOOR, PINS))
+
+
+@_query(f"WITH {_MAIN} SELECT count(*) FILTER (NOT keep) AS versions_reclaimed, count(*) FILTER (keep) AS versions_retained, CAST({FLOOR} AS BIGINT) AS floor FROM {_kept('main_log', FLOOR, PINS)}")
+def gc_result(s, p):
+    return retention.result(d.main_log(d.events(s, p)), FLOOR, PINS)
+
+
+_SIZES = "CAST(16384 * sum(1 + CASE WHEN length(props) * 400 > 16328 - 8 THEN ceil(length(props) * 400 / 16336) ELSE 0 END) AS BIGINT)"
+
+
+def _sized(ev: DataFrame) -> DataFrame:
+    """Records of one history; a value is 400 times its event's text long."""
+    return ev.select(F.lit("main").alias("history"), "user_id", "event_id", "props")
+
+
+@_query(f"SELECT 'main' AS history, {_SIZES} AS rewrite_bytes FROM events")
+def rewrite_size_estimate(s, p):
+    return retention.rewrite_bytes(_sized(d.events(s, p)), F.lit(8), F.length("props") * 400)
+
+
+@_query(f"WITH f AS (SELECT 'main' AS history, CAST(count(*) * 16384 * 3 AS BIGINT) AS file_bytes, {_SIZES} AS rewrite_bytes FROM events) SELECT *, greatest(0, file_bytes - rewrite_bytes) AS reclaimable FROM f WHERE greatest(0, file_bytes - rewrite_bytes) >= 1")
+def compaction_candidates(s, p):
+    ev = _sized(d.events(s, p))
+    held = ev.groupBy("history").agg((F.count("*") * 16384 * 3).alias("file_bytes"))
+    return retention.candidates(held, retention.rewrite_bytes(ev, F.lit(8), F.length("props") * 400))
+
+
+@_query(None)
+def compaction_selection(s, p):
+    rows = [(h, 100 * i, 70 * i) for i, h in enumerate(sorted(d.TREE), 1)]
+    chosen = retention.select_candidates(rows, budget=240)
+    return s.createDataFrame([(i, h) for i, h in enumerate(chosen)], "place int, history string")
+
+
+@_query(f"WITH {_WAL}, e AS (SELECT txn, lsn AS commit_lsn FROM wal WHERE type = 'Commit') SELECT txn, lsn, commit_lsn, type, k, v FROM wal JOIN e USING (txn) WHERE type IN ('Put', 'Delete')")
+def wal_replay(s, p):
+    return replay.committed(d.wal(d.events(s, p))).select("txn", "lsn", "commit_lsn", "type", "k", "v")
+
+
+_FINAL = f"{_WAL}, e AS (SELECT txn, lsn AS commit_lsn FROM wal WHERE type = 'Commit'), fin AS (SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY commit_lsn DESC, lsn DESC) AS rn FROM wal JOIN e USING (txn) WHERE type IN ('Put', 'Delete')) WHERE rn = 1 AND type = 'Put')"
+
+
+@_query(f"WITH {_FINAL} SELECT k, v FROM fin")
+def wal_final_state(s, p):
+    return replay.final_state(d.wal(d.events(s, p)))
+
+
+@_query(f"WITH {_MAIN}, {_FINAL}, ph AS (SELECT k, v FROM {_top('main_log', f'commit_seq <= {BOUNDARY}')} WHERE NOT is_delete) SELECT coalesce(fin.k, ph.k) AS k, CASE WHEN fin.k IS NULL THEN 'Delete' ELSE 'Put' END AS action, fin.v AS v FROM fin FULL JOIN ph ON fin.k = ph.k WHERE fin.k IS NULL OR ph.k IS NULL OR fin.v <> ph.v")
+def wal_redo_set(s, p):
+    ev = d.events(s, p)
+    return replay.redo(replay.final_state(d.wal(ev)), visibility.state(d.main_log(ev), BOUNDARY))
+
+
+@_query(f"WITH {_WAL}, g AS (SELECT lsn, lag(lsn, 1, 0) OVER (ORDER BY lsn) AS before FROM wal WHERE lsn % 1000 <> 0) SELECT lsn FROM g WHERE lsn <> before + 1")
+def wal_gap_check(s, p):
+    return replay.gaps(d.wal(d.events(s, p)).filter("lsn % 1000 <> 0"))
+
+
+@_query(f"WITH {_JOURNAL} SELECT id, max(name) FILTER (event = 'Create') AS name, max(sequence) FILTER (event = 'Create') AS sequence FROM journal GROUP BY id HAVING arg_max(event, event_seq) = 'Create'")
+def journal_fold_snapshots(s, p):
+    return replay.fold_journal(d.journal(d.events(s, p)))
+
+
+@_query(f"WITH {_JOURNAL}, ex AS (SELECT id, max(sequence) AS boundary FROM journal GROUP BY id HAVING arg_max(event, event_seq) = 'Create'), st AS (SELECT event_id // 3 AS id, CASE WHEN event_id % 21 = 0 THEN event_id ELSE event_id + 1 END AS boundary FROM events WHERE event_id % 3 = 0 AND event_id % 2 = 0) SELECT coalesce(ex.id, st.id) AS id, CASE WHEN st.id IS NULL THEN 'create' WHEN ex.id IS NULL THEN 'delete' WHEN ex.boundary <> st.boundary THEN 'corrupt' ELSE 'ok' END AS verdict FROM ex FULL JOIN st ON ex.id = st.id")
+def root_reconciliation(s, p):
+    ev = d.events(s, p)
+    expected = replay.fold_journal(d.journal(ev)).select("id", F.col("sequence").alias("boundary"))
+    stored = ev.filter("event_id % 3 = 0 and event_id % 2 = 0").select(F.expr("event_id div 3").alias("id"), F.when(F.col("event_id") % 21 == 0, F.col("event_id")).otherwise(F.col("event_id") + 1).alias("boundary"))
+    return replay.reconcile(expected, stored)
+
+
+@_query(f"WITH {_TREE} SELECT 'beyond checkpoint' AS violation, count(*) FILTER (commit_seq > 2000) AS n FROM tree_log UNION ALL SELECT 'repeated', 0 UNION ALL SELECT 'tombstone with value', count(*) FILTER (is_delete AND v IS NOT NULL) FROM tree_log")
+def checkpoint_check(s, p):
+    return replay.checkpoint_violations(d.tree_log(d.events(s, p)), 10, 2000)
+
+
+def _diff(a: str, b: str) -> str:
+    return f"SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change, a.v AS old, b.v AS new FROM (SELECT k, v FROM {a} WHERE NOT is_delete) a FULL JOIN (SELECT k, v FROM {b} WHERE NOT is_delete) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v"
+
+
+@_query(f"WITH {_MAIN} " + _diff(_top("main_log", "commit_seq <= 1000"), _top("main_log", f"commit_seq <= {BOUNDARY}")))
+def state_diff(s, p):
+    return visibility.difference(d.main_log(d.events(s, p)), 1000, BOUNDARY)
+
+
+@_query(f"WITH {_TREE} " + _diff(_branch(_chain("A")), _branch(_chain("C"))))
+def branch_diff(s, p):
+    log = d.tree_log(d.events(s, p))
+    a = ancestry.history_state(log, d.TREE, "A").select("k", F.col("v").alias("old"), F.lit(True).alias("was"))
+    b = ancestry.history_state(log, d.TREE, "C").select("k", F.col("v").alias("new"), F.lit(True).alias("is"))
+    kind = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").otherwise("changed")
+    return a.join(b, "k", "full_outer").filter("was is null or is is null or old <> new").select("k", kind.alias("change"), "old", "new")
+
+
+@_query(f"WITH {_TREE}, {_TOPO}, {_ROOTS}, v AS (SELECT history, count(*) AS versions, count(DISTINCT k) AS keys, max(commit_seq) AS current_seq FROM tree_log GROUP BY 1), r AS (SELECT protected AS history, count(*) AS roots FROM roots WHERE state <> 'Deleted' GROUP BY 1) SELECT history, parent, CAST(base AS BIGINT) AS parent_base_seq, CAST(depth AS BIGINT) AS depth, coalesce(versions, 0) AS versions, coalesce(keys, 0) AS keys, coalesce(current_seq, 0) AS current_seq, coalesce(roots, 0) AS roots FROM topo LEFT JOIN v USING (history) LEFT JOIN r USING (history)")
+def history_topology(s, p):
+    return diagnostics.topology(d.histories(s), d.tree_log(d.events(s, p)), d.roots(s))
+
+
+@_query("WITH k(kind) AS (VALUES " + ", ".join(f"('{k}')" for k in d.KINDS) + ") SELECT kind, count(event_id) AS n FROM k LEFT JOIN events ON event_type = kind GROUP BY kind")
+def event_counts_by_kind(s, p):
+    return diagnostics.counts_by_kind(d.events(s, p), d.KINDS, F.col("event_type"))
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _made.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _made.items() if sql}
