@@ -67,12 +67,13 @@ class WindowNetwork:
         return self
 
     def log_probs(self, context: np.ndarray, target: np.ndarray, learn: bool = False) -> np.ndarray:
-        """Log-probability of each target given its context (rows, 2 * SIDE); a gradient step if ``learn``."""
+        """Log-probability of each target given its context (2 * SIDE, rows); a gradient step if ``learn``."""
         p, rows = self.p, np.arange(len(target))
-        total = p["embed"][0][context[:, 0]] + p["hidden"]
+        total = p["embed"][0].take(context[0], 0)
         for j in range(1, 2 * SIDE):
-            total += p["embed"][j][context[:, j]]
-        h = np.tanh(total)
+            total += p["embed"][j].take(context[j], 0)
+        total += p["hidden"]
+        h = np.tanh(total, out=total)
         each = VOCABULARY // GROUPS
         g, w = target // each, target % each
         gp = _softmax(h @ p["group"] + p["group_b"])
@@ -89,7 +90,7 @@ class WindowNetwork:
             own = order[ends[k] : ends[k + 1]]
             if not len(own):
                 continue
-            ho = h[own]
+            ho = h.take(own, 0)
             ip = _softmax(ho @ p["inner"][k] + p["inner_b"][k])
             at = (np.arange(len(own)), w[own])
             out[own] += np.log(ip[at] + 1e-12)
@@ -105,18 +106,21 @@ class WindowNetwork:
                 self.square[k] += gr * gr
                 p[k] -= RATE * gr / np.sqrt(self.square[k])
             for j in range(2 * SIDE):
-                order = np.argsort(context[:, j].astype(np.uint16), kind="stable")
-                used, first = np.unique(context[order, j], return_index=True)
-                gr = np.add.reduceat(dh[order], first, axis=0)
+                order = np.argsort(context[j].astype(np.uint16), kind="stable")
+                sorted_ids = context[j].take(order)
+                first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+                used = sorted_ids[first]
+                gr = np.add.reduceat(dh.take(order, 0), first, axis=0)
                 self.square["embed"][j][used] += gr * gr
                 p["embed"][j][used] -= RATE * gr / np.sqrt(self.square["embed"][j][used])
         return out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
+    """Softmax of rows. States lie within -1 and 1, so logits are small; the clip only guards against overflow."""
+    np.clip(x, -80, 80, out=x)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
     return x
 
 
@@ -141,7 +145,7 @@ def tokens_and_contexts(texts: list[bytes | None], words: list[str]) -> tuple[np
     pad = np.full(len(token) + SIDE * (len(texts) + 1), EDGE, np.int64)
     at = np.arange(len(token)) + SIDE * (found.doc + 1)
     pad[at] = token
-    context = np.stack([pad[at + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1) if len(token) else np.zeros((0, 2 * SIDE), np.int64)
+    context = np.stack([pad[at + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))])
     return found.doc, token, context
 
 
@@ -153,7 +157,7 @@ def train(docs: DataFrame, words: list[str]) -> WindowNetwork:
         for part in text_slices(batches, 0, SLICE_BYTES // 2):
             _, token, context = tokens_and_contexts(part.column(0).cast(pa.binary()).to_pylist(), words)
             for a in range(0, len(token), STEP):
-                net.log_probs(context[a : a + STEP], token[a : a + STEP], learn=True)
+                net.log_probs(context[:, a : a + STEP], token[a : a + STEP], learn=True)
             seen += len(token)
         if seen:
             flat = net.flat().astype(np.float64)
@@ -190,7 +194,7 @@ def score_texts(texts: list[bytes | None], words: list[str], net: WindowNetwork)
     total = np.zeros(len(texts))
     for a in range(0, len(token), STEP):
         part = slice(a, a + STEP)
-        total += np.bincount(doc[part], weights=net.log_probs(context[part], token[part]), minlength=len(texts))
+        total += np.bincount(doc[part], weights=net.log_probs(context[:, part], token[part]), minlength=len(texts))
     return np.bincount(doc, minlength=len(texts)), total
 
 
