@@ -26,6 +26,8 @@ SAMPLE = {0: 4500, 1: 3000}
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
 #: Factor of the average; passes, texts of a step, rate, shrinkage and damping of the training; sample texts below which a bucket stays zero.
 GAIN, EPOCHS, BATCH, RATE, DECAY, EASE, LEAST_TEXTS = 32.0, 8, 50, 0.03, 1.0, 1e-3, 20
+#: Steps that a small sample gets at least.
+LEAST_STEPS = 500
 
 _OPEN, _CLOSE = 0xFFFFFFF0, 0xFFFFFFF1
 
@@ -95,8 +97,10 @@ class SubwordSoftmax:
         self.embed[~often] = 0
         rows = [(which[often[which]], weight[often[which]]) for which, weight in rows]
         step, losses = 0, []
-        total = EPOCHS * (-(-len(rows) // BATCH))
-        for _ in range(EPOCHS):
+        each = -(-len(rows) // BATCH)
+        epochs = max(EPOCHS, -(-LEAST_STEPS // each))
+        total = epochs * each
+        for _ in range(epochs):
             order, seen = rng.permutation(len(rows)), []
             for a in range(0, len(order), BATCH):
                 own = order[a : a + BATCH]
