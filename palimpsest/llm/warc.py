@@ -1,6 +1,6 @@
 """A content-addressed WARC archive in two tables.
 
-``payloads`` holds every distinct payload once, under its SHA-256 digest and length; ``records`` holds the exact
+``payloads`` holds every distinct payload once, deflated, under its SHA-256 digest and length; ``records`` holds the exact
 header bytes of every record. A record's bytes are its header and, for a response, its payload, joined by digest
 and verified against it on the way out. Of records with equal payloads that with the largest page_id is
 the response; the others are revisits that refer to it.
@@ -12,6 +12,9 @@ longer match its digest stops the reading with an error.
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,41 @@ def _payload(html: Column) -> Column:
     return F.encode(F.coalesce(html, F.lit("")), "UTF-8")
 
 
+def _mapped(column: pa.Array, each) -> pa.Array:
+    return pa.array([None if x is None else each(x) for x in column.to_pylist()], pa.binary())
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``payload`` deflated, so that shuffles and the archive hold less."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("payload")
+            yield batch.set_column(at, "payload", _mapped(batch.column(at), lambda x: zlib.compress(x, 6)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _inflated(data: bytes) -> bytes:
+    try:
+        return zlib.decompress(data)
+    except zlib.error:
+        return data  # its digest will not match
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``payload`` inflated, in batches of bounded size."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("payload")
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                yield part.set_column(at, "payload", _mapped(part.column(at), _inflated))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
 
@@ -75,8 +113,9 @@ def write_archive(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) -> t
     # The payload of each digest comes from the response's row.
     holders = index.select("page_id", "digest", "uid").join(records.filter("uid = holder").select("uid"), "uid", "left_semi")
     holders = holders.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"))
-    stored = rows.withColumn("digest", F.sha2("payload", 256)).join(holders, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left_semi")
-    payloads = scratch.cut(stored.dropDuplicates(["page_id", "digest"]).select("digest", F.octet_length("payload").cast("long").alias("size"), "payload"))
+    sized = rows.select("page_id", "payload", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"))
+    stored = _packed(sized).join(holders, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left_semi")
+    payloads = scratch.cut(stored.dropDuplicates(["page_id", "digest"]).select("digest", "size", "payload"))
     return records, payloads
 
 
@@ -88,16 +127,17 @@ def _verified(payload: Column, digest: Column) -> Column:
 def read_records(records: DataFrame, payloads: DataFrame) -> DataFrame:
     """uid, record: the exact bytes of every record; a revisit's block ends with its HTTP header."""
     revisit = F.col("header").contains("\r\nWARC-Type: revisit\r\n")
-    stored = payloads.select("digest", _verified(F.col("payload"), F.col("digest")).alias("payload"))
-    full = records.filter(~revisit).join(stored, "digest").select("uid", "digest", F.concat(F.encode("header", "UTF-8"), F.col("payload"), F.encode(F.lit(CRLF * 2), "UTF-8")).alias("record"))
+    full = _unpacked(records.filter(~revisit).select("uid", "digest", "header").join(payloads.select("digest", "payload"), "digest"))
+    full = full.withColumn("payload", _verified(F.col("payload"), F.col("digest")))
+    full = full.select("uid", "digest", F.concat(F.encode("header", "UTF-8"), F.col("payload"), F.encode(F.lit(CRLF * 2), "UTF-8")).alias("record"))
     bare = records.filter(revisit).select("uid", "digest", F.encode(F.concat("header", F.lit(CRLF * 2)), "UTF-8").alias("record"))
     return full.union(bare)
 
 
 def original_payloads(records: DataFrame, payloads: DataFrame) -> DataFrame:
     """uid, payload of every record, revisits included: the page as it was before it was archived."""
-    stored = payloads.select("digest", _verified(F.col("payload"), F.col("digest")).alias("payload"))
-    return records.select("uid", "digest").join(stored, "digest").select("uid", "payload")
+    full = _unpacked(records.select("uid", "digest").join(payloads.select("digest", "payload"), "digest"))
+    return full.select("uid", _verified(F.col("payload"), F.col("digest")).alias("payload"))
 
 
 def _field(head: Column, name: str) -> Column:
