@@ -22,7 +22,7 @@ from palimpsest.llm.common import held_out, map_text
 from palimpsest.llm.textscan import WordMemo, Words, mix, scan, span_hash
 
 #: Documents of a sample: clean and toxic.
-SAMPLE = {0: 4500, 1: 3000}
+SAMPLE = {0: 4000, 1: 2000}
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
 #: Factor of the average; passes, texts of a step, rate, shrinkage and damping of the training; sample texts below which a bucket stays zero.
 GAIN, EPOCHS, BATCH, RATE, DECAY, EASE, LEAST_TEXTS = 32.0, 8, 50, 0.03, 1.0, 1e-3, 20
@@ -92,10 +92,9 @@ class SubwordSoftmax:
         p = {"embed": self.embed, "out": self.out, "bias": self.bias}
         m = {k: np.zeros_like(v) for k, v in p.items()}
         v2 = {k: np.zeros_like(v) for k, v in p.items()}
-        texts = np.bincount(np.concatenate([r[0] for r in rows]), minlength=BUCKETS)
+        texts = sum((np.bincount(r[0], minlength=BUCKETS) for r in rows), np.zeros(BUCKETS, np.int64))
         often = texts >= min(LEAST_TEXTS, 1 + len(rows) // 100)
         self.embed[~often] = 0
-        rows = [(which[often[which]], weight[often[which]]) for which, weight in rows]
         step, losses = 0, []
         each = -(-len(rows) // BATCH)
         epochs = max(EPOCHS, -(-LEAST_STEPS // each))
@@ -104,8 +103,8 @@ class SubwordSoftmax:
             order, seen = rng.permutation(len(rows)), []
             for a in range(0, len(order), BATCH):
                 own = order[a : a + BATCH]
-                which = np.concatenate([rows[i][0] for i in own])
-                weight = np.concatenate([rows[i][1] for i in own]) * GAIN
+                which = np.concatenate([rows[i][0] for i in own]).astype(np.int64)
+                weight = np.concatenate([rows[i][1] for i in own]) * (GAIN * often[which])
                 doc = np.repeat(np.arange(len(own)), [len(rows[i][0]) for i in own])
                 used, slot = np.unique(which, return_inverse=True)
                 vec = np.stack([np.bincount(doc, weights=self.embed[which, k] * weight, minlength=len(own)) for k in range(DIM)], 1)
@@ -173,19 +172,19 @@ def train(docs: DataFrame, labels: DataFrame) -> WordScorer:
 
     def work(part: pa.RecordBatch) -> dict:
         rows = features(part.column(1).to_pylist())
-        return {"doc_id": part.column(0), "toxic": part.column(2), "which": [r[0].astype(np.int32) for r in rows], "weight": [r[1].astype(np.float32) for r in rows]}
+        return {"doc_id": part.column(0), "toxic": part.column(2), "which": [r[0].astype("<u2").tobytes() for r in rows], "weight": [r[1].astype("<f4").tobytes() for r in rows]}
 
     # The sample has at most sum(SAMPLE.values()) ids, so it can be broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
-    found = map_text(texts, work, "doc_id long, toxic int, which array<int>, weight array<float>").toArrow()
+    found = map_text(texts, work, "doc_id long, toxic int, which binary, weight binary").toArrow()
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
     label = found["toxic"].to_numpy()[order]
     if len(set(label.tolist())) < 2:
         share = float(label.mean()) if len(label) else 0.0
         return WordScorer(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    which, weight = found["which"].combine_chunks(), found["weight"].combine_chunks()
-    off, wv, vv = which.offsets.to_numpy(), which.values.to_numpy(), weight.values.to_numpy()
-    rows = [(wv[off[i] : off[i + 1]].astype(np.int64), vv[off[i] : off[i + 1]].astype(np.float64)) for i in order]
+    # Views of the received buffers: the sample is held once, six bytes for each bucket of a text.
+    views = [[np.frombuffer(x.as_buffer(), kind) for x in found[name]] for name, kind in (("which", "<u2"), ("weight", "<f4"))]
+    rows = [(views[0][i], views[1][i]) for i in order]
     model = SubwordSoftmax()
     model.train(rows, label.astype(np.int64))
     return model.word_scorer()
