@@ -1,9 +1,9 @@
 """Byte-level BPE with a given rank table.
 
 Each piece (a match of the pattern) is merged by a segment tree over its byte positions: a leaf holds the
-rank of the pair that starts there, an inner node the smallest of its children, and the root so the
+rank of the pair that starts there, an inner node the smallest of its ``FAN`` children, and the root so the
 leftmost pair of the least rank. A merge updates only the leaves of the position, its right neighbour
-and its left one, each in logarithmic time. Positions are chained by next and previous live neighbours.
+and its left one, and the nodes above them, in logarithmic time. Positions are chained by next and previous live neighbours.
 
 A piece that is itself a token is that token, as in the tiktoken library. Pieces repeat, so a worker
 remembers the ids of recent pieces; the memory is bounded and never changes a result.
@@ -28,8 +28,10 @@ from palimpsest.llm.common import map_text
 #: Pieces, and bytes of a piece, that a worker remembers at most.
 MEMO_PIECES, MEMO_PIECE_BYTES = 300_000, 64
 
+#: Children of a node of the segment tree.
+FAN = 8
+
 _NONE = 1 << 62
-_PLACE = 1 << 32
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,53 +42,45 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece."""
-    n = len(piece)
-    whole = ranks.get(piece)
+    n, get = len(piece), ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     if n < 2:
         return [ranks[piece]] if n else []
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [_NONE] * (2 * size)
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
+    # Leaf i is rank * n + i of the pair at i; every node of a higher level is the least of its FAN children.
+    m = n - 1
+    leaves = [_NONE] * m
+    for i in range(m):
+        rank = get(piece[i : i + 2])
         if rank is not None:
-            tree[size + i] = rank * _PLACE + i
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            low = a if a < b else b
-            if tree[k] == low:
-                break
-            tree[k] = low
-            k >>= 1
-
-    def pair(i: int) -> int:
-        j = after[i]
-        if j >= n:
-            return _NONE
-        rank = ranks.get(piece[i : after[j]])
-        return _NONE if rank is None else rank * _PLACE + i
-
-    while tree[1] != _NONE:
-        i = tree[1] % _PLACE
-        j = after[i]
+            leaves[i] = rank * n + i
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        low = levels[-1]
+        levels.append([min(low[c : c + FAN]) for c in range(0, len(low), FAN)])
+    top, steps = levels[-1], list(zip(levels, levels[1:]))
+    after, before = list(range(1, n + 1)), list(range(-1, n))
+
+    while top[0] != _NONE:
+        x = y = z = i = top[0] % n
+        j, left = after[i], before[i]
         after[i] = k = after[j]
-        if k < n:
-            before[k] = i
-        if j < n - 1:
-            put(j, _NONE)
-        put(i, pair(i)) if i < n - 1 else None
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+        before[k] = i
+        rank = get(piece[i : after[k]]) if k < n else None
+        leaves[i] = _NONE if rank is None else rank * n + i
+        if j < m:
+            leaves[j], z = _NONE, j
+        if left >= 0:
+            rank = get(piece[left:k])
+            leaves[left], x = _NONE if rank is None else rank * n + left, left
+        for low, high in steps:
+            x, y, z = x // FAN, y // FAN, z // FAN
+            high[x] = min(low[x * FAN : x * FAN + FAN])
+            if y != x:
+                high[y] = min(low[y * FAN : y * FAN + FAN])
+            if z != y:
+                high[z] = min(low[z * FAN : z * FAN + FAN])
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -124,19 +118,24 @@ class Encoder:
 
 
 class _Memo(dict):
-    """Piece to packed ids, emptied when it is full."""
+    """Piece to packed ids in two generations: when the young one is full it becomes the old one, from which pieces return when met."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = np.array(merge_piece(raw, self.ranks), "<u4").tobytes()
-        if len(raw) <= MEMO_PIECE_BYTES:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            ids = array("I", merge_piece(raw, self.ranks)).tobytes()
+            if len(raw) > MEMO_PIECE_BYTES:
+                return ids
+        if len(self) >= MEMO_PIECES // 2:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
