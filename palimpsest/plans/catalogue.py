@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import ancestry, diagnostics, overlay, replay, retention, visibility
 from palimpsest.sources import derived as d
+from palimpsest.sources.files import scratch_root
+from palimpsest.sources.store import Observer, Store
 
 BOUNDARY, FLOOR, PINS = 3000, 4900, [100, 1500]
 OBSERVERS = {"main": ("main", None), "main@100": ("main", 100), "A": ("A", None), "A@20": ("A", 20), "C": ("C", None), "C@80": ("C", 80)}
@@ -348,6 +351,60 @@ def event_counts_by_kind(s, p):
     return diagnostics.counts_by_kind(d.events(s, p), d.KINDS, F.col("event_type"))
 
 
+def _store(s: SparkSession) -> Store:
+    return Store(s, f"{scratch_root(s)}/store-{uuid.uuid4().hex}")
+
+
+def _commit(db: Store, ev: DataFrame, residue: int, branch: str = "main") -> None:
+    """One commit of the events with a residue modulo 3; keys repeat within it."""
+    gone = F.col("event_type") == "error"
+    v = F.when(~gone, F.col("value").cast("string").cast("binary"))
+    txn = db.begin(branch)
+    txn.write(ev.filter(F.col("event_id") % 3 == residue).select(F.col("user_id").cast("string").cast("binary").alias("k"), gone.alias("is_delete"), v.alias("v"), F.col("event_id").alias("mutation_index")))
+    txn.commit()
+
+
+def _numbers(seen: Observer) -> DataFrame:
+    return seen.df.select(F.col("k").cast("string").cast("long").alias("k"), F.col("v").cast("string").cast("double").alias("v"))
+
+
+_PARTS = "parts AS (SELECT user_id AS k, event_type = 'error' AS is_delete, value AS v, event_id % 3 AS r, event_id FROM events)"
+
+
+@_query(f"WITH {_PARTS} SELECT k, v FROM {_top('parts', 'r < 2', 'r DESC, event_id DESC')} WHERE NOT is_delete")
+def store_state_after_maintenance(s, p):
+    db, ev = _store(s), d.events(s, p)
+    _commit(db, ev, 0)
+    _commit(db, ev, 1)
+    db.compact()
+    db.collect_garbage(retain_recent=0)
+    db.vacuum()
+    return _numbers(db.current())
+
+
+@_query(f"WITH {_PARTS} SELECT k, v FROM {_top('parts', 'r <> 1', 'r DESC, event_id DESC')} WHERE NOT is_delete")
+def store_branch_after_maintenance(s, p):
+    """A branch from a snapshot that was since deleted, while its parent went on."""
+    db, ev = _store(s), d.events(s, p)
+    _commit(db, ev, 0)
+    db.create_snapshot("first")
+    _commit(db, ev, 1)
+    db.create_branch("side", snapshot="first")
+    db.delete_snapshot("first")
+    _commit(db, ev, 2, "side")
+    db.collect_garbage(retain_recent=0)
+    db.vacuum()
+    return _numbers(db.current("side"))
+
+
+@_query(f"WITH {_PARTS} SELECT 'main' AS history, CAST(sum(n - 1) AS BIGINT) AS versions_reclaimed, count(*) AS versions_retained, CAST(2 AS BIGINT) AS floor FROM (SELECT k, count(DISTINCT r) AS n FROM parts WHERE r < 2 GROUP BY k)")
+def store_gc_pass(s, p):
+    db, ev = _store(s), d.events(s, p)
+    _commit(db, ev, 0)
+    _commit(db, ev, 1)
+    return db.collect_garbage(retain_recent=0)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _made.items()}
 

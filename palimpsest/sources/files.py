@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import json
 import os
+import shutil
+import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -98,3 +101,17 @@ class _Folder:
 
     def close(self) -> None:
         os.close(self.number)
+
+
+_own: list[str] = []
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="palimpsest-"))
+        atexit.register(shutil.rmtree, _own[0], True)
+    return f"file://{_own[0]}"
