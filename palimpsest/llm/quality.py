@@ -7,8 +7,9 @@ refit mean and covariance on the ``SHARE`` of rows nearest by Mahalanobis distan
 comes from a histogram of distances, so no group is ever sorted or gathered. Rows beyond ``CUTOFF``
 are rejected.
 
-Groups of fewer than ``SMALL`` rows that pass the fixed limits are pooled per language, and those again
-with all languages; a pool that is still smaller rejects nothing.
+A group of fewer than ``SMALL`` rows that pass the fixed limits is judged by the estimate of all rows of its
+language, large groups included, and where these are too few by that of the whole corpus; only a corpus that is
+still smaller rejects nothing.
 
 Defined results: a null or blank text has no words and fails the limits; null lang and null source are
 groups of their own; repeated rows count as often as they occur.
@@ -108,21 +109,29 @@ def _quantile(hist: DataFrame, keys: list[str], cell: str, shares: dict[str, flo
     return run.groupBy(*keys).agg(F.max("__n").alias("n"), *least)
 
 
+def _named(value: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(value)), F.lit("null"))
+
+
 def _groups(rows: DataFrame) -> DataFrame:
-    """lang, source and the group (gl, gs) whose estimate judges them; rows of too small pools have none."""
+    """lang, source and the group (gl, gs) whose estimate judges them: their own, their language, or all rows. None if all rows are too few."""
     each = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    own = F.col("n") >= SMALL
     by_lang, all_ = Window.partitionBy("lang"), Window.partitionBy("__one")
-    each = each.withColumn("pool", F.sum(F.when(~own, F.col("n"))).over(by_lang)).withColumn("__one", F.lit(1))
-    left = ~own & (F.col("pool") < SMALL)
-    each = each.withColumn("rest", F.sum(F.when(left, F.col("n"))).over(all_))
-    level = F.when(own, F.lit(2)).when(F.col("pool") >= SMALL, F.lit(1)).when(F.col("rest") >= SMALL, F.lit(0))
+    each = each.withColumn("of_lang", F.sum("n").over(by_lang)).withColumn("__one", F.lit(1)).withColumn("in_all", F.sum("n").over(all_))
+    level = F.when(F.col("n") >= SMALL, F.lit(2)).when(F.col("of_lang") >= SMALL, F.lit(1)).when(F.col("in_all") >= SMALL, F.lit(0))
     each = each.withColumn("level", level).filter("level is not null")
-    gl = F.when(F.col("level") > 0, F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null"))).otherwise("*")
-    gs = F.when(F.col("level") > 1, F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).otherwise("*")
+    gl = F.when(F.col("level") > 0, _named("lang")).otherwise("*")
+    gs = F.when(F.col("level") > 1, _named("source")).otherwise("*")
     return each.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), gl.alias("gl"), gs.alias("gs"))
 
 
+def _feeds(groups: DataFrame) -> DataFrame:
+    """Every group that judges something, with each (lang, source) whose rows its estimate is made of."""
+    own, lang, star = _named("__source"), _named("__lang"), F.lit("*")
+    possible = F.explode(F.array(*[F.struct(a.alias("gl"), b.alias("gs")) for a, b in ((lang, own), (lang, star), (star, star))]))
+    return groups.select("__lang", "__source", possible.alias("g")).select("__lang", "__source", "g.*").join(groups.select("gl", "gs"), ["gl", "gs"], "left_semi")
+
+
 def _grouped(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
     on = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
     return rows.join(groups, on, how).drop("__lang", "__source")
@@ -200,7 +209,7 @@ def estimates(stats: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     rows = stats.filter(~F.col("base_failed"))
     groups = scratch.cut(_groups(rows.select("lang", "source")))
     vectors = rows.select("lang", "source", *[v.alias(k) for k, v in vector(F.col("__s")).items()])
-    return groups, _estimate(_grouped(vectors, groups, "inner").select("gl", "gs", *_NAMES), scratch)
+    return groups, _estimate(_grouped(vectors, _feeds(groups), "inner").select("gl", "gs", *_NAMES), scratch)
 
 
 def verdicts(stats: DataFrame, groups: DataFrame, fit: DataFrame) -> DataFrame:

@@ -214,6 +214,21 @@ def test_quality_estimate_against_numpy(spark):
     assert np.allclose([fit[f"l_{i}_{j}"] for i in range(p) for j in range(i + 1)], [low[i, j] for i in range(p) for j in range(i + 1)])
 
 
+def test_quality_judges_small_groups(spark):
+    """A small source is judged by its whole language, a small language by the whole corpus; a tiny corpus isn't judged."""
+    rng = random.Random(6)
+    text = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(rng.randrange(60, 200)))
+    junk = lambda: " ".join(f"#$%{rng.randrange(10**5)}*&|" for _ in range(100))
+    rows = [(i, text(), "de", "large") for i in range(150)] + [(1000 + i, text(), "de", "small") for i in range(5)]
+    rows += [(2000, junk(), "de", "small"), (2001, junk(), "fr", None), (2002, junk(), None, "x"), (3000, text(), "fr", "one")]
+    schema = "doc_id long, text string, lang string, source string"
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, schema)).collect()}
+    assert all(r.distance is not None for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {2000, 2001, 2002}
+    few = quality.judge(spark.createDataFrame(rows[145:], schema)).collect()
+    assert len(few) < quality.SMALL and all(r.kept and r.distance is None for r in few)
+
+
 def test_mixing_budgets_and_prefixes(spark, docs, empty):
     leaves = spark.createDataFrame([("a", "x", 100), ("a", "y", 10), ("b", "x", 1000), ("b", "z", 1000)], "l0 string, l1 string, supply long")
     got = {(r.l0, r.l1): r.budget for r in mixing.budgets(leaves, 2, {("a",): 3.0}, mixing.Fraction("0.5"), 1).collect()}
