@@ -3,7 +3,8 @@
 Everything is a DataFrame expression. Statistics come from each whole text. Their transformed vectors are
 rounded to integers, so sums are exact and do not depend on the order of rows. For every (lang, source)
 group the estimate starts at the coordinate-wise median and a diagonal scale, then concentration steps
-refit mean and covariance on the ``SHARE`` of rows nearest by Mahalanobis distance. The step's quantile
+refit mean and covariance on the ``SHARE`` of rows nearest by Mahalanobis distance until that is stable, at most ``STEPS`` times
+(rows of one cell can make a group alternate between two near-equal fits). The step's quantile
 comes from a histogram of distances, so no group is ever sorted or gathered. Rows beyond ``CUTOFF``
 are rejected.
 
@@ -18,6 +19,7 @@ groups of their own; repeated rows count as often as they occur.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ from palimpsest.llm.common import Scratch
 
 #: Fixed limits.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-#: Rows of a group that an estimate needs, the share it keeps, concentration steps, and the squared distance of rejection.
-SMALL, SHARE, STEPS, CUTOFF = 60, 0.75, 3, 100.0
+#: Rows of a group that an estimate needs, the share it keeps, the most concentration steps, and the squared distance of rejection.
+SMALL, SHARE, STEPS, CUTOFF = 60, 0.5, 10, 100.0
 #: Integer units of a statistic, and the least standard deviation of each, in the statistic's own unit.
 UNIT = 1000
 FLOOR = {"size": 0.5, "length": 0.08, "symbols": 0.15, "lines": 0.4, "repeats": 0.4}
@@ -183,16 +185,25 @@ def _distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
 
 
 def _estimate(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The estimate of every group: start, concentration steps, and the factor that makes its median consistent."""
-    fit = scratch.cut(_start(rows))
+    """The estimate of every group: start, concentration steps until it is stable, and the factor that makes its median consistent."""
+    numbers = [f"m_{i}" for i in range(len(_NAMES))] + [f"l_{i}_{j}" for i in range(len(_NAMES)) for j in range(i + 1)]
+    fit, done = scratch.cut(_start(rows).select("gl", "gs", *numbers)), []
     for _ in range(STEPS):
-        near = _distances(rows, fit)
+        near = _distances(rows, fit).filter("d2 is not null")
         limit = scratch.cut(_quantile(near.groupBy("gl", "gs", "cell").agg(F.count("*").alias("c")), ["gl", "gs"], "cell", {"upto": SHARE}))
         edge = limit.select(F.col("gl").alias("__gl"), F.col("gs").alias("__gs"), "upto")
         kept = near.join(edge, (F.col("gl") == F.col("__gl")) & (F.col("gs") == F.col("__gs")) & (F.col("cell") <= F.col("upto")))
-        new = scratch.cut(_fitted(kept))
-        scratch.drop(fit, limit)
-        fit = new
+        # Sums are exact, so the same rows give the same numbers, and a group whose numbers stay takes no further step.
+        old = fit.select("gl", "gs", F.struct(*numbers).alias("__old"))
+        new = _fitted(kept).join(old, ["gl", "gs"]).select("gl", "gs", *numbers, (F.struct(*numbers) != F.col("__old")).alias("moved"))
+        new = scratch.cut(new)
+        done.append(new)
+        fit = new.filter("moved").drop("moved")
+        if not fit.limit(1).count():
+            break
+    ended = [t.filter("not moved") for t in done[:-1]] + done[-1:]
+    fit = scratch.cut(reduce(DataFrame.union, ended).select("gl", "gs", *numbers))
+    scratch.drop(*done)
     hist = _distances(rows, fit).groupBy("gl", "gs", "cell").agg(F.count("*").alias("c"))
     mid = _quantile(hist, ["gl", "gs"], "cell", {"mid": 0.5})
     factor = mid.select("gl", "gs", F.greatest(F.lit(1.0), (F.exp((F.col("mid") + 1) / CELLS) - 1) / CHI2_MEDIAN).alias("factor"))

@@ -229,6 +229,24 @@ def test_quality_judges_small_groups(spark):
     assert len(few) < quality.SMALL and all(r.kept and r.distance is None for r in few)
 
 
+def test_quality_estimate_withstands_much_junk(spark):
+    """Two fifths of a group are junk: all of it is far, no clean row is, and the steps have come to rest."""
+    rng = np.random.default_rng(2)
+    clean = rng.normal([5500, 1750, 0, 0, 300], [500, 60, 20, 20, 200], (240, 5))
+    junk = rng.normal([5500, 1750, 3000, 0, 300], [500, 60, 500, 20, 200], (160, 5))
+    x = np.rint(np.concatenate([clean, junk])).astype(int)
+    fields = "gl string, gs string, " + ", ".join(f"{k} long" for k in quality.FLOOR)
+    rows = spark.createDataFrame([("=a", "=b", *map(int, r)) for r in x], fields).coalesce(1)
+    fit = quality._estimate(rows, quality.Scratch(spark, "t")).first()
+    mean = np.array([fit[f"m_{i}"] for i in range(5)])
+    low = np.array([[fit[f"l_{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+    d2 = (np.linalg.solve(low, (x - mean).T) ** 2).sum(0)
+    assert (d2 / fit["factor"] > quality.CUTOFF).tolist() == [False] * 240 + [True] * 160
+    cell = np.minimum(np.floor(np.log(1 + d2) * quality.CELLS), quality.LAST_CELL)
+    near = x[cell <= np.sort(cell)[int(np.ceil(len(x) * quality.SHARE)) - 1]]
+    assert np.allclose(near.mean(0), mean)
+
+
 def test_mixing_budgets_and_prefixes(spark, docs, empty):
     leaves = spark.createDataFrame([("a", "x", 100), ("a", "y", 10), ("b", "x", 1000), ("b", "z", 1000)], "l0 string, l1 string, supply long")
     got = {(r.l0, r.l1): r.budget for r in mixing.budgets(leaves, 2, {("a",): 3.0}, mixing.Fraction("0.5"), 1).collect()}
