@@ -8,7 +8,8 @@ How large groups stay affordable:
 
 * Texts with equal sets are one class; only its representative (smallest id) goes on.
 * A pair at the threshold shares at least ``SURE`` of ``K`` retained values (missed with probability
-  below 1e-6), so each sketch is listed only under its ``K - SURE + 1`` rarest values. Values of common
+  below 1e-6), so each sketch is listed only under its ``K - SURE + 1`` rarest values; a set of up to ``K``
+  values is listed by the least number it surely shares (``least_shared``). Values of common
   lines and passages are left to texts that consist of little else.
 * Lists of up to ``SHORT`` members give all their pairs. A longer list compares its members with one hub,
   its member with the fewest unshared values. Links already found are contracted, and only members outside
@@ -110,6 +111,15 @@ def _similar_sizes(a: Column, b: Column, t: Fraction) -> Column:
     return F.least(a, b) * t.denominator >= F.greatest(a, b) * t.numerator
 
 
+def least_shared(n: int, t: Fraction) -> int:
+    """Retained values that a set of ``n`` values, at most ``K``, surely shares with the sketch of any set at the threshold ``t``."""
+    alike = [-(-n * t.numerator // t.denominator)]
+    # A larger set of m values shares a number that reaches t, of which its sketch drops at most m - K.
+    for m in range(K + 1, n * t.denominator // t.numerator + 1):
+        alike.append(-(-(n + m) * t.numerator // (t.numerator + t.denominator)) - (m - K))
+    return max(1, min(alike))
+
+
 def _promising(a: Column, b: Column, na: Column, nb: Column, t: Fraction) -> Column:
     """Whether the estimate from two sketches admits the threshold; sets of up to K in all are exact."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, K)
@@ -184,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", scr
     posts = reps.select(F.col("doc_id").alias("id"), F.explode("sketch").alias("value"))
     counted = lookup_by_group(posts, ["value"], F.col("id"), {"c": F.count("*")}, {"df": F.sum("c")}).filter("df > 1")
     held = F.least(F.col("n"), F.lit(K))
-    sure = F.when(F.col("n") > K, F.lit(SURE)).otherwise(F.ceil(F.col("n") * t.numerator / F.lit(t.denominator)))
+    sure = F.when(F.col("n") > K, F.lit(SURE)).otherwise(F.get(F.array(*[F.lit(least_shared(i, t)) for i in range(K + 1)]), F.col("n").cast("int")))
     ranked = F.array_sort(F.collect_list(F.struct("df", "value")))
     listed = counted.groupBy("id").agg(ranked.alias("v")).join(reps.withColumnRenamed("doc_id", "id"), "id")
     private = held - F.size("v")

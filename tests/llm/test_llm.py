@@ -98,6 +98,29 @@ def test_near_duplicates_of_large_groups(spark):
     assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
 
 
+def test_least_shared_against_brute_force():
+    """Every size of a second set: the fewest common values at the threshold, less those that its sketch can drop."""
+    t = neardup.Fraction("0.8")
+    for n in range(1, neardup.K + 1):
+        shared = []
+        for m in range(1, 2 * neardup.K):
+            for c in range(1, min(n, m) + 1):
+                if c * t.denominator >= (n + m - c) * t.numerator:
+                    shared.append(c - max(0, m - neardup.K))
+        assert neardup.least_shared(n, t) == min(shared), n
+
+
+def test_near_duplicates_around_the_sketch_size(spark):
+    """Texts of about K shingles, and each with words added until just below and just above the threshold."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        w = [f"v{i}_{j}" for j in range(rng.choice((31, 32, 32, 32, 33)) + 3)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + [f"z{i}_{j}" for j in range(rng.choice((6, 7, 8, 8, 9)))]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+
+
 def test_bpe_equals_the_library(spark, docs, empty):
     ranks = bpe.load_ranks(PATH)
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
