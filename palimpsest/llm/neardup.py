@@ -13,7 +13,7 @@ How large groups stay affordable:
   lines and passages are left to texts that consist of little else.
 * Lists of up to ``SHORT`` members give all their pairs. A longer list compares its members with one hub,
   its member with the fewest unshared values. Links already found are contracted, and only members outside
-  a list's largest component are then compared with the rest of the list, in bounded blocks.
+  a list's largest component are then compared with the rest of the list, in bounded blocks, in every such list.
 
 Defined results: null, empty or blank texts have an empty set and are linked with nothing; a text of
 fewer words than a shingle has one shingle, all its words; rows that share a doc_id count as one document
@@ -38,8 +38,8 @@ K, SURE = 32, 13
 LEAST_SHARED = 14
 #: Members of a list that gives all its pairs.
 SHORT = 24
-#: Members of a block in which a long list is compared, and lists in which a remaining member looks.
-BLOCK, LOOKS = 512, 6
+#: Members of a block in which a long list is compared.
+BLOCK = 512
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -258,12 +258,8 @@ def _late_links(open_lists: DataFrame, docs: DataFrame, width: int, t: Fraction,
     """
     wanted = open_lists.select(F.col("id").alias("doc_id")).distinct()
     sets = scratch.cut(full_sets(docs.join(wanted, "doc_id", "left_semi"), width))
-    outer = open_lists.filter("comp != main")
-    # All members prefer the same lists, so that few lists are dealt.
-    order = F.struct(F.xxhash64("value").alias("h"), "value")
-    looks = outer.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, LOOKS).alias("l"))
-    looks = looks.select("id", F.explode("l.value").alias("value"))
-    seekers = scratch.cut(outer.join(looks, ["id", "value"]))
+    # Members look in every list of theirs: a partner may share any one of them.
+    seekers = scratch.cut(open_lists.filter("comp != main"))
     dealt = scratch.cut(seekers.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ss")))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -121,6 +121,18 @@ def test_near_duplicates_around_the_sketch_size(spark):
     assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
 
 
+def test_late_members_look_in_every_list(spark):
+    """Two texts that are in eight long lists, and outside the largest component of all: the partner is found whichever list they share."""
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    twin = words("t", 60)
+    docs = spark.createDataFrame([(1, " ".join(twin)), (2, " ".join(twin + ["u"]))], "doc_id long, text string")
+    for common in range(8):
+        lists = [(1, v, 1, 9, 1) for v in range(8)] + [(2, v, 2, 9, 1) for v in range(100, 107)] + [(2, common, 2, 9, 1)]
+        opened = spark.createDataFrame(lists, "id long, value long, comp long, main long, rs int")
+        links, _ = neardup._late_links(opened, docs, 4, neardup.Fraction("0.8"), neardup.Scratch(spark, "t"))
+        assert {frozenset((r.a, r.b)) for r in links.collect()} == {frozenset((1, 2))}, common
+
+
 def test_bpe_equals_the_library(spark, docs, empty):
     ranks = bpe.load_ranks(PATH)
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
