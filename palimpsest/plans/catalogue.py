@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import ancestry, diagnostics, overlay, replay, retention, visibility
 from palimpsest.sources import derived as d
-from palimpsest.sources.files import scratch_root
+from palimpsest.sources.files import drop_at_end, scratch_root
 from palimpsest.sources.store import Observer, Store
 
 BOUNDARY, FLOOR, PINS = 3000, 4900, [100, 1500]
@@ -352,7 +352,9 @@ def event_counts_by_kind(s, p):
 
 
 def _store(s: SparkSession) -> Store:
-    return Store(s, f"{scratch_root(s)}/store-{uuid.uuid4().hex}")
+    place = f"{scratch_root(s)}/store-{uuid.uuid4().hex}"
+    drop_at_end(s, place)
+    return Store(s, place)
 
 
 def _commit(db: Store, ev: DataFrame, residue: int, branch: str = "main") -> None:

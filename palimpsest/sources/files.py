@@ -107,11 +107,22 @@ _own: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``). A temporary one only where none is set and one machine does all the work."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="palimpsest-"))
         atexit.register(shutil.rmtree, _own[0], True)
     return f"file://{_own[0]}"
+
+
+def drop_at_end(spark: SparkSession, folder: str) -> None:
+    """Makes a folder that goes when the driver ends, whatever is left in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
