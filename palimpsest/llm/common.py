@@ -6,9 +6,6 @@ so the operator modules hold only their own method.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,36 +14,26 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.files import drop_at_end, scratch_root
+
 #: Text bytes that a Python worker handles at a time.
 SLICE_BYTES = 2 << 20
-#: Parts into which ``lookup_by_group`` splits every group.
-SALTS = 32
-
-_own_dir: list[str] = []
+#: Share of all rows beyond which a group is joined by broadcast: there are fewer than this many such groups.
+HEAVY = 4096
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="palimpsest-"))
-        atexit.register(shutil.rmtree, _own_dir[0], True)
-    return f"file://{_own_dir[0]}"
-
-
 class Scratch:
-    """Written intermediate tables: they cut lineage, outlive executors and are dropped when no longer read."""
+    """Written intermediate tables: they cut lineage, outlive executors and are dropped when no longer read, the last ones with the session."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        drop_at_end(spark, self.root)
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.made}"
@@ -68,24 +55,31 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def lookup_by_group(
-    rows: DataFrame, keys: list[str], spread: Column, partial: dict[str, Column], final: dict[str, Column]
-) -> DataFrame:
-    """``rows`` with aggregates of their group, for groups of any size.
+def join_lists(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, scratch: Scratch) -> DataFrame:
+    """``rows`` joined with the table of their groups (one row a group, ``size`` rows of it in ``rows``). Keys compare null-safe.
+
+    Groups with over 1 / ``HEAVY`` of all rows number fewer than ``HEAVY``, so these are broadcast and their rows stay where they are;
+    the others meet by a shuffle in which no group exceeds that share, however large it is.
+    """
+    groups = scratch.cut(groups)
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    on = [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()]
+    heavy = groups.filter(F.col(size) * HEAVY > total).withColumnsRenamed(names)
+    light = groups.filter(F.col(size) * HEAVY <= total).withColumnsRenamed(names)
+    hot = rows.join(F.broadcast(heavy), on)
+    rest = rows.join(F.broadcast(heavy.select(*names.values())), on, "left_anti").join(light, on)
+    return hot.union(rest).drop(*names.values())
+
+
+def lookup_by_group(rows: DataFrame, keys: list[str], aggregates: dict[str, Column], scratch: Scratch, least: int = 1) -> DataFrame:
+    """``rows`` of groups of at least ``least`` rows with aggregates of their group, for groups of any size.
 
-    A group is split into ``SALTS`` parts by ``spread``; parts are aggregated first, then groups, and the
-    result returns to the parts, so no join and no aggregation sees a whole hot group in one task.
-    Keys compare null-safe.
+    Groups are aggregated before they are shuffled, and ``join_lists`` brings the result back.
     """
-    salt = "__part"
-    rows = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    parts = rows.groupBy(*keys, salt).agg(*[c.alias(n) for n, c in partial.items()])
-    groups = parts.groupBy(*keys).agg(*[c.alias(n) for n, c in final.items()])
-    r = {k: f"__k{i}" for i, k in enumerate(keys)}
-    groups = groups.withColumnsRenamed(r)
-    on = [F.col(k).eqNullSafe(F.col(v)) for k, v in r.items()]
-    back = parts.select(*keys, salt).join(groups, on).drop(*keys).withColumnRenamed(salt, "__p2")
-    return rows.join(back, [*on, F.col(salt) == F.col("__p2")]).drop(*r.values(), salt, "__p2")
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("__size"), *[c.alias(n) for n, c in aggregates.items()])
+    groups = groups.filter(F.col("__size") >= least) if least > 1 else groups
+    return join_lists(rows, groups, keys, "__size", scratch).drop("__size")
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

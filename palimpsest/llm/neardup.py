@@ -26,10 +26,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Scratch, lookup_by_group, map_text
+from palimpsest.llm.common import Scratch, join_lists, lookup_by_group, map_text
 from palimpsest.llm.textscan import mix, scan
 
 #: Retained values of a sketch, and how many a pair at the threshold shares with near certainty.
@@ -38,8 +38,8 @@ K, SURE = 32, 13
 LEAST_SHARED = 14
 #: Members of a list that gives all its pairs.
 SHORT = 24
-#: Members of a block in which a long list is compared.
-BLOCK = 512
+#: Members of a block in which a long list is compared, and shingles of a part that confirms its links.
+BLOCK, PART = 1024, 1 << 20
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -140,14 +140,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
             for i in range(batch.num_rows):
                 x = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
                 y = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-                both_n = _common(x, y)
-                if both_n * t.denominator >= (len(x) + len(y) - both_n) * t.numerator and both_n:
+                if _linked(x, y, t):
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, t: Fraction) -> bool:
+    n = _common(x, y)
+    return n > 0 and n * t.denominator >= (len(x) + len(y) - n) * t.numerator
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x
@@ -184,25 +188,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", scr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = scratch.cut(sketches(docs, width))
 
-    # Classes of equal sets.
-    some = found.filter("n > 0 and doc_id is not null")
-    classed = lookup_by_group(some, ["f1", "f2", "n"], F.col("doc_id"), {"r": F.min("doc_id")}, {"rep": F.min("r")})
-    members = scratch.cut(classed.select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")))
-    reps = members.filter("sketch is not null")
+    # Classes of equal sets. Sketches of representatives alone go on.
+    key = ["f1", "f2", "n"]
+    some = found.filter("n > 0 and doc_id is not null").select("doc_id", *key)
+    members = lookup_by_group(some, key, {"rep": F.min("doc_id")}, scratch)
+    alone = found.filter("n = 0 or doc_id is null").select("doc_id", *key, F.lit(None).cast("long").alias("rep"))
+    members = scratch.cut(members.union(alone))
+    firsts = members.filter("doc_id = rep").select("doc_id", *key).distinct()
+    reps = scratch.cut(found.join(firsts, ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key]).select(F.col("doc_id").alias("id"), "n", "sketch"))
+    scratch.drop(found)
 
     # Postings under values that two classes share, with the number of classes that hold each.
-    posts = reps.select(F.col("doc_id").alias("id"), F.explode("sketch").alias("value"))
-    counted = lookup_by_group(posts, ["value"], F.col("id"), {"c": F.count("*")}, {"df": F.sum("c")}).filter("df > 1")
+    posts = reps.select("id", F.explode("sketch").alias("value"))
+    counted = lookup_by_group(posts, ["value"], {"df": F.count("*")}, scratch, least=2)
     held = F.least(F.col("n"), F.lit(K))
     sure = F.when(F.col("n") > K, F.lit(SURE)).otherwise(F.get(F.array(*[F.lit(least_shared(i, t)) for i in range(K + 1)]), F.col("n").cast("int")))
     ranked = F.array_sort(F.collect_list(F.struct("df", "value")))
-    listed = counted.groupBy("id").agg(ranked.alias("v")).join(reps.withColumnRenamed("doc_id", "id"), "id")
+    listed = counted.groupBy("id").agg(ranked.alias("v")).join(reps, "id")
     private = held - F.size("v")
     room = F.greatest(F.lit(0), held - sure + 1 - private).cast("int")
     listed = listed.select("id", "n", "sketch", private.alias("private"), F.explode(F.slice("v", F.lit(1), room)).alias("v"))
     # Estimates need only the order and equality of retained values: their upper 31 bits.
     short_sketch = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch")
     listed = scratch.cut(listed.select("id", "n", short_sketch, "private", "v.value", "v.df"))
+    scratch.drop(reps)
 
     # Short lists give all their pairs.
     short = listed.filter(F.col("df") <= SHORT)
@@ -213,7 +222,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", scr
     # Long lists compare members with a hub.
     long = listed.filter(F.col("df") > SHORT)
     hub = F.struct("private", F.xxhash64("id", "value").alias("h"), "id", "n", "sketch")
-    starred = lookup_by_group(long, ["value"], F.col("id"), {"h": F.min(hub)}, {"hub": F.min("h")})
+    starred = lookup_by_group(long, ["value"], {"hub": F.min(hub)}, scratch)
     ok = _promising(F.col("sketch"), F.col("hub.sketch"), F.col("n"), F.col("hub.n"), t)
     hub_pairs = starred.filter((F.col("id") != F.col("hub.id")) & ok).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
     pairs = scratch.cut(short_pairs.union(hub_pairs).distinct())
@@ -231,75 +240,136 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", scr
     more = scratch.cut(_verified(rest, sets, t))
     links_so_far = links.union(more)
     comps = components(links_so_far, scratch)
-    scratch.drop(sets, first_comps, first, rest)
+    scratch.drop(sets, first_comps, first, rest, pairs)
 
     # Members of long lists outside a list's largest component meet the rest of the list.
-    labelled = scratch.cut(long.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    labelled = scratch.cut(long.join(comps, "id", "left").select("id", "n", "sketch", "value", "df", F.coalesce("comp", "id").alias("comp")))
+    scratch.drop(listed)
     sizes = labelled.groupBy("value", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"))
-    main = main.filter("m > top.c").select("value", F.col("top.comp").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("rs"))
-    open_lists = scratch.cut(labelled.select("id", "value", "comp").join(scratch.cut(main), "value"))
-    if open_lists.limit(1).count():
-        found_late, late_sets = _late_links(open_lists, docs, width, t, scratch)
+    main = main.filter("m > top.c").select("value", F.col("top.comp").alias("main"), F.col("m").alias("members"), (F.col("m") - F.col("top.c")).alias("seekers"))
+    opened = scratch.cut(join_lists(labelled, main, ["value"], "members", scratch).drop("df"))
+    scratch.drop(labelled)
+    if opened.limit(1).count():
+        found_late = _late_links(opened, docs, width, t, scratch)
         early_comps, comps = comps, components(links_so_far.union(found_late), scratch)
-        scratch.drop(found_late, late_sets, early_comps)
-    scratch.drop(listed, pairs, links, more, labelled, open_lists)
+        scratch.drop(found_late, early_comps)
+    scratch.drop(links, more, opened)
 
-    ided = members.select("doc_id", "n", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    ided = ided.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
-    alone = found.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return ided.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    ided = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    ided = ided.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+    return ided.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _late_links(open_lists: DataFrame, docs: DataFrame, width: int, t: Fraction, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _late_links(opened: DataFrame, docs: DataFrame, width: int, t: Fraction, scratch: Scratch) -> DataFrame:
     """Links between members of a long list outside its largest component and its other members.
 
-    Both sides are dealt into blocks of about ``BLOCK`` texts; full sets of two blocks meet in one task, which returns only links.
+    Members look in every list of theirs: a partner may share any one of them. Both sides are dealt into blocks of about ``BLOCK``
+    sketches. Two blocks that meet in one task tell which of their texts have a promising partner in another component; the full sets
+    of these alone follow, in parts of about ``PART`` shingles, and confirm links. No row is made per pair.
     """
-    wanted = open_lists.select(F.col("id").alias("doc_id")).distinct()
-    sets = scratch.cut(full_sets(docs.join(wanted, "doc_id", "left_semi"), width))
-    # Members look in every list of theirs: a partner may share any one of them.
-    seekers = scratch.cut(open_lists.filter("comp != main"))
-    dealt = scratch.cut(seekers.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ss")))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    s = seekers.join(dealt, "value").select("id", "comp", "value", own("ss").alias("sb"), every("rs").alias("rb"), F.lit(True).alias("seeks"))
-    r = open_lists.join(dealt, "value").select("id", "comp", "value", every("ss").alias("sb"), own("rs").alias("rb"), F.lit(False).alias("seeks"))
-    rows = s.union(r).join(sets, "id")
-
-    def meet(table: pa.Table) -> pa.Table:
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    held = ["id", "n", "sketch", "comp", "value"]
+    s = opened.filter("comp != main").select(*held, own("seekers").alias("sb"), every("members").alias("rb"), F.lit(True).alias("seeks"))
+    r = opened.select(*held, every("seekers").alias("sb"), own("members").alias("rb"), F.lit(False).alias("seeks"))
+
+    def promising(table: pa.Table) -> pa.Table:
+        seeks = table["seeks"].to_numpy()
+        a, b = np.flatnonzero(seeks), np.flatnonzero(~seeks)
+        i, j = _promising_pairs(table, a, b, t)
+        a, b, size = a[i], b[j], table["n"].to_numpy()
+        # Texts with a partner are dealt into parts by their sizes; a part meets another where a pair of them has to be confirmed.
+        part = np.zeros(len(size), np.int64)
+        for side in (np.unique(a), np.unique(b)):
+            part[side] = (np.cumsum(size[side]) - size[side]) // PART
+        meets = np.unique(np.stack([part[a], part[b]], 1), axis=0)
+        rows, left, right = [], [], []
+        for p, q in meets.tolist():
+            both = (part[a] == p) & (part[b] == q)
+            some = np.concatenate([np.unique(a[both]), np.unique(b[both])])
+            rows.append(some)
+            left.append(np.full(len(some), p))
+            right.append(np.full(len(some), q))
+        whole = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        out = table.take(pa.array(whole(rows), pa.int64()))
+        return out.append_column("pa", pa.array(whole(left), pa.int64())).append_column("pb", pa.array(whole(right), pa.int64()))
+
+    kept = "id long, n long, sketch array<int>, comp long, value long, sb int, rb int, seeks boolean, pa long, pb long"
+    found = scratch.cut(s.union(r).groupBy("value", "sb", "rb").applyInArrow(promising, kept))
+    wanted = found.select(F.col("id").alias("doc_id")).distinct()
+    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"), width)
+
+    def confirm(table: pa.Table) -> pa.Table:
         ids, comp, seeks = (table[c].to_numpy() for c in ("id", "comp", "seeks"))
-        held = [np.frombuffer(x, np.uint64) for x in table["all"].to_pylist()]
-        size = np.array([len(x) for x in held], np.int64)
-        row, value = np.repeat(np.arange(len(held)), size), np.concatenate(held)
-        _, column, often = np.unique(value, return_inverse=True, return_counts=True)
-        place = np.cumsum(often > 1) - 1
-        used = often[column] > 1
-        row, column = row[used], place[column[used]]
+        sets = [np.frombuffer(x, np.uint64) for x in table["all"].to_pylist()]
         a, b = np.flatnonzero(seeks), np.flatnonzero(~seeks)
-        to_a, to_b = np.full(len(held), -1), np.full(len(held), -1)
-        to_a[a], to_b[b] = np.arange(len(a)), np.arange(len(b))
-        shared = np.zeros((len(a), len(b)), np.float32)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for lo in range(0, int(place[-1]) + 1, 4096):
-            i, j = np.searchsorted(column, [lo, lo + 4096])
-            x, y = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
-            rr, cc = row[i:j], column[i:j] - lo
-            left = seeks[rr]
-            x[to_a[rr[left]], cc[left]] = 1
-            y[to_b[rr[~left]], cc[~left]] = 1
-            shared += x @ y.T
-        n = np.rint(shared).astype(np.int64)
-        total = size[a][:, None] + size[b][None, :] - n
-        good = (n > 0) & (n * t.denominator >= total * t.numerator) & (comp[a][:, None] != comp[b][None, :])
-        i, j = np.nonzero(good)
-        # One link into a component is enough: its members are linked already.
-        edges = {(int(ids[a[x]]), int(comp[b[y]])): int(ids[b[y]]) for x, y in zip(i, j)}
-        first = [k[0] for k in edges]
-        return pa.table({"a": pa.array(first, pa.int64()), "b": pa.array(list(edges.values()), pa.int64())})
-
-    return scratch.cut(rows.groupBy("value", "sb", "rb").applyInArrow(meet, "a long, b long")), sets
+        i, j = _promising_pairs(table, a, b, t)
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        out = []
+        for x, y in zip(a[i].tolist(), b[j].tolist()):
+            # One link between two components is enough.
+            p, q = root(int(comp[x])), root(int(comp[y]))
+            if p != q and _linked(sets[x], sets[y], t):
+                joined[max(p, q)] = min(p, q)
+                out.append((int(ids[x]), int(ids[y])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    rows = found.join(sets, "id").groupBy("value", "sb", "rb", "pa", "pb").applyInArrow(confirm, "a long, b long")
+    # A member and the components that it was in: links are between members, so the components' own links stay beside them.
+    links = scratch.cut(rows)
+    scratch.drop(found)
+    return links
+
+
+def _promising_pairs(table: pa.Table, a: np.ndarray, b: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` (rows of ``table``) of pairs in two components that may be linked.
+
+    Common retained values are at least those among the K smallest of the union, so this admits every pair that the estimate admits.
+    """
+    size, comp = table["n"].to_numpy(), table["comp"].to_numpy()
+    lists = table["sketch"].combine_chunks()
+    held = np.diff(lists.offsets.to_numpy())
+    row, value = np.repeat(np.arange(len(size)), held), lists.flatten().to_numpy()
+    place = np.full(len(size), -1)
+    place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+    left = np.zeros(len(size), bool)
+    left[a] = True
+    _, column, often = np.unique(value, return_inverse=True, return_counts=True)
+    shared = np.zeros((len(a), len(b)), np.int32)
+    order = np.argsort(column, kind="stable")
+    order = order[often[column[order]] > 1]
+    row, column = row[order], column[order]
+    # Frequent values are counted by a product of matrices, at most 2 K BLOCK / 32 columns; rare ones pair by pair.
+    dense = often > 32
+    at = np.cumsum(dense) - 1
+    x, y = np.zeros((len(a), int(dense.sum())), np.float32), np.zeros((len(b), int(dense.sum())), np.float32)
+    some = dense[column]
+    for m, side in ((x, some & left[row]), (y, some & ~left[row])):
+        m[place[row[side]], at[column[side]]] = 1
+    shared += np.rint(x @ y.T).astype(np.int32)
+    row, column = row[~some], column[~some]
+    lr, lc = row[left[row]], column[left[row]]
+    rr, rc = row[~left[row]], column[~left[row]]
+    lo, hi = np.searchsorted(rc, lc, "left"), np.searchsorted(rc, lc, "right")
+    n = hi - lo
+    pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else lo, n) + np.arange(n.sum())
+    code = place[np.repeat(lr, n)] * np.int64(max(1, len(b))) + place[rr[pick]]
+    which, count = np.unique(code, return_counts=True)
+    shared.ravel()[which] += count.astype(np.int32)
+    na, nb = size[a][:, None], size[b][None, :]
+    union = na + nb - shared
+    alike = np.minimum(na, nb) * t.denominator >= np.maximum(na, nb) * t.numerator
+    exact = (na <= K) & (nb <= K) & (union <= K)
+    good = np.where(exact, shared * t.denominator >= union * t.numerator, shared >= LEAST_SHARED)
+    return np.nonzero(good & alike & (comp[a][:, None] != comp[b][None, :]))
 
 
 def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -310,9 +380,14 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, width: int = 5, threshold: str = "0.8", scratch: Scratch | None = None) -> DataFrame:
-    """One row of ``docs`` per group, with its columns: that with the smallest doc_id. Rows with a null doc_id stay."""
+    """One row of ``docs`` per group, with its columns: that with the smallest doc_id. Rows with a null doc_id stay.
+
+    Of rows that share this doc_id the one with the smallest text (null first) stays, whichever of their texts is linked.
+    """
     found = near_duplicates(docs, width, threshold, scratch)
-    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.filter("doc_id is not null").withColumn("__key", F.col("doc_id").cast("long"))
-    first = named.join(kept, F.col("__key") == F.col("__id"), "left_semi").dropDuplicates(["__key"])
-    return first.select(docs.columns).union(docs.filter("doc_id is null"))
+    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    # All columns travel in one struct, so none can clash with a name used here.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
+    first = Window.partitionBy("key").orderBy("row.text")
+    one = rows.filter("key is not null").join(kept, F.col("key") == F.col("kept_id"), "left_semi").withColumn("place", F.row_number().over(first)).filter("place = 1")
+    return one.select("row.*").union(rows.filter("key is null").select("row.*"))

@@ -91,7 +91,7 @@ def write_archive(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) -> t
     keyed = rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
     index = scratch.cut(keyed.withColumn("uid", F.monotonically_increasing_id()))
     top = F.struct("page_id", "uid")
-    found = lookup_by_group(index, ["digest", "size"], F.col("uid"), {"m": F.max(top)}, {"first": F.max("m")})
+    found = lookup_by_group(index, ["digest", "size"], {"first": F.max(top)}, scratch)
     revisit = (F.col("uid") != F.col("first.uid")) & (F.col("size") >= least_bytes)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(CRLF + CRLF))
     length = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("size"))

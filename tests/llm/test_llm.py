@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import bpe, chat, langid, lm, mixing, neardup, quality, queries, topk, toxicity, warc
+from palimpsest.llm import bpe, chat, common, langid, lm, mixing, neardup, quality, queries, topk, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path(queries.RANKS)
@@ -121,18 +121,42 @@ def test_near_duplicates_around_the_sketch_size(spark):
     assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
 
 
-def test_late_members_look_in_every_list(spark):
+def test_late_members_look_in_every_list(spark, monkeypatch):
     """Two texts that are in eight long lists, and outside the largest component of all: the partner is found whichever list they share."""
     words = lambda name, n: [f"{name}{i}" for i in range(n)]
     twin = words("t", 60)
-    docs = spark.createDataFrame([(1, " ".join(twin)), (2, " ".join(twin + ["u"]))], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(twin)), (2, " ".join(twin + ["u"])), (3, " ".join(words("o", 60)))], "doc_id long, text string")
+    short = {r.doc_id: (r.n, [x >> 32 for x in r.sketch]) for r in neardup.sketches(docs, 4).collect()}
     for common in range(8):
-        lists = [(1, v, 1, 9, 1) for v in range(8)] + [(2, v, 2, 9, 1) for v in range(100, 107)] + [(2, common, 2, 9, 1)]
-        opened = spark.createDataFrame(lists, "id long, value long, comp long, main long, rs int")
-        links, _ = neardup._late_links(opened, docs, 4, neardup.Fraction("0.8"), neardup.Scratch(spark, "t"))
+        lists = [(1, v, 1, 9) for v in range(8)] + [(2, v, 2, 9) for v in range(100, 107)] + [(2, common, 2, 9), (3, common, 3, 9)]
+        rows = [(i, *short[i], v, c, m, 2, 2) for i, v, c, m in lists]
+        opened = spark.createDataFrame(rows, "id long, n long, sketch array<int>, value long, comp long, main long, members long, seekers long")
+        links = neardup._late_links(opened, docs, 4, neardup.Fraction("0.8"), neardup.Scratch(spark, "t"))
         assert {frozenset((r.a, r.b)) for r in links.collect()} == {frozenset((1, 2))}, common
 
 
+def test_near_duplicates_across_blocks_and_parts(spark, monkeypatch):
+    """Lists of many blocks and parts, groups beyond the broadcast share, and small groups: the same links as by brute force."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "PART", 200)
+    monkeypatch.setattr(common, "HEAVY", 3)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        own = [f"q{i // 2}_{j}" for j in range(rng.choice((4, 12, 14, 25)))]
+        rows.append((i, " ".join(passage + own + ([f"z{i}"] if i % 2 else []))))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+
+
+def test_near_duplicate_rows_with_clashing_names(spark):
+    rows = [(2, "a b c d e f", "x", 1, 1, 1), (1, "a b c d e f", "y", 2, 2, 2), (1, "A B C D E F", "z", 3, 3, 3), (None, "q", "n", 4, 4, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, key long, kept_id long, __id long")
+    kept = neardup.deduplicated(df)
+    assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in df.collect() if r.row in "zn")
+
+
 def test_bpe_equals_the_library(spark, docs, empty):
     ranks = bpe.load_ranks(PATH)
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
