@@ -39,7 +39,7 @@ LEAST_SHARED = 14
 #: Members of a list that gives all its pairs.
 SHORT = 24
 #: Members of a block in which a long list is compared, and shingles of a part that confirms its links.
-BLOCK, PART = 1024, 1 << 20
+BLOCK, PART = 512, 1 << 18
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -303,7 +303,7 @@ def _late_links(opened: DataFrame, docs: DataFrame, width: int, t: Fraction, scr
 
     def confirm(table: pa.Table) -> pa.Table:
         ids, comp, seeks = (table[c].to_numpy() for c in ("id", "comp", "seeks"))
-        sets = [np.frombuffer(x, np.uint64) for x in table["all"].to_pylist()]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["all"]]
         a, b = np.flatnonzero(seeks), np.flatnonzero(~seeks)
         i, j = _promising_pairs(table, a, b, t)
         joined: dict[int, int] = {}
