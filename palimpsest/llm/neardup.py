@@ -207,10 +207,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", scr
     listed = counted.groupBy("id").agg(ranked.alias("v")).join(reps, "id")
     private = held - F.size("v")
     room = F.greatest(F.lit(0), held - sure + 1 - private).cast("int")
-    listed = listed.select("id", "n", "sketch", private.alias("private"), F.explode(F.slice("v", F.lit(1), room)).alias("v"))
+    listed = listed.select("id", "n", "sketch", private.alias("private"), F.slice("v", F.lit(1), room).alias("all")).select("*", F.posexplode("all").alias("pos", "v"))
     # Estimates need only the order and equality of retained values: their upper 31 bits.
     short_sketch = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch")
-    listed = scratch.cut(listed.select("id", "n", short_sketch, "private", "v.value", "v.df"))
+    # The values that a text is listed under before a long one: a pair is compared in the first list that it shares, and in no later one.
+    before = F.when(F.col("v.df") > SHORT, F.transform(F.slice("all", F.lit(1), F.col("pos")), lambda x: x["value"])).alias("before")
+    listed = scratch.cut(listed.select("id", "n", short_sketch, "private", "v.value", "v.df", before))
     scratch.drop(reps)
 
     # Short lists give all their pairs.
@@ -243,7 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", scr
     scratch.drop(sets, first_comps, first, rest, pairs)
 
     # Members of long lists outside a list's largest component meet the rest of the list.
-    labelled = scratch.cut(long.join(comps, "id", "left").select("id", "n", "sketch", "value", "df", F.coalesce("comp", "id").alias("comp")))
+    labelled = scratch.cut(long.join(comps, "id", "left").select("id", "n", "sketch", "before", "value", "df", F.coalesce("comp", "id").alias("comp")))
     scratch.drop(listed)
     sizes = labelled.groupBy("value", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"))
@@ -264,14 +266,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", scr
 def _late_links(opened: DataFrame, docs: DataFrame, width: int, t: Fraction, scratch: Scratch) -> DataFrame:
     """Links between members of a long list outside its largest component and its other members.
 
-    Members look in every list of theirs: a partner may share any one of them. Both sides are dealt into blocks of about ``BLOCK``
-    sketches. Two blocks that meet in one task tell which of their texts have a promising partner in another component; the full sets
+    Members look in every list of theirs: a partner may share any one of them. Of the lists that a pair shares only the first, by
+    ``df`` and value, compares it; a short one has done so before. Both sides are dealt into blocks of about ``BLOCK`` sketches. Two blocks that meet in one task tell which of their texts have a promising partner in another component; the full sets
     of these alone follow, in parts of about ``PART`` shingles, and confirm links. No row is made per pair.
     """
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    held = ["id", "n", "sketch", "comp", "value"]
+    held = ["id", "n", "sketch", "before", "comp", "value"]
     s = opened.filter("comp != main").select(*held, own("seekers").alias("sb"), every("members").alias("rb"), F.lit(True).alias("seeks"))
     r = opened.select(*held, every("seekers").alias("sb"), own("members").alias("rb"), F.lit(False).alias("seeks"))
 
@@ -296,7 +298,7 @@ def _late_links(opened: DataFrame, docs: DataFrame, width: int, t: Fraction, scr
         out = table.take(pa.array(whole(rows), pa.int64()))
         return out.append_column("pa", pa.array(whole(left), pa.int64())).append_column("pb", pa.array(whole(right), pa.int64()))
 
-    kept = "id long, n long, sketch array<int>, comp long, value long, sb int, rb int, seeks boolean, pa long, pb long"
+    kept = "id long, n long, sketch array<int>, before array<long>, comp long, value long, sb int, rb int, seeks boolean, pa long, pb long"
     found = scratch.cut(s.union(r).groupBy("value", "sb", "rb").applyInArrow(promising, kept))
     wanted = found.select(F.col("id").alias("doc_id")).distinct()
     sets = full_sets(docs.join(wanted, "doc_id", "left_semi"), width)
@@ -335,41 +337,44 @@ def _promising_pairs(table: pa.Table, a: np.ndarray, b: np.ndarray, t: Fraction)
     Common retained values are at least those among the K smallest of the union, so this admits every pair that the estimate admits.
     """
     size, comp = table["n"].to_numpy(), table["comp"].to_numpy()
-    lists = table["sketch"].combine_chunks()
-    held = np.diff(lists.offsets.to_numpy())
-    row, value = np.repeat(np.arange(len(size)), held), lists.flatten().to_numpy()
-    place = np.full(len(size), -1)
+    shared = _shared(table["sketch"], a, b)
+    earlier = _shared(table["before"], a, b) > 0
+    na, nb = size[a][:, None], size[b][None, :]
+    union = na + nb - shared
+    alike = np.minimum(na, nb) * t.denominator >= np.maximum(na, nb) * t.numerator
+    exact = (na <= K) & (nb <= K) & (union <= K)
+    good = np.where(exact, shared * t.denominator >= union * t.numerator, shared >= LEAST_SHARED)
+    return np.nonzero(good & alike & ~earlier & (comp[a][:, None] != comp[b][None, :]))
+
+
+def _shared(column: pa.ChunkedArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values the lists of rows ``a`` and ``b`` have in common, pair by pair."""
+    lists = column.combine_chunks()
+    row, value = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    place = np.full(len(lists), -1)
     place[a], place[b] = np.arange(len(a)), np.arange(len(b))
-    left = np.zeros(len(size), bool)
+    left = np.zeros(len(lists), bool)
     left[a] = True
     _, column, often = np.unique(value, return_inverse=True, return_counts=True)
-    shared = np.zeros((len(a), len(b)), np.int32)
     order = np.argsort(column, kind="stable")
     order = order[often[column[order]] > 1]
     row, column = row[order], column[order]
-    # Frequent values are counted by a product of matrices, at most 2 K BLOCK / 32 columns; rare ones pair by pair.
+    # Frequent values are counted by a product of matrices, of at most 1 / 32 of all values as columns; rare ones pair by pair.
     dense = often > 32
-    at = np.cumsum(dense) - 1
+    at, some = np.cumsum(dense) - 1, dense[column]
     x, y = np.zeros((len(a), int(dense.sum())), np.float32), np.zeros((len(b), int(dense.sum())), np.float32)
-    some = dense[column]
     for m, side in ((x, some & left[row]), (y, some & ~left[row])):
         m[place[row[side]], at[column[side]]] = 1
-    shared += np.rint(x @ y.T).astype(np.int32)
+    shared = np.rint(x @ y.T).astype(np.int32)
     row, column = row[~some], column[~some]
     lr, lc = row[left[row]], column[left[row]]
     rr, rc = row[~left[row]], column[~left[row]]
-    lo, hi = np.searchsorted(rc, lc, "left"), np.searchsorted(rc, lc, "right")
-    n = hi - lo
-    pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else lo, n) + np.arange(n.sum())
-    code = place[np.repeat(lr, n)] * np.int64(max(1, len(b))) + place[rr[pick]]
-    which, count = np.unique(code, return_counts=True)
+    lo = np.searchsorted(rc, lc, "left")
+    n = np.searchsorted(rc, lc, "right") - lo
+    pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    which, count = np.unique(place[np.repeat(lr, n)] * np.int64(max(1, len(b))) + place[rr[pick]], return_counts=True)
     shared.ravel()[which] += count.astype(np.int32)
-    na, nb = size[a][:, None], size[b][None, :]
-    union = na + nb - shared
-    alike = np.minimum(na, nb) * t.denominator >= np.maximum(na, nb) * t.numerator
-    exact = (na <= K) & (nb <= K) & (union <= K)
-    good = np.where(exact, shared * t.denominator >= union * t.numerator, shared >= LEAST_SHARED)
-    return np.nonzero(good & alike & (comp[a][:, None] != comp[b][None, :]))
+    return shared
 
 
 def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:

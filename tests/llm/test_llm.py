@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -127,12 +128,20 @@ def test_late_members_look_in_every_list(spark, monkeypatch):
     twin = words("t", 60)
     docs = spark.createDataFrame([(1, " ".join(twin)), (2, " ".join(twin + ["u"])), (3, " ".join(words("o", 60)))], "doc_id long, text string")
     short = {r.doc_id: (r.n, [x >> 32 for x in r.sketch]) for r in neardup.sketches(docs, 4).collect()}
-    for common in range(8):
-        lists = [(1, v, 1, 9) for v in range(8)] + [(2, v, 2, 9) for v in range(100, 107)] + [(2, common, 2, 9), (3, common, 3, 9)]
-        rows = [(i, *short[i], v, c, m, 2, 2) for i, v, c, m in lists]
-        opened = spark.createDataFrame(rows, "id long, n long, sketch array<int>, value long, comp long, main long, members long, seekers long")
+    for which in range(8):
+        lists = {1: list(range(8)), 2: sorted([*range(100, 107), which]), 3: [which]}
+        rows = [(i, *short[i], own[:j], v, i, 9, 2, 2) for i, own in lists.items() for j, v in enumerate(own)]
+        opened = spark.createDataFrame(rows, "id long, n long, sketch array<int>, before array<long>, value long, comp long, main long, members long, seekers long")
         links = neardup._late_links(opened, docs, 4, neardup.Fraction("0.8"), neardup.Scratch(spark, "t"))
-        assert {frozenset((r.a, r.b)) for r in links.collect()} == {frozenset((1, 2))}, common
+        assert {frozenset((r.a, r.b)) for r in links.collect()} == {frozenset((1, 2))}, which
+
+
+def test_shared_values_of_pairs():
+    rng = random.Random(5)
+    lists = [sorted({rng.choice((rng.randrange(6), rng.randrange(400))) for _ in range(20)}) for _ in range(90)]
+    a, b = np.arange(0, 90, 2), np.arange(1, 90, 2)
+    got = neardup._shared(pa.chunked_array([pa.array(lists, pa.list_(pa.int64()))]), a, b)
+    assert got.tolist() == [[len(set(lists[i]) & set(lists[j])) for j in b] for i in a] and got.max() > 3
 
 
 def test_near_duplicates_across_blocks_and_parts(spark, monkeypatch):
