@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ from palimpsest.sources.files import drop_at_end, scratch_root
 SLICE_BYTES = 2 << 20
 #: Share of all rows beyond which a group is joined by broadcast: there are fewer than this many such groups.
 HEAVY = 4096
+#: Bits of the map of wanted ids, as a power of two: 8 MB are collected and broadcast.
+ID_BITS = 26
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +85,23 @@ def lookup_by_group(rows: DataFrame, keys: list[str], aggregates: dict[str, Colu
     return join_lists(rows, groups, keys, "__size", scratch).drop("__size")
 
 
+def id_bits(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of 2 ** ``ID_BITS`` bits, whatever the number of ids: the bit of every id's hash is set.
+
+    It lets tasks leave out most rows that a later join would drop, without a shuffle of these rows.
+    """
+    h = id_bit(F.col(column))
+    rows = ids.select(F.shiftright(h, 15).alias("bucket"), h.bitwiseAND(F.lit(32767)).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = np.zeros(1 << (ID_BITS - 3), np.uint8)
+    for r in rows.collect():
+        out[r["bucket"] << 12 : (r["bucket"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def id_bit(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << ID_BITS))
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that the texts of each hold about ``limit`` bytes; a longer text is alone."""
     for batch in batches:

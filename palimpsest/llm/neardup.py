@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Scratch, join_lists, lookup_by_group, map_text
+from palimpsest.llm.common import Scratch, id_bit, id_bits, join_lists, lookup_by_group, map_text, text_slices
 from palimpsest.llm.textscan import mix, scan
 
 #: Retained values of a sketch, and how many a pair at the threshold shares with near certainty.
@@ -99,12 +99,20 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return map_text(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, n long, f1 long, f2 long, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    def work(part: pa.RecordBatch) -> dict:
-        offsets, value = shingle_sets(_texts(part), width)
-        return {"id": part.column(0), "all": [value[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]}
+def full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """id, all (every shingle hash, ascending) of the documents in ``wanted`` (id) and, rarely, of others."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_bits(wanted, "id"))
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits.value[at >> 3] >> (at & 7)) & 1 > 0))
+            for part in text_slices([batch], 1):
+                offsets, value = shingle_sets(_texts(part), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([value[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], ["id", "all"])
 
-    return map_text(docs.select("doc_id", "text"), work, "id long, all binary")
+    some = docs.filter("doc_id is not null").select("doc_id", "text", id_bit(F.col("doc_id")).alias("bit"))
+    return some.mapInArrow(run, "id long, all binary")
 
 
 def _similar_sizes(a: Column, b: Column, t: Fraction) -> Column:
@@ -230,8 +238,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", scr
     pairs = scratch.cut(short_pairs.union(hub_pairs).distinct())
 
     # Every text's first pairs are verified, then those that still join two components.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.cut(full_sets(docs.join(wanted, "doc_id", "left_semi"), width))
+    sets = scratch.cut(full_sets(docs, width, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e")).select("e.*")
     first = ends.groupBy("id").agg(F.min(F.struct(F.xxhash64(F.least("id", "other"), F.greatest("id", "other")).alias("h"), "other")).alias("m"))
     first = scratch.cut(first.select(F.least("id", "m.other").alias("a"), F.greatest("id", "m.other").alias("b")).distinct())
@@ -300,8 +307,7 @@ def _late_links(opened: DataFrame, docs: DataFrame, width: int, t: Fraction, scr
 
     kept = "id long, n long, sketch array<int>, before array<long>, comp long, value long, sb int, rb int, seeks boolean, pa long, pb long"
     found = scratch.cut(s.union(r).groupBy("value", "sb", "rb").applyInArrow(promising, kept))
-    wanted = found.select(F.col("id").alias("doc_id")).distinct()
-    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"), width)
+    sets = full_sets(docs, width, found)
 
     def confirm(table: pa.Table) -> pa.Table:
         ids, comp, seeks = (table[c].to_numpy() for c in ("id", "comp", "seeks"))
