@@ -1,14 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes forwards and backwards, labels every byte position with language
-probabilities, and is trained in numpy by backpropagation through time. The recurrence starts anew at
-every word (and every ``WINDOW`` bytes of a longer run), so its output is a function of the window alone
-and a worker computes it once per distinct word. A document's probabilities are the mean over all byte
-positions of its whole text.
+The network reads the bytes of a text, separators included, forwards and backwards, labels every byte position with language
+probabilities, and is trained in numpy by backpropagation through time. Its state runs on across words. A text is read in
+windows that overlap: a window labels ``CORE`` positions, and its two directions start ``CONTEXT`` bytes before and behind
+them (at the text's ends where these are nearer), after which a start has no effect that counts. A document's probabilities are
+the mean over all byte positions of its whole text.
 
-Learning uses a bounded sample: of documents that are not held out, at most ``SAMPLE_DOCS`` per language and of
-their words at most ``SAMPLE_WORDS`` distinct ones per language, weighted by their counts; and the
-``MOST_LANGS`` most frequent languages.
+Learning uses a bounded sample: of documents that are not held out, at most ``SAMPLE_DOCS`` per language, and of all their
+pieces of ``PIECE`` bytes at most ``SAMPLE_PIECES`` per language, both chosen by hash. Every non-null ``lang`` is learned;
+the driver holds a label, an output column and a sample for each.
 
 Defined results: null text or text without a letter is ``und`` with score 0; without any labelled text
 everything is ``und``; ties go to the alphabetically first language.
@@ -16,22 +16,21 @@ everything is ``und``; ties go to the alphabetically first language.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import held_out, map_text
-from palimpsest.llm.textscan import SEPARATORS, WordMemo, scan
+from palimpsest.llm.common import held_out, map_text, text_slices
 
-SAMPLE_DOCS, SAMPLE_WORDS, MOST_LANGS = 400, 4000, 64
-WINDOW = 32
+#: The sample of a language: documents, pieces of them, and bytes of a piece.
+SAMPLE_DOCS, SAMPLE_PIECES, PIECE = 400, 1200, 96
+#: Positions that a window labels, bytes of context on either side, and states that a batch of windows holds.
+CORE, CONTEXT, STATES = 896, 64, 1 << 23
 #: Sizes of the network and its training.
-EMBED, HIDDEN = 8, 16
-EPOCHS, BATCH, RATE = 10, 256, 0.01
+EMBED, HIDDEN = 8, 8
+EPOCHS, BATCH, RATE = 8, 64, 0.01
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -140,22 +139,74 @@ class ByteTagger:
             losses.append(float(np.mean(seen)))
         return losses
 
-    def position_sums(self, words: list[bytes]) -> np.ndarray:
-        """Per word: the label probabilities summed over its byte positions, then the number of positions."""
-        pieces, owner = [], []
-        for i, w in enumerate(words):
-            for a in range(0, len(w), WINDOW):
-                pieces.append(w[a : a + WINDOW])
-                owner.append(i)
-        out = np.zeros((len(words), len(self.labels) + 1), np.float32)
-        order = np.argsort([len(x) for x in pieces], kind="stable")
-        for a in range(0, len(order), 4096):
-            rows = order[a : a + 4096]
-            codes, live = pack([pieces[i] for i in rows])
-            sums = (self.forward(codes, live) * live[:, :, None]).sum(0)
-            np.add.at(out, np.array(owner)[rows], np.concatenate([sums, live.sum(0)[:, None]], axis=1))
+    def position_sums(self, texts: list[bytes]) -> np.ndarray:
+        """Per text the label probabilities summed over its byte positions, then the number of positions."""
+        out = np.zeros((len(texts), len(self.labels) + 1))
+        out[:, -1] = [len(t) for t in texts]
+        cut = [(len(t[lo:hi]), i, a - lo, min(a + CORE, len(t)) - lo, t[lo:hi]) for i, t in enumerate(texts) for a in range(0, len(t), CORE) for lo, hi in [(max(0, a - CONTEXT), a + CORE + CONTEXT)]]
+        cut.sort(key=lambda w: -w[0])
+        at = 0
+        while at < len(cut):
+            rows = min(512, max(1, STATES // (cut[at][0] * (2 * HIDDEN + 2 * len(self.labels)))))
+            own = cut[at : at + rows]
+            for (_, i, _, _, _), sums in zip(own, self._window_sums(own)):
+                out[i, :-1] += sums
+            at += rows
         return out
 
+    def _window_sums(self, windows: list[tuple]) -> np.ndarray:
+        """Summed probabilities of the labelled positions of windows (size, text, from, to, bytes), longest first.
+
+        Both directions run side by side, the second over reversed bytes. Weights of the gates are halved, as a sigmoid is half a tanh.
+        """
+        p, H, rows = self.p, HIDDEN, len(windows)
+        size = np.array([w[0] for w in windows])
+        steps = int(size[0])
+        codes = np.zeros((2, rows, steps), np.uint8)
+        for i, w in enumerate(windows):
+            codes[0, i, : w[0]] = np.frombuffer(w[4], np.uint8)
+            codes[1, i, : w[0]] = codes[0, i, w[0] - 1 :: -1]
+        codes = np.ascontiguousarray(codes.transpose(2, 0, 1))
+        half = np.repeat(np.float32([0.5, 0.5, 1.0]), H)
+        tables = [((p["embed"] @ p[f"{d}x"] + p[f"{d}c"]) * half).astype(np.float32) for d in "fb"]
+        gates = np.stack([p[f"{d}h"][:, : 2 * H] * 0.5 for d in "fb"])
+        inner = np.stack([p[f"{d}h"][:, 2 * H :] * 0.5 for d in "fb"])
+        states = np.zeros((steps, 2, rows, H), np.float32)
+        live = np.searchsorted(-size, -np.arange(steps), "left")
+        h = np.zeros((2, rows, H), np.float32)
+        x = np.empty((2, rows, 3 * H), np.float32)
+        for t in range(steps):
+            m = live[t]
+            if m < h.shape[1]:
+                h = np.ascontiguousarray(h[:, :m])
+                x = np.empty((2, m, 3 * H), np.float32)
+            np.take(tables[0], codes[t, 0, :m], 0, out=x[0], mode="clip")
+            np.take(tables[1], codes[t, 1, :m], 0, out=x[1], mode="clip")
+            g = np.matmul(h, gates)
+            g += x[:, :, : 2 * H]
+            np.tanh(g, out=g)
+            g += 1
+            n = np.matmul(g[:, :, H:] * h, inner)
+            n += x[:, :, 2 * H :]
+            np.tanh(n, out=n)
+            n -= h
+            n *= g[:, :, :H]
+            n *= 0.5
+            h += n
+            states[t, :, :m] = h
+        logits = np.empty((steps, rows, len(self.labels)), np.float32)
+        np.matmul(states[:, 0], p["out"][:H], out=logits)
+        back = np.matmul(states[:, 1], p["out"][H:])
+        for i, n in enumerate(size):
+            logits[:n, i] += back[n - 1 :: -1, i]
+        logits += p["bias"]
+        logits -= logits.max(axis=2, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=2, keepdims=True)
+        place = np.arange(steps)[:, None]
+        own = (place >= np.array([w[2] for w in windows])) & (place < np.array([w[3] for w in windows]))
+        return np.einsum("trl,tr->rl", logits, own.astype(np.float32)).astype(np.float64)
+
 
 def pack(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes and live flags, (time, rows), of byte windows."""
@@ -168,63 +219,41 @@ def pack(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame) -> ByteTagger | None:
     """A network trained on a bounded sample of labelled documents that are not held out."""
-    known = docs.select(F.col("doc_id"), F.col("lang"), F.col("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    every = F.lit(1)
-    for lang, n in counts.items():
-        every = F.when(F.col("lang") == lang, F.lit(max(1, n // SAMPLE_DOCS))).otherwise(every)
+    every = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // SAMPLE_DOCS))]), F.col("lang"))
     order = F.xxhash64("doc_id", "text")
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = known.filter(F.col("lang").isin(list(counts)) & (F.pmod(order, every) == 0)).withColumn("h", order)
-    chosen = chosen.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= SAMPLE_DOCS)
-    space = "[" + "".join(f"\\x{c:02x}" for c in SEPARATORS) + "]+"
-    words = chosen.select("lang", F.explode(F.split(F.lower("text"), space)).alias("word")).filter("word != ''")
-    words = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("word"), "word")
-    rows = words.withColumn("place", F.row_number().over(pick)).filter(F.col("place") <= SAMPLE_WORDS).orderBy("lang", "word").collect()
+    chosen = known.withColumn("h", order).filter(F.pmod(F.col("h"), every) == 0).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= SAMPLE_DOCS)
+
+    def cut(batches):
+        for batch in batches:
+            for part in text_slices([batch], 1):
+                rows = [(lang, a, raw[a : a + PIECE]) for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for raw in [text.lower().encode()] for a in range(0, len(raw), PIECE)]
+                yield pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "at": [r[1] for r in rows], "piece": [r[2] for r in rows]}, schema=pa.schema([("lang", pa.string()), ("at", pa.int64()), ("piece", pa.binary())]))
+
+    pieces = chosen.select("lang", "text").mapInArrow(cut, "lang string, at long, piece binary")
+    pick = Window.partitionBy("lang").orderBy(F.xxhash64("piece", "at"), "piece")
+    rows = pieces.withColumn("place", F.row_number().over(pick)).filter(F.col("place") <= SAMPLE_PIECES).orderBy("lang", "place").collect()
     labels = sorted({r["lang"] for r in rows})
     if not labels:
         return None
-    windows, target, weight = [], [], []
-    for r in rows:
-        raw = r["word"].encode()
-        for a in range(0, len(raw), WINDOW):
-            windows.append(raw[a : a + WINDOW])
-            target.append(labels.index(r["lang"]))
-            weight.append(float(r["n"]) ** 0.75)
+    at = {lang: i for i, lang in enumerate(labels)}
     net = ByteTagger(labels)
-    net.train(windows, np.array(target), np.array(weight, np.float32))
+    net.train([bytes(r["piece"]) for r in rows], np.array([at[r["lang"]] for r in rows]), np.ones(len(rows), np.float32))
     return net
 
 
-_memos: dict[bytes, WordMemo] = {}
-
-
-def _memo(net: ByteTagger) -> WordMemo:
-    key = hashlib.sha256(b"".join(net.p[k].tobytes() for k in sorted(net.p))).digest()
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = WordMemo(len(net.labels) + 1)
-    return _memos[key]
-
-
 def predict(texts: list[str | None], net: ByteTagger | None) -> tuple[list[str], np.ndarray]:
     """Language and score of whole texts."""
     lang, score = ["und"] * len(texts), np.zeros(len(texts))
-    if net is None:
-        return lang, score
-    words = scan([(t or "").lower().encode() for t in texts], lower=False)
-    place, table = _memo(net).lookup(words, net.position_sums)
-    sums = np.zeros((len(texts), table.shape[1]))
-    for k in range(table.shape[1]):
-        sums[:, k] = np.bincount(words.doc, weights=table[:, k][place], minlength=len(texts))
-    mean = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
-    best = mean.argmax(1)
-    for i, t in enumerate(texts):
-        if t and sums[i, -1] and _LETTER.search(t):
-            lang[i], score[i] = net.labels[best[i]], min(1.0, float(mean[i, best[i]]))
+    some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if net is not None else []
+    sums = net.position_sums([texts[i].lower().encode() for i in some]) if some else np.zeros((0, 2))
+    mean = sums[:, :-1] / sums[:, -1:]
+    for i, m in zip(some, mean):
+        lang[i], score[i] = net.labels[m.argmax()], min(1.0, float(m.max()))
     return lang, score
 
 
@@ -249,8 +278,6 @@ def accept(docs: DataFrame, net: ByteTagger | None, sure: float = 0.8) -> DataFr
     at, tag = names.index("text"), names.index("lang")
 
     def run(batches):
-        from palimpsest.llm.common import text_slices
-
         for part in text_slices(batches, at):
             texts, given = part.column(at).to_pylist(), part.column(tag).to_pylist()
             lang, score = predict(texts, net)

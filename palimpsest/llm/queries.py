@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, chat, langid, lm, mixing, neardup, quality, topk, toxicity, warc
-from palimpsest.llm.common import read_table
+from palimpsest.llm.common import Scratch, read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Weights of languages in every domain.
@@ -58,8 +58,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    words = lm.vocabulary(docs)
-    return lm.score(docs, words, lm.train(docs, words))
+    return lm.score(docs, lm.fit(docs, Scratch(spark, "lm")))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

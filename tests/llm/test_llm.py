@@ -196,6 +196,38 @@ def test_langid(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_langid_against_a_naive_pass():
+    """Sums of overlapping windows equal a pass over the whole text, state by state; beyond a window's size up to what a start still matters."""
+    rng = random.Random(3)
+    net = langid.ByteTagger(["a", "b", "c"])
+    pieces = ["".join(rng.choice(x) for _ in range(90)).encode() for x in ("abcd efg", "efgh  ij", "xyz é ab") for _ in range(60)]
+    net.train(pieces, np.repeat([0, 1, 2], 60), np.ones(180, np.float32), epochs=3)
+    texts = ["".join(rng.choice("abcdefghijxyz é\n") for _ in range(n)).encode() for n in (1, 2, 5, 63, 64, 300, 895, 896, 897, 960, 2500, 2 * langid.CORE)]
+
+    def naive(text):
+        """One byte after the other, in plain formulas."""
+        states = {}
+        for d in "fb":
+            h, out = np.zeros(langid.HIDDEN), []
+            for c in text if d == "f" else text[::-1]:
+                x = net.p["embed"][c] @ net.p[f"{d}x"] + net.p[f"{d}c"]
+                H = langid.HIDDEN
+                z, r = (1 / (1 + np.exp(-(x[i * H : (i + 1) * H] + h @ net.p[f"{d}h"][:, i * H : (i + 1) * H]))) for i in (0, 1))
+                n = np.tanh(x[2 * H :] + (r * h) @ net.p[f"{d}h"][:, 2 * H :])
+                h = h + z * (n - h)
+                out.append(h)
+            states[d] = np.array(out if d == "f" else out[::-1])
+        logits = np.concatenate([states["f"], states["b"]], 1) @ net.p["out"] + net.p["bias"]
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        return (p / p.sum(1, keepdims=True)).sum(0)
+
+    got = net.position_sums(texts)
+    assert got[:, -1].tolist() == [len(t) for t in texts]
+    for t, sums in zip(texts, got):
+        assert np.allclose(sums[:-1] / len(t), naive(t) / len(t), atol=2e-3 if len(t) > langid.CORE else 1e-5), len(t)
+    assert np.allclose(net.position_sums(texts[3:5]), got[3:5], atol=1e-4)
+
+
 def test_langid_gradient():
     net = langid.ByteTagger(["a", "b", "c"])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -405,27 +437,87 @@ def test_topk(spark):
     assert topk.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_pseudo_likelihood(spark, docs, empty):
-    net = lm.WindowNetwork()
+def test_pseudo_likelihood_network():
+    """Probabilities of all tokens sum to 1, agree with plain formulas, and steps follow the numeric gradient."""
     rng = np.random.default_rng(0)
-    context, target = rng.integers(0, 1024, (4, 500)), rng.integers(0, 1024, 500)
-    h = np.tanh(sum(net.p["embed"][j][context[j]] for j in range(4)) + net.p["hidden"])
+    context, target = rng.integers(0, 1024, (4, 50)), rng.integers(0, 1024, 50)
+    net = lm.WindowNetwork()
+    for store in (net.p, net.square):
+        for k in store:
+            store[k] = store[k].astype(np.float64)
     each = lm.VOCABULARY // lm.GROUPS
-    total = np.zeros(500)
-    for w in range(lm.VOCABULARY):
-        total += np.exp(net.log_probs(context, np.full(500, w)))
-    assert np.allclose(total, 1, atol=1e-3) and h.shape == (500, lm.WIDTH) and each == 32
-    before = net.log_probs(context, target).mean()
+
+    def naive(i):
+        h = np.tanh(sum(net.p["embed"][j][context[j, i]] for j in range(4)) + net.p["hidden"])
+        soft = lambda x: np.exp(x) / np.exp(x).sum()
+        g = target[i] // each
+        return np.log(soft(h @ net.p["group"] + net.p["group_b"])[g]) + np.log(soft(h @ net.p["inner"][g] + net.p["inner_b"][g])[target[i] % each])
+
+    assert np.allclose(net.log_probs(context, target), [naive(i) for i in range(50)], atol=1e-6)
+    assert np.allclose(sum(np.exp(net.log_probs(context, np.full(50, w))) for w in range(lm.VOCABULARY)), 1, atol=1e-6)
+    loss = lambda: -net.log_probs(context, target).mean()
+    numeric = {}
+    for k, v in net.p.items():
+        at = {"embed": (1, context[1, 0], 3), "inner": (target[0] // each, 3, target[0] % each), "inner_b": (target[0] // each, target[0] % each)}.get(k, (0,) * v.ndim)
+        v[at] += 1e-5
+        up = loss()
+        v[at] -= 2e-5
+        numeric[k] = at, (up - loss()) / 2e-5
+        v[at] += 1e-5
+    before, square = {k: v.copy() for k, v in net.p.items()}, {k: v.copy() for k, v in net.square.items()}
+    net.log_probs(context, target, learn=True)
+    for k, (at, g) in numeric.items():
+        used = np.sqrt(net.square[k][at] - square[k][at]) * np.sign(before[k][at] - net.p[k][at])
+        assert abs(used - g) < 1e-6, k
+    first = loss()
     for _ in range(20):
         net.log_probs(context, target, learn=True)
-    assert net.log_probs(context, target).mean() > before
-    words = lm.vocabulary(docs)
-    trained = lm.train(docs, words)
-    got = {r.doc_id: r for r in lm.score(docs, words, trained).collect()}
-    assert got[9000001].log_likelihood == 0.0 and got[9000001].mean_log_likelihood is None and got[9000006].n_tokens == 2
-    plain = lm.score(docs, words, lm.WindowNetwork()).agg(F.sum("log_likelihood")).first()[0]
-    assert sum(r.log_likelihood for r in lm.score(docs, words, trained).collect()) > plain
-    assert lm.vocabulary(empty) == [] and lm.score(empty, [], lm.train(empty, [])).count() == 0
+    assert loss() < first
+
+
+def test_pseudo_likelihood(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 20000)
+    monkeypatch.setattr(lm, "PART", 9000)
+    model = lm.fit(docs, common.Scratch(spark, "t"))
+    got = lm.score(docs, model).collect()
+    assert len(got) == docs.count()
+    by = {r.doc_id: r for r in got}
+    assert by[9000002].log_likelihood == 0.0 and by[9000002].mean_log_likelihood is None and by[9000006].n_tokens == 2
+    # Counts, tokens and windows, naively.
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = {r.doc_id: WORD.findall((r.text or "").translate(lower)) for r in docs.collect()}
+    count = Counter(w for r in docs.collect() for w in WORD.findall((r.text or "").translate(lower)))
+    found = lm.scan([w.encode() for w in count])
+    token = dict(zip(count, model.tokens(found).tolist()))
+    often = sorted(count, key=lambda w: -count[w])[: lm.VOCABULARY - 1 - lm.BUCKETS]
+    assert sum(count[w] for w in often) == sum(count[w] for w in count if token[w] > lm.BUCKETS)
+    total, kinds = Counter(), Counter()
+    for w, n in count.items():
+        total[token[w]] += n
+        kinds[token[w]] += 1
+    net = lm.WindowNetwork().load(model.flat)
+    for doc in (9000001, 9000005, 9000006, 0, 7):
+        words = texts[doc]
+        ids = [token[w] for w in words]
+        pad = [0, 0, *ids, 0, 0]
+        want = sum(
+            (float(net.log_probs(np.array([[pad[i]], [pad[i + 1]], [pad[i + 3]], [pad[i + 4]]]), np.array([t]))[0]) if len(ids) < 2000 else 0.0)
+            + (np.log((count[w] + 1) / (total[t] + kinds[t] + 1)) if t <= lm.BUCKETS else 0.0)
+            for i, (w, t) in enumerate(zip(words, ids))
+        )
+        if len(ids) >= 2000:
+            want += lm.network_scores(np.array(ids), np.zeros(len(ids), np.int64), 1, net)[0]
+        assert abs(by[doc].log_likelihood - want) < 1e-3 + 1e-5 * abs(want), doc
+    assert sum(lm.network_scores(np.array([token[w] for w in texts[i]]), np.zeros(len(texts[i]), np.int64), 1, net)[0] for i in (0, 7)) > sum(lm.network_scores(np.array([token[w] for w in texts[i]]), np.zeros(len(texts[i]), np.int64), 1, lm.WindowNetwork())[0] for i in (0, 7))
+    # A word that the corpus lacks has a share of its class; and other partitions give the same scores.
+    odd = lm.score(spark.createDataFrame([(1, "qzqzqz")], "doc_id long, text string"), model).first()
+    assert odd.log_likelihood < -3 and odd.n_tokens == 1
+    for n in (2, 8):
+        again = lm.fit(docs.repartition(n), common.Scratch(spark, "t"))
+        other = sorted(lm.score(docs.repartition(n), again).collect(), key=str)
+        for x, y in zip(sorted(got, key=str), other):
+            assert x.doc_id == y.doc_id and abs(x.log_likelihood - y.log_likelihood) <= 1e-6 * abs(x.log_likelihood) + 1e-6
+    assert lm.score(empty, lm.fit(empty, common.Scratch(spark, "t"))).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
