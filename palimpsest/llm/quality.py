@@ -2,14 +2,15 @@
 
 Everything is a DataFrame expression. Statistics come from each whole text. Their transformed vectors are
 rounded to integers, so sums are exact and do not depend on the order of rows. For every (lang, source)
-group the estimate starts at the coordinate-wise median and a diagonal scale, then concentration steps
-refit mean and covariance on the ``SHARE`` of rows nearest by Mahalanobis distance until that is stable, at most ``STEPS`` times
-(rows of one cell can make a group alternate between two near-equal fits). The step's quantile
-comes from a histogram of distances, so no group is ever sorted or gathered. Rows beyond ``CUTOFF``
-are rejected.
-
-A group of fewer than ``SMALL`` rows that pass the fixed limits is judged by the estimate of all rows of its
-language, large groups included, and where these are too few by that of the whole corpus; only a corpus that is
+group the estimate starts from ``STARTS`` first fits. From each, concentration steps refit mean and covariance on the ``SHARE`` of
+rows nearest by Mahalanobis distance until that is stable, at most ``STEPS`` times (rows of one cell can make a group alternate
+between two near-equal fits); the fit whose covariance has the least determinant is the group's. The squares of ``FLOOR`` are added to
+the diagonal of every covariance, which so stays regular where a statistic is constant in half a group. The step's quantile
+comes from a histogram of distances, so no group is ever sorted or gathered. Distances are scaled so that their median is that of a
+chi-squared variable, and rows beyond its quantile ``CUTOFF`` are rejected.
+
+A group of fewer than ``SMALL`` rows that pass the fixed limits, too few for an estimate from half of them, is judged by the estimate
+of all rows of its language, large groups included, and where these are too few by that of the whole corpus; only a corpus that is
 still smaller rejects nothing.
 
 Defined results: a null or blank text has no words and fails the limits; null lang and null source are
@@ -28,15 +29,17 @@ from palimpsest.llm.common import Scratch
 
 #: Fixed limits.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-#: Rows of a group that an estimate needs, the share it keeps, the most concentration steps, and the squared distance of rejection.
-SMALL, SHARE, STEPS, CUTOFF = 60, 0.5, 10, 100.0
+#: The share of rows that an estimate rests on, its first fits, and the most concentration steps.
+SHARE, STARTS, STEPS = 0.5, 3, 20
 #: Integer units of a statistic, and the least standard deviation of each, in the statistic's own unit.
 UNIT = 1000
 FLOOR = {"size": 0.5, "length": 0.08, "symbols": 0.15, "lines": 0.4, "repeats": 0.4}
+#: Rows that an estimate needs: five in its half for each of the statistics.
+SMALL = 2 * 5 * len(FLOOR)
 #: Histogram cells per unit of ln(1 + squared distance), and the last cell.
 CELLS, LAST_CELL = 64, 4095
-#: Fixed value: the median of a chi-squared variable with five degrees of freedom.
-CHI2_MEDIAN = 4.35146
+#: The median of a chi-squared variable with five degrees of freedom, and its quantile 0.999999, the squared distance of rejection.
+CHI2_MEDIAN, CUTOFF = 4.35146, 35.8882
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -139,17 +142,46 @@ def _grouped(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
     return rows.join(groups, on, how).drop("__lang", "__source")
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Per group: medians, and quartile spreads as a diagonal scale."""
+def _starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per group three first fits, gs marked by ``#`` and their number. All stand on the medians. The scales are quartile spreads, the least
+    spreads (so the densest core leads), and quartile spreads with the correlations of spatial signs, which no far row can bend.
+    """
+    p = len(_NAMES)
     cells = rows.select("gl", "gs", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(k).alias("v")) for i, k in enumerate(_NAMES)])).alias("e"))
     hist = cells.select("gl", "gs", "e.f", "e.v").groupBy("gl", "gs", "f", "v").agg(F.count("*").alias("c"))
     q = _quantile(hist, ["gl", "gs", "f"], "v", {"lo": 0.25, "mid": 0.5, "hi": 0.75})
     pick = lambda c, i: F.max(F.when(F.col("f") == i, c))
     spread = (F.col("hi") - F.col("lo")) / 1.349
-    scale = [pick(F.sqrt(spread * spread + (FLOOR[k] * UNIT) ** 2), i).alias(f"l_{i}_{i}") for i, k in enumerate(_NAMES)]
-    zero = [F.lit(0.0).alias(f"l_{i}_{j}") for i in range(len(_NAMES)) for j in range(i)]
-    wide = q.groupBy("gl", "gs").agg(*[pick(F.col("mid").cast("double"), i).alias(f"m_{i}") for i in range(len(_NAMES))], *scale)
-    return wide.select("*", *zero)
+    wide = [pick(F.sqrt(spread * spread + (FLOOR[k] * UNIT) ** 2), i).alias(f"d_{i}") for i, k in enumerate(_NAMES)]
+    base = scratch.cut(q.groupBy("gl", "gs").agg(*[pick(F.col("mid").cast("double"), i).alias(f"m_{i}") for i in range(p)], *wide))
+    near = rows.join(base.withColumnsRenamed({"gl": "__gl", "gs": "__gs"}), (F.col("gl") == F.col("__gl")) & (F.col("gs") == F.col("__gs")))
+    unit = [(F.col(k) - F.col(f"m_{i}")) / F.col(f"d_{i}") for i, k in enumerate(_NAMES)]
+    length = F.sqrt(reduce(lambda a, b: a + b, [u * u for u in unit]))
+    near = near.select("gl", "gs", *[F.when(length > 0, u / length).otherwise(F.lit(0.0)).alias(f"u_{i}") for i, u in enumerate(unit)])
+    # Products are rounded, so that sums are exact.
+    signs = near.groupBy("gl", "gs").agg(*[F.sum(F.round(F.col(f"u_{i}") * F.col(f"u_{j}") * 1_000_000).cast("long")).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
+    out = base.join(signs, ["gl", "gs"])
+    diagonal = lambda each: [(F.lit(0.0) if i != j else each(i)).alias(f"l_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    means = [f"m_{i}" for i in range(p)]
+    named = lambda n: F.concat("gs", F.lit(f"#{n}")).alias("gs")
+    first = out.select("gl", named(0), *means, *diagonal(lambda i: F.col(f"d_{i}")))
+    second = out.select("gl", named(1), *means, *diagonal(lambda i: F.lit(FLOOR[_NAMES[i]] * UNIT)))
+    # A tenth of the identity keeps the correlations of signs away from singular ones.
+    corr = lambda i, j: F.lit(1.0) if i == j else F.coalesce(0.9 * F.col(f"s_{i}_{j}") / F.sqrt(F.greatest(F.col(f"s_{i}_{i}") * F.col(f"s_{j}_{j}").cast("double"), F.lit(1.0))), F.lit(0.0))
+    third = _cholesky(out.select("gl", named(2), *means, *[(corr(i, j) * F.col(f"d_{i}") * F.col(f"d_{j}")).alias(f"v_{i}_{j}") for i in range(p) for j in range(i + 1)]))
+    return first.union(second).union(third)
+
+
+def _cholesky(rows: DataFrame) -> DataFrame:
+    """gl, gs, m_i and the factor l_i_j of the matrix v_i_j."""
+    p = len(_NAMES)
+    for i in range(p):
+        for j in range(i + 1):
+            value = F.col(f"v_{i}_{j}")
+            for k in range(j):
+                value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+            rows = rows.withColumn(f"l_{i}_{j}", F.sqrt(value) if i == j else value / F.col(f"l_{j}_{j}"))
+    return rows.select("gl", "gs", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
 def _fitted(rows: DataFrame) -> DataFrame:
@@ -159,15 +191,9 @@ def _fitted(rows: DataFrame) -> DataFrame:
     sums += [F.sum(F.col(_NAMES[i]) * F.col(_NAMES[j])).alias(f"q_{i}_{j}") for i in range(p) for j in range(i + 1)]
     out = rows.groupBy("gl", "gs").agg(F.count("*").alias("n"), *sums)
     out = out.select("gl", "gs", "n", *[(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(p)], *[f"q_{i}_{j}" for i in range(p) for j in range(i + 1)])
-    for i in range(p):
-        for j in range(i + 1):
-            value = F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
-            if i == j:
-                value = F.greatest(value, F.lit(0.0)) + (FLOOR[_NAMES[i]] * UNIT) ** 2
-            for k in range(j):
-                value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(value) if i == j else value / F.col(f"l_{j}_{j}"))
-    return out.select("gl", "gs", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    value = lambda i, j: F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
+    floored = lambda i, j: value(i, j) if i != j else F.greatest(value(i, i), F.lit(0.0)) + (FLOOR[_NAMES[i]] * UNIT) ** 2
+    return _cholesky(out.select("*", *[floored(i, j).alias(f"v_{i}_{j}") for i in range(p) for j in range(i + 1)]))
 
 
 def _distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
@@ -185,9 +211,11 @@ def _distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
 
 
 def _estimate(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The estimate of every group: start, concentration steps until it is stable, and the factor that makes its median consistent."""
-    numbers = [f"m_{i}" for i in range(len(_NAMES))] + [f"l_{i}_{j}" for i in range(len(_NAMES)) for j in range(i + 1)]
-    fit, done = scratch.cut(_start(rows).select("gl", "gs", *numbers)), []
+    """The estimate of every group: from each start concentration steps until they are stable, of these fits that of the least determinant,
+    and the factor that makes its median distance consistent."""
+    once, numbers = rows, [f"m_{i}" for i in range(len(_NAMES))] + [f"l_{i}_{j}" for i in range(len(_NAMES)) for j in range(i + 1)]
+    fit, done = scratch.cut(_starts(rows, scratch).select("gl", "gs", *numbers)), []
+    rows = rows.withColumn("gs", F.explode(F.array(*[F.concat("gs", F.lit(f"#{i}")) for i in range(STARTS)])))
     for _ in range(STEPS):
         near = _distances(rows, fit).filter("d2 is not null")
         limit = scratch.cut(_quantile(near.groupBy("gl", "gs", "cell").agg(F.count("*").alias("c")), ["gl", "gs"], "cell", {"upto": SHARE}))
@@ -202,8 +230,12 @@ def _estimate(rows: DataFrame, scratch: Scratch) -> DataFrame:
         if not fit.limit(1).count():
             break
     ended = [t.filter("not moved") for t in done[:-1]] + done[-1:]
-    fit = scratch.cut(reduce(DataFrame.union, ended).select("gl", "gs", *numbers))
+    ended = reduce(DataFrame.union, ended).select("gl", F.substring_index("gs", "#", -1).alias("start"), F.expr("substring(gs, 1, length(gs) - 2)").alias("gs"), *numbers)
+    spread = reduce(lambda a, b: a + b, [F.log(f"l_{i}_{i}") for i in range(len(_NAMES))])
+    best = ended.groupBy("gl", "gs").agg(F.min_by(F.struct(*numbers), F.struct(F.round(spread, 9), "start")).alias("b"))
+    fit = scratch.cut(best.select("gl", "gs", "b.*"))
     scratch.drop(*done)
+    rows = once
     hist = _distances(rows, fit).groupBy("gl", "gs", "cell").agg(F.count("*").alias("c"))
     mid = _quantile(hist, ["gl", "gs"], "cell", {"mid": 0.5})
     factor = mid.select("gl", "gs", F.greatest(F.lit(1.0), (F.exp((F.col("mid") + 1) / CELLS) - 1) / CHI2_MEDIAN).alias("factor"))

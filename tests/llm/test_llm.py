@@ -293,25 +293,83 @@ def test_quality(spark, docs, empty):
     assert quality.judge(empty).count() == 0
 
 
-def test_quality_estimate_against_numpy(spark):
-    """The concentration steps, recomputed in numpy from the same integers."""
-    rng = np.random.default_rng(1)
-    p = len(quality.FLOOR)
-    x = np.rint(rng.multivariate_normal(np.zeros(p), np.diag([900, 100, 300, 200, 400.0]) ** 1.0 * 100, 400) + 3000).astype(int)
-    x[:40, 2] += 4000
-    rows = spark.createDataFrame([("=a", "=b", *map(int, r)) for r in x], "gl string, gs string, " + ", ".join(f"{k} long" for k in quality.FLOOR))
-    fit = quality._estimate(rows, quality.Scratch(spark, "t")).first()
+def brute_mcd(x):
+    """Mean, factor and consistency of one group's rows, from all starts."""
+    x, p = np.asarray(x), len(quality.FLOOR)
     floor = np.array(list(quality.FLOOR.values())) * quality.UNIT
     s = np.sort(x, axis=0)
     q = lambda a: s[int(np.ceil(len(x) * a)) - 1]
-    mean, low = q(0.5).astype(float), np.diag(np.sqrt(((q(0.75) - q(0.25)) / 1.349) ** 2 + floor**2))
-    for _ in range(quality.STEPS):
-        d2 = (np.linalg.solve(low, (x - mean).T) ** 2).sum(0)
-        cell = np.minimum(np.floor(np.log(1 + d2) * quality.CELLS), quality.LAST_CELL)
-        near = x[cell <= np.sort(cell)[int(np.ceil(len(x) * quality.SHARE)) - 1]]
-        mean, low = near.mean(0), np.linalg.cholesky(np.cov(near.T, bias=True) + np.diag(floor**2))
-    assert np.allclose([fit[f"m_{i}"] for i in range(p)], mean)
-    assert np.allclose([fit[f"l_{i}_{j}"] for i in range(p) for j in range(i + 1)], [low[i, j] for i in range(p) for j in range(i + 1)])
+    wide = np.sqrt(((q(0.75) - q(0.25)) / 1.349) ** 2 + floor**2)
+    u = (x - q(0.5)) / wide
+    size = np.linalg.norm(u, axis=1, keepdims=True)
+    u = np.divide(u, size, out=np.zeros_like(u), where=size > 0)
+    signs = np.rint(u[:, :, None] * u[:, None, :] * 1e6).sum(0)
+    corr = 0.9 * signs / np.sqrt(np.maximum(np.outer(np.diag(signs), np.diag(signs)), 1))
+    np.fill_diagonal(corr, 1)
+    found = []
+    for low in (np.diag(wide), np.diag(floor), np.linalg.cholesky(corr * np.outer(wide, wide))):
+        mean = q(0.5).astype(float)
+        for _ in range(quality.STEPS):
+            d2 = (np.linalg.solve(low, (x - mean).T) ** 2).sum(0)
+            cell = np.minimum(np.floor(np.log(1 + d2) * quality.CELLS), quality.LAST_CELL)
+            near = x[cell <= np.sort(cell)[int(np.ceil(len(x) * quality.SHARE)) - 1]]
+            old, mean, low = mean, near.mean(0), np.linalg.cholesky(np.cov(near.T, bias=True) + np.diag(floor**2))
+            if np.array_equal(old, mean):
+                break
+        found.append((round(np.log(np.diag(low)).sum(), 9), len(found), mean, low))
+    _, _, mean, low = min(found, key=lambda f: f[:2])
+    cell = np.floor(np.log(1 + (np.linalg.solve(low, (x - mean).T) ** 2).sum(0)) * quality.CELLS)
+    mid = np.sort(np.minimum(cell, quality.LAST_CELL))[int(np.ceil(len(x) * 0.5)) - 1]
+    return mean, low, max(1.0, (np.exp((mid + 1) / quality.CELLS) - 1) / quality.CHI2_MEDIAN)
+
+
+def test_quality_estimate_against_numpy(spark):
+    """Starts, concentration steps and the choice by determinant, recomputed in numpy from the same integers; two groups, one with two cores."""
+    rng = np.random.default_rng(1)
+    p = len(quality.FLOOR)
+    one = np.rint(rng.multivariate_normal(np.zeros(p), np.diag([900, 100, 300, 200, 400.0]) * 100, 400) + 3000).astype(int)
+    one[:40, 2] += 4000
+    two = np.rint(np.concatenate([rng.normal(2000, 900, (150, p)), rng.normal(2600, 60, (130, p))])).astype(int)
+    rows = spark.createDataFrame([("=a", g, *map(int, r)) for g, x in (("=b", one), ("null", two)) for r in x], "gl string, gs string, " + ", ".join(f"{k} long" for k in quality.FLOOR))
+    fits = {r.gs: r for r in quality._estimate(rows, quality.Scratch(spark, "t")).collect()}
+    for g, x in (("=b", one), ("null", two)):
+        mean, low, factor = brute_mcd(x)
+        assert np.allclose([fits[g][f"m_{i}"] for i in range(p)], mean)
+        assert np.allclose([fits[g][f"l_{i}_{j}"] for i in range(p) for j in range(i + 1)], [low[i, j] for i in range(p) for j in range(i + 1)])
+        assert np.isclose(fits[g]["factor"], factor)
+
+
+def test_quality_verdicts_against_numpy(spark):
+    """Fixed limits, groups, pooled groups, distances and verdicts of a whole table."""
+    rng = random.Random(16)
+    rows = []
+    for lang, source, n in (("en", "web", 130), ("en", None, 60), ("en", "few", 9), ("de", "web", 70), ("de", "x", 12), (None, "web", 8), ("fr", "y", 20)):
+        for _ in range(n):
+            words = [rng.choice("abcdefgh") * rng.randrange(2, 9) + str(rng.randrange(10**4)) for _ in range(rng.randrange(40, 260))]
+            words += ["%%#|"] * (rng.randrange(60) if rng.random() < 0.1 else 0)
+            rows.append((len(rows), "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12)) + ("\nsame line\nsame line" if rng.random() < 0.2 else ""), lang, source))
+    rows += rows[:3]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    held = []
+    for i, text, lang, source in rows:
+        w, chars, symbols, lines, repeats = base_statistics(text)
+        failed = w < 50 or 100 * repeats > 50 * w
+        x = [np.log(w), np.log(chars / w), np.log(1 + 20 * symbols / w), np.log(1.0 + lines), np.log(1 + 10 * repeats / w)]
+        held.append((i, failed, lang, source, [int(np.floor(v * quality.UNIT + 0.5)) for v in x]))
+    passed = [r for r in held if not r[1]]
+    group = lambda r: (r[2], r[3])
+    each, langs = Counter(map(group, passed)), Counter(r[2] for r in passed)
+    fits, want = {}, Counter()
+    for r in held:
+        level = 2 if each[group(r)] >= quality.SMALL else 1 if langs[r[2]] >= quality.SMALL else 0
+        key = (level, *group(r)[:level])
+        if key not in fits:
+            fits[key] = brute_mcd([q[4] for q in passed if group(q)[:level] == group(r)[:level]])
+        mean, low, factor = fits[key]
+        d2 = (np.linalg.solve(low, np.array(r[4]) - mean) ** 2).sum() / factor
+        want[(r[0], r[1], not r[1] and d2 <= quality.CUTOFF)] += 1
+    assert Counter((r.doc_id, r.base_failed, r.kept) for r in got) == want
+    assert {k[0] for k in fits} == {0, 1, 2} and 10 < sum(not r.kept and not r.base_failed for r in got) < 60
 
 
 def test_quality_judges_small_groups(spark):
