@@ -5,7 +5,8 @@ A word's vector is the mean of the vectors of its character n-grams and of the w
 n-grams with seen words. Because the softmax is linear, a word adds one number to the score of its text; a
 worker computes it once per distinct word.
 
-Learning uses a bounded sample: at most ``SAMPLE`` labelled documents of each class, none held out.
+Learning uses a bounded sample: at most ``SAMPLE`` labelled documents of each class, none held out. Its features are written once and
+sent to the driver in the order of a hash, ``CHUNK_BYTES`` at a time.
 
 Defined results: null and empty texts get the score of the zero vector; without both labels in the sample the
 score is the share of toxic labels (0.0 without labels); a document labelled twice is toxic if any label is.
@@ -13,22 +14,29 @@ score is the share of toxic labels (0.0 without labels); a document labelled twi
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import held_out, map_text
+from palimpsest.llm.common import Scratch, held_out, map_text
 from palimpsest.llm.textscan import WordMemo, Words, mix, scan, span_hash
 
 #: Documents of a sample: clean and toxic.
 SAMPLE = {0: 4000, 1: 2000}
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
-#: Factor of the average; passes, texts of a step, rate, shrinkage and damping of the training; sample texts below which a bucket stays zero.
-GAIN, EPOCHS, BATCH, RATE, DECAY, EASE, LEAST_TEXTS = 32.0, 8, 50, 0.03, 1.0, 1e-3, 20
+#: Factor of the average; passes, texts of a step, rate, shrinkage and damping of the training.
+GAIN, EPOCHS, BATCH, RATE, DECAY, EASE = 32.0, 6, 50, 0.03, 0.5, 1e-3
+#: Bytes of features that the driver holds at a time, and texts that are sent to it at once.
+CHUNK_BYTES, SENT = 128 << 20, 200
 #: Steps that a small sample gets at least.
 LEAST_STEPS = 500
 
+#: Buckets and weights of texts, and their labels.
+Chunk = tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]
+
 _OPEN, _CLOSE = 0xFFFFFFF0, 0xFFFFFFF1
 
 
@@ -83,50 +91,57 @@ class SubwordSoftmax:
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.embed = rng.standard_normal((BUCKETS, DIM)).astype(np.float32) * 0.01
+        self.embed = rng.standard_normal((BUCKETS, DIM)).astype(np.float32) * np.float32(0.01)
         self.out = rng.standard_normal((DIM, 2)).astype(np.float32) * 0.5
         self.bias = np.zeros(2, np.float32)
 
-    def train(self, rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, seed: int = 9) -> list[float]:
+    def train(self, chunks: Callable[[], Iterator[Chunk]], texts: int, seed: int = 9) -> list[float]:
+        """Mean losses of the passes over ``chunks()``, which hold ``texts`` texts in all."""
         rng = np.random.default_rng(seed)
         p = {"embed": self.embed, "out": self.out, "bias": self.bias}
-        m = {k: np.zeros_like(v) for k, v in p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in p.items()}
-        texts = sum((np.bincount(r[0], minlength=BUCKETS) for r in rows), np.zeros(BUCKETS, np.int64))
-        often = texts >= min(LEAST_TEXTS, 1 + len(rows) // 100)
-        self.embed[~often] = 0
+        self.m = {k: np.zeros_like(v) for k, v in p.items()}
+        self.v2 = {k: np.zeros_like(v) for k, v in p.items()}
         step, losses = 0, []
-        each = -(-len(rows) // BATCH)
+        each = -(-texts // BATCH)
         epochs = max(EPOCHS, -(-LEAST_STEPS // each))
-        total = epochs * each
         for _ in range(epochs):
-            order, seen = rng.permutation(len(rows)), []
-            for a in range(0, len(order), BATCH):
-                own = order[a : a + BATCH]
-                which = np.concatenate([rows[i][0] for i in own]).astype(np.int64)
-                weight = np.concatenate([rows[i][1] for i in own]) * (GAIN * often[which])
-                doc = np.repeat(np.arange(len(own)), [len(rows[i][0]) for i in own])
-                used, slot = np.unique(which, return_inverse=True)
-                vec = np.stack([np.bincount(doc, weights=self.embed[which, k] * weight, minlength=len(own)) for k in range(DIM)], 1)
-                logit = vec @ self.out + self.bias
-                prob = np.exp(logit - logit.max(1, keepdims=True))
-                prob /= prob.sum(1, keepdims=True)
-                seen.append(float(-np.log(prob[np.arange(len(own)), label[own]] + 1e-12).mean()))
-                d = prob
-                d[np.arange(len(own)), label[own]] -= 1
-                d /= len(own)
-                dvec = d @ self.out.T
-                rows_grad = np.stack([np.bincount(slot, weights=dvec[doc, k] * weight, minlength=len(used)) for k in range(DIM)], 1)
-                step += 1
-                rate = RATE * (1 - step / (total + 1))
-                for k, g, at in (("embed", rows_grad, used), ("out", vec.T @ d, slice(None)), ("bias", d.sum(0), slice(None))):
-                    m[k][at] += 0.1 * (g - m[k][at])
-                    v2[k][at] += 0.01 * (g * g - v2[k][at])
-                    p[k][at] -= rate * (m[k][at] / (1 - 0.9**step)) / (np.sqrt(v2[k][at] / (1 - 0.99**step)) + EASE)
-                self.embed[used] *= 1 - rate * DECAY
+            seen = []
+            for rows, label in chunks():
+                order = rng.permutation(len(rows))
+                for a in range(0, len(order), BATCH):
+                    own = order[a : a + BATCH]
+                    loss, grads = self.gradients([rows[i] for i in own], label[own])
+                    step += 1
+                    self._move(grads, step, RATE * max(0.0, 1 - step / (epochs * each + 1)))
+                    seen.append(loss)
             losses.append(float(np.mean(seen)))
         return losses
 
+    def gradients(self, rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> tuple[float, list[tuple]]:
+        """The mean cross-entropy of some texts, and (name, gradient, rows that it is for) of every parameter."""
+        which = np.concatenate([r[0] for r in rows]).astype(np.int64)
+        weight = np.concatenate([r[1] for r in rows]) * GAIN
+        doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        used, slot = np.unique(which, return_inverse=True)
+        vec = np.stack([np.bincount(doc, weights=self.embed[which, k] * weight, minlength=len(rows)) for k in range(DIM)], 1)
+        logit = vec @ self.out + self.bias
+        prob = np.exp(logit - logit.max(1, keepdims=True))
+        prob /= prob.sum(1, keepdims=True)
+        loss = float(-np.log(prob[np.arange(len(rows)), label] + 1e-12).mean())
+        prob[np.arange(len(rows)), label] -= 1
+        prob /= len(rows)
+        dvec = prob @ self.out.T
+        bag = np.stack([np.bincount(slot, weights=dvec[doc, k] * weight, minlength=len(used)) for k in range(DIM)], 1)
+        return loss, [("embed", bag, used), ("out", vec.T @ prob, slice(None)), ("bias", prob.sum(0), slice(None))]
+
+    def _move(self, grads: list[tuple], step: int, rate: float) -> None:
+        for k, g, at in grads:
+            p, m, v2 = getattr(self, k), self.m[k], self.v2[k]
+            m[at] += 0.1 * (g - m[at])
+            v2[at] += 0.01 * (g * g - v2[at])
+            p[at] -= rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v2[at] / (1 - 0.99**step)) + EASE)
+        self.embed[grads[0][2]] *= 1 - rate * DECAY
+
     def word_scorer(self) -> WordScorer:
         direction = self.out[:, 1] - self.out[:, 0]
         return WordScorer((self.embed @ direction * GAIN).astype(np.float32), float(self.bias[1] - self.bias[0]))
@@ -176,20 +191,45 @@ def train(docs: DataFrame, labels: DataFrame) -> WordScorer:
 
     # The sample has at most sum(SAMPLE.values()) ids, so it can be broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
-    found = map_text(texts, work, "doc_id long, toxic int, which binary, weight binary").toArrow()
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    label = found["toxic"].to_numpy()[order]
-    if len(set(label.tolist())) < 2:
-        share = float(label.mean()) if len(label) else 0.0
+    scratch = Scratch(spark, "toxicity")
+    found = scratch.cut(map_text(texts, work, "doc_id long, toxic int, which binary, weight binary"))
+    count = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    texts_n = sum(count.values())
+    if len(count) < 2:
+        share = count.get(1, 0) / texts_n if texts_n else 0.0
         return WordScorer(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    # Views of the received buffers: the sample is held once, six bytes for each bucket of a text.
-    views = [[np.frombuffer(x.as_buffer(), kind) for x in found[name]] for name, kind in (("which", "<u2"), ("weight", "<f4"))]
-    rows = [(views[0][i], views[1][i]) for i in order]
+    h = F.xxhash64("doc_id")
+    sorted_rows = found.withColumn("h", h).repartitionByRange(-(-texts_n // SENT), "h").sortWithinPartitions("h", "doc_id", "which")
     model = SubwordSoftmax()
-    model.train(rows, label.astype(np.int64))
+    model.train(_Chunks(sorted_rows), texts_n)
+    scratch.drop(found)
     return model.word_scorer()
 
 
+class _Chunks:
+    """Passes over a written sample in the order of a hash, at most ``CHUNK_BYTES`` of it at a time. What fits in whole is read once."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.whole = rows, None
+
+    def __call__(self) -> Iterator[Chunk]:
+        if self.whole:
+            yield self.whole
+            return
+        held, label, size, sent = [], [], 0, 0
+        for r in self.rows.toLocalIterator():
+            held.append((np.frombuffer(r["which"], "<u2"), np.frombuffer(r["weight"], "<f4")))
+            label.append(r["toxic"])
+            size += len(r["which"]) + len(r["weight"])
+            if size >= CHUNK_BYTES:
+                yield held, np.array(label, np.int64)
+                held, label, size, sent = [], [], 0, sent + 1
+        if held:
+            if not sent:
+                self.whole = held, np.array(label, np.int64)
+            yield held, np.array(label, np.int64)
+
+
 def score(docs: DataFrame, scorer: WordScorer) -> DataFrame:
     """doc_id, held_out, score, predicted: a row per row of ``docs`` (doc_id, text, ...)."""
 

@@ -267,6 +267,53 @@ def test_toxicity(spark, docs, empty):
     assert none.score([""])[0] < 0.5 and toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_against_plain_formulas(monkeypatch):
+    """Features, loss, gradient and score, word by word; and a sample that is read in many chunks."""
+    texts = ["Vile vilest words", "kind words kind", "é🙂 ok", "", " ".join(f"w{i % 50}" for i in range(400))]
+    model = toxicity.SubwordSoftmax()
+    for k in ("embed", "out", "bias"):
+        setattr(model, k, getattr(model, k).astype(np.float64))
+    model.embed *= 30
+
+    def vector(text):
+        words = WORD.findall(text.lower())
+        out = np.zeros(toxicity.DIM)
+        for w in words:
+            buckets, _ = toxicity.subwords([w.encode()])
+            marked = len(w) + 2
+            assert len(buckets) == 1 + sum(max(0, marked - n + 1) for n in toxicity.GRAMS)
+            out += model.embed[buckets].mean(0)
+        return out * toxicity.GAIN / max(1, len(words))
+
+    logits = np.array([vector(t) @ model.out + model.bias for t in texts])
+    prob = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    assert np.allclose(model.word_scorer().score(texts), prob[:, 1], atol=1e-5)
+    rows, label = toxicity.features(texts), np.array([1, 0, 0, 1, 1])
+    loss, grads = model.gradients(rows, label)
+    assert np.isclose(loss, -np.log(prob[np.arange(5), label]).mean())
+    for name, g, at in grads:
+        place = np.unravel_index(np.abs(g).argmax(), g.shape)
+        own = (at[place[0]], *place[1:]) if name == "embed" else place
+        values = getattr(model, name)
+        values[own] += 1e-5
+        up = model.gradients(rows, label)[0]
+        values[own] -= 2e-5
+        assert abs((up - model.gradients(rows, label)[0]) / 2e-5 - g[place]) < 1e-6, name
+        values[own] += 1e-5
+    spelled, other = (model.embed[toxicity.subwords([w])[0]].mean(0) for w in (b"vilest", b"vilesst"))
+    assert np.dot(spelled, other) > 0.3 * np.dot(spelled, spelled)
+
+
+def test_toxicity_sample_in_chunks(spark, monkeypatch):
+    rows = [(i, " ".join(f"{'bad' if i % 2 else 'good'}{(i * j) % 7}" for j in range(30))) for i in range(120)]
+    own, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(toxicity, "SENT", 40)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 30)
+    got = toxicity.score(own, toxicity.train(own, labels)).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out]) == 1.0
+
+
 def base_statistics(text):
     text = text or ""
     w = WORD.findall(text)
