@@ -34,7 +34,7 @@ from palimpsest.llm.textscan import Words, mix, scan
 VOCABULARY, BUCKETS, GROUPS, WIDTH, SIDE = 1024, 255, 32, 16, 2
 STEP, RATE = 8192, 0.1
 #: Numbers of the model in a row of the averaging; tokens of a training shard; rare words of a part of the table of words.
-PIECE, SHARD, PART = 4096, 1 << 22, 1 << 22
+PIECE, SHARD, PART = 4096, 1 << 22, 1 << 20
 EDGE = 0
 
 
@@ -251,7 +251,7 @@ def _trained(docs: DataFrame, model: Model, shards: int) -> np.ndarray:
 
     schema = "piece long, weight double, numbers array<double>"
     coded = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(code, "key long, ids binary").filter(F.length("ids") > 0)
-    dealt = coded.select(F.pmod("key", F.lit(shards)).alias("shard"), "ids", "key").repartition(shards, "shard").sortWithinPartitions("shard", "key", "ids")
+    dealt = coded.select(F.pmod("key", F.lit(shards)).alias("shard"), "ids", "key").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "key", "ids")
     copies = dealt.select("shard", "ids").mapInArrow(learn, schema)
     # Partial sums first: a piece's copies are spread over up to 16 tasks, whatever their number.
     partial = copies.repartition(F.col("piece"), F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(add, schema)
