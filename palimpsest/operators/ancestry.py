@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.names import unused
+
 MAXIMUM_DEPTH = 16
 
 
@@ -42,11 +44,11 @@ def _reach(chain: list[tuple[str, int | None, int]]) -> tuple[Column, Column]:
 
 
 def resolve_history(log: DataFrame, tree: dict[str, History], name: str, boundary: int | None = None) -> DataFrame:
-    """Per key the winning version with its ``depth``: nearest history first, then newest. One shuffle at any depth."""
+    """Per key the winning version with its ``depth``, which takes the place of a column of this name: nearest history first, then newest. One shuffle at any depth."""
     inside, depth = _reach(ancestors(tree, name, boundary))
     nearest = Window.partitionBy("k").orderBy("depth", F.desc("commit_seq"))
-    reached = log.filter(inside).withColumn("depth", depth)
-    return reached.withColumn("__rn", F.row_number().over(nearest)).filter("__rn = 1").drop("__rn")
+    reached, place = log.filter(inside).withColumn("depth", depth), unused(log, "place")
+    return reached.withColumn(place, F.row_number().over(nearest)).filter(F.col(place) == 1).drop(place)
 
 
 def history_state(log: DataFrame, tree: dict[str, History], name: str, boundary: int | None = None) -> DataFrame:
@@ -72,7 +74,7 @@ def observers_state(log: DataFrame, tree: dict[str, History], observers: dict[st
         reach.append(F.when(inside, F.struct(F.lit(observer).alias("observer"), depth.alias("depth"))))
     spread = log.withColumn("o", F.explode(F.array_compact(F.array(*reach)))).select("o.*", "k", "commit_seq", "is_delete", "v")
     nearest = Window.partitionBy("observer", "k").orderBy("depth", F.desc("commit_seq"))
-    won = spread.withColumn("__rn", F.row_number().over(nearest)).filter("__rn = 1 and not is_delete")
+    won = spread.withColumn("place", F.row_number().over(nearest)).filter("place = 1 and not is_delete")
     return won.select("observer", "k", "v")
 
 

@@ -22,6 +22,20 @@ def ceil_rank(histogram: DataFrame, shares: list[float]) -> DataFrame:
     return rows.select(F.explode(F.array(*[F.struct(F.lit(p).alias("share"), F.col(f"p{i}").cast("long").alias("value")) for i, p in enumerate(shares)])).alias("x")).select("x.*")
 
 
+def disc_percentiles(rows: DataFrame, by: str, value: Column, shares: list[float]) -> DataFrame:
+    """by, share, value: the value at the place ceil(n * share) of the sorted ones, and the average, 0 where there are none."""
+    each = F.array(*[F.struct(F.lit(p).alias("share"), F.expr(f"percentile_disc({p}) within group (order by x)").alias("value")) for p in shares])
+    found = rows.select(F.col(by), value.alias("x")).groupBy(by).agg(each.alias("e"), F.sum("x").alias("s"), F.count("x").alias("n"))
+    average = F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col("s") / F.col("n"))
+    return found.select(by, F.explode("e").alias("p"), average.alias("average")).select(by, "p.share", "p.value", "average")
+
+
+def dependency_violations(events: DataFrame) -> DataFrame:
+    """id, violation of events (id, depends): one that depends on itself, a later one or none at all, and ids used twice."""
+    wrong = events.filter(F.exists("depends", lambda d: (d <= 0) | (d >= F.col("id")))).select("id", F.lit("depends on no earlier event").alias("violation"))
+    return wrong.union(events.groupBy("id").count().filter("count > 1").select("id", F.lit("id used twice")))
+
+
 def counts_by_kind(events: DataFrame, kinds: list[str], kind: Column) -> DataFrame:
     """kind, n with a row for every known kind."""
     spark = events.sparkSession

@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.names import unused
+
 
 def final_writes(writes: DataFrame, keys: tuple[str, ...] = ("k",), order: str = "mutation_index") -> DataFrame:
     """The last mutation of every key."""
-    last = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return writes.withColumn("__rn", F.row_number().over(last)).filter("__rn = 1").drop("__rn")
+    last, place = Window.partitionBy(*keys).orderBy(F.desc(order)), unused(writes, "place")
+    return writes.withColumn(place, F.row_number().over(last)).filter(F.col(place) == 1).drop(place)
+
+
+def effective(writes: DataFrame, state: DataFrame) -> DataFrame:
+    """The mutations (k, is_delete, v) that change a state (k, v): not deletes of keys that it lacks, nor puts of the value that it has."""
+    held = state.select("k", F.col("v").alias("held"), F.lit(True).alias("there"))
+    changes = F.when(F.col("is_delete"), F.col("there").isNotNull()).otherwise(F.col("there").isNull() | ~F.col("held").eqNullSafe(F.col("v")))
+    return writes.join(held, "k", "left").filter(changes).select("k", "is_delete", "v")
 
 
 def overlay(state: DataFrame, writes: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.names import unused
+
 PAGE, INLINE, CHUNK = 16384, 16328, 16336
 
 
@@ -13,24 +15,37 @@ def target_floor(floor: int, current: int, retain_recent: int) -> int:
 
 
 def _kept(log: DataFrame, floor: int, pins: list[int]):
-    """The log with ``__keep``. A version is seen by the boundaries from its own sequence to before its successor's."""
+    """The log, and a column that tells what stays. A version is seen by the boundaries from its own sequence to before its successor's."""
     w = Window.partitionBy("history", "k").orderBy("commit_seq")
-    bounds = sorted({*pins, floor})
-    rows = log.withColumn("__next", F.lead("commit_seq").over(w))
-    seen = F.exists(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: (F.col("commit_seq") <= b) & (b < F.col("__next")))
-    return rows.withColumn("__keep", (F.col("commit_seq") >= floor) | F.col("__next").isNull() | seen).drop("__next")
+    after, keep = unused(log, "after"), unused(log, "keep")
+    rows = log.withColumn(after, F.lead("commit_seq").over(w))
+    seen = F.coalesce(least_bound(sorted({*pins, floor})) < F.col(after), F.lit(False))
+    return rows.withColumn(keep, (F.col("commit_seq") >= floor) | F.col(after).isNull() | seen).drop(after), keep
+
+
+def least_bound(bounds: list[int]) -> Column:
+    """The least of some sorted bounds that is not below ``commit_seq``, null beyond all: a tree of comparisons, as deep as the logarithm of their number."""
+    if not bounds:
+        return F.lit(None).cast("long")
+    if len(bounds) == 1:
+        return F.when(F.col("commit_seq") <= bounds[0], F.lit(bounds[0]).cast("long"))
+    mid = len(bounds) // 2
+    return F.when(F.col("commit_seq") <= bounds[mid - 1], least_bound(bounds[:mid])).otherwise(least_bound(bounds[mid:]))
 
 
 def projection(log: DataFrame, floor: int, pins: list[int]) -> DataFrame:
-    return _kept(log, floor, pins).filter("__keep").drop("__keep")
+    rows, keep = _kept(log, floor, pins)
+    return rows.filter(keep).drop(keep)
 
 
 def reclaimed(log: DataFrame, floor: int, pins: list[int]) -> DataFrame:
-    return _kept(log, floor, pins).filter("not __keep").drop("__keep")
+    rows, keep = _kept(log, floor, pins)
+    return rows.filter(~F.col(keep)).drop(keep)
 
 
 def result(log: DataFrame, floor: int, pins: list[int]) -> DataFrame:
-    kept = _kept(log, floor, pins).agg(F.count_if(~F.col("__keep")).alias("versions_reclaimed"), F.count_if("__keep").alias("versions_retained"))
+    rows, keep = _kept(log, floor, pins)
+    kept = rows.agg(F.count_if(~F.col(keep)).alias("versions_reclaimed"), F.count_if(keep).alias("versions_retained"))
     return kept.select("versions_reclaimed", "versions_retained", F.lit(floor).cast("long").alias("floor"))
 
 

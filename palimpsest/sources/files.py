@@ -48,6 +48,15 @@ class Files:
         finally:
             source.close()
 
+    def read_or_none(self, name: str) -> dict | None:
+        """As ``read``; None if the file went since it was listed."""
+        try:
+            return self.read(name)
+        except Py4JJavaError as e:
+            if "FileNotFound" in e.java_exception.getClass().getName():
+                return None
+            raise
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(f"{self.root}/{name}"), True)
 

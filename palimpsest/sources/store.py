@@ -1,13 +1,18 @@
 """A persistent store of versions: Parquet data, and a manifest per commit that alone makes it visible.
 
-    versions/<history>/<directory>/*.parquet   written first, invisible
+    versions/<history>/<pin>-<n>/*.parquet     written first, invisible
     commits/<history>/<sequence>.json          the durable decision; made by one writer only
     checkpoints/<history>/<generation>.json    the newest one stands for all commits up to its sequence
+    floors/<history>/<floor>.json              announced before a collector looks for pins
     catalog/<event>.json                       branches and snapshots
+    pins/<token>.<n>.json                      what an observer or a writer, of any process, holds, until its lease ends
 
 Data stay distributed: a commit, a state and a collection are DataFrame jobs, and reads name only the directories that their
 boundary needs. The driver holds manifests and the catalog: a few fields for each commit since the last checkpoint.
-Directories that no manifest names are ignored. Pins (open observers and transactions) are those of this process.
+
+An observer writes its pin, then reads floors and manifests, and from then on reads exactly the directories that they name. A collector
+announces its floor, then reads pins: so either it sees the pin, or the observer sees the floor and is refused. Versions of pinned
+boundaries stay; ``vacuum`` deletes only what no manifest and no living pin can name.
 """
 
 from __future__ import annotations
@@ -15,22 +20,28 @@ from __future__ import annotations
 import math
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions.limits import MAXIMUM_DEPTH, beyond_limits, check_name
+from palimpsest.functions.limits import MAXIMUM_DEPTH, MAXIMUM_SEQUENCE, beyond, check_name, escaped
+from palimpsest.functions.telemetry import Telemetry
 from palimpsest.operators import retention
 from palimpsest.operators.ancestry import History, ancestors, resolve_history
 from palimpsest.operators.overlay import final_writes, overlay
 from palimpsest.sources.files import Files
 
 MAIN = "main"
+_VERSION = ["history", "commit_seq", "k", "is_delete", "v", "txn"]
 VERSIONS = "history string, commit_seq long, k binary, is_delete boolean, v binary, txn string"
 WRITES = "k binary, is_delete boolean, v binary, mutation_index long"
 #: Bytes that compaction and collection aim at in a file.
 FILE_BYTES = 128 << 20
+#: Milliseconds for which a pin holds unless it is renewed.
+LEASE_MS = 24 * 3600 * 1000
+BEYOND = "a write is beyond the limits"
 
 
 class StoreError(Exception):
@@ -57,6 +68,10 @@ class CorruptError(StoreError):
     """Manifests or data are missing."""
 
 
+class LeaseError(StoreError):
+    """The observer's lease has ended, so what it saw may be gone."""
+
+
 class UnavailableError(StoreError):
     """A boundary below the floor or beyond the current sequence."""
 
@@ -94,18 +109,30 @@ class Catalog:
 class Store:
     """Histories in a folder that the cluster shares."""
 
-    def __init__(self, spark: SparkSession, path: str, link: bool = True):
-        self.spark, self.files = spark, Files(spark, path, link)
+    def __init__(self, spark: SparkSession, path: str, link: bool = True, lease_ms: int = LEASE_MS, fault: Callable[[str], None] | None = None):
+        """``fault`` is called with the name of every step that a failure may follow; tests raise there."""
+        self.spark, self.files, self.lease_ms, self.fault = spark, Files(spark, path, link), lease_ms, fault or (lambda _: None)
+        self.telemetry = Telemetry()
         self.catalog = Catalog()
-        self.pins: dict[str, tuple[str, int]] = {}
+        self.pins: dict[str, Pin] = {}
         self._commits: dict[str, dict[int, dict]] = {}
         self._checkpoints: dict[str, tuple[int, dict]] = {}
+        phase = self.telemetry.add("RecoveryStarted")
         self._refresh_catalog()
+        phase = self.telemetry.add("CatalogRead", phase)
         for history in self.catalog.tree():
             self._refresh(history)
+            there = {f"versions/{history}/{name}" for name in self.files.names(f"versions/{history}")}
             for place in self._directories(history, None):
-                if not self.files.exists(place):
+                if place not in there:
                     raise CorruptError(f"{place} is missing")
+            phase = self.telemetry.add("HistoryRead", phase, history)
+        self.telemetry.add("RecoveryCompleted", phase)
+
+    def close(self) -> None:
+        """Releases all pins of this object."""
+        for pin in list(self.pins.values()):
+            pin.release()
 
     # State of histories
 
@@ -135,7 +162,18 @@ class Store:
         return current
 
     def _floor(self, history: str) -> int:
-        return self._checkpoints[history][1]["floor"]
+        """The floor of the checkpoint, or one that a collector has announced since."""
+        announced = self.files.names(f"floors/{history}")
+        return max(self._checkpoints[history][1]["floor"], int(announced[-1][:-5]) if announced else 0)
+
+    def _live_pins(self) -> list[dict]:
+        """The pins of all processes whose leases last."""
+        found = []
+        for name in self.files.names("pins"):
+            body = self.files.read_or_none(f"pins/{name}")
+            if body and body["expires_ms"] > _now():
+                found.append(body | {"token": name.split(".")[0]})
+        return found
 
     def _directories(self, history: str, boundary: int | None, after: int = 0) -> list[str]:
         checkpoint = self._checkpoints[history][1]
@@ -163,22 +201,30 @@ class Store:
 
     def current(self, branch: str = MAIN) -> Observer:
         """The state now; it stays as it is whatever is committed later."""
-        history = self._history(branch)
-        return Observer(self, history, self._refresh(history))
+        return Observer(self, self._history(branch))
 
     def at(self, sequence: int, branch: str = MAIN) -> Observer:
         """The state at a sequence between the floor and the current one."""
-        history = self._history(branch)
-        current = self._refresh(history)
-        if not self._floor(history) <= sequence <= current:
-            raise UnavailableError(sequence, self._floor(history), current)
-        return Observer(self, history, sequence)
+        return Observer(self, self._history(branch), sequence)
 
     def snapshot(self, name: str, branch: str = MAIN) -> Observer:
         """The state that a named snapshot keeps, be it below the floor."""
         found = self._snapshot(name, self._history(branch))
-        self._refresh(found["history"])
-        return Observer(self, found["history"], found["sequence"])
+        view = Observer(self, found["history"], found["sequence"], kept=True)
+        if found["id"] not in self._refresh_catalog().snapshots:
+            view.close()
+            raise NotFoundError(f"no snapshot {name!r}")
+        return view
+
+    def open_id(self, key: str) -> Observer:
+        """The current state of a branch, or the state that a snapshot keeps, by id."""
+        catalog = self._refresh_catalog()
+        if key in catalog.branches:
+            return Observer(self, key)
+        for s in catalog.snapshots.values():
+            if s["id"] == key:
+                return self.snapshot(s["name"], MAIN if s["history"] == MAIN else catalog.branches[s["history"]]["name"])
+        raise NotFoundError(f"no branch or snapshot {key!r}")
 
     def begin(self, branch: str = MAIN) -> Transaction:
         return Transaction(self, self.current(branch))
@@ -196,6 +242,16 @@ class Store:
         txn.commit()
         return existed
 
+    def import_rows(self, rows: DataFrame, branch: str = MAIN) -> int | None:
+        """Commits an existing table (k, v) as one transaction: keys that have a version in the history already are left out. None if none remain."""
+        with self.begin(branch) as txn:
+            held = self.log(txn.base.history, txn.base.boundary).select("k")
+            new = rows.select("k", F.lit(False).alias("is_delete"), "v").join(held, "k", "left_anti")
+            if new.isEmpty():
+                return None
+            txn.write(new)
+            return txn.commit()
+
     # Catalog
 
     def _append(self, make) -> dict:
@@ -250,11 +306,11 @@ class Store:
         return sorted(self._refresh_catalog().branches.values(), key=lambda b: (b["depth"], b["name"], b["id"]))
 
     def delete_branch(self, name: str) -> None:
-        """Refused while the branch has observers or transactions of this process, snapshots, or children."""
+        """Refused while the branch has observers or transactions, of any process, snapshots, or children."""
 
         def make(catalog: Catalog) -> dict:
             key = self._history(name)
-            if any(h == key for h, _ in self.pins.values()):
+            if any(p["history"] == key for p in self._live_pins()):
                 raise InUseError(f"{name} is observed")
             if any(s["history"] == key for s in catalog.snapshots.values()):
                 raise InUseError(f"{name} has snapshots")
@@ -269,75 +325,181 @@ class Store:
     # Maintenance
 
     def protected(self, history: str) -> list[int]:
-        """Boundaries that retention must keep: of open observers, snapshots and children."""
-        open_ = {b for h, b in self.pins.values() if h == history}
-        kept = {s["sequence"] for s in self.catalog.snapshots.values() if s["history"] == history}
+        """Boundaries that retention must keep: of open observers of all processes, snapshots and children."""
+        open_ = {b for p in self._live_pins() for h, b in p["reach"] if h == history}
+        kept = {s["sequence"] for s in self._refresh_catalog().snapshots.values() if s["history"] == history}
         return sorted(open_ | kept | {b["base"] for b in self.catalog.branches.values() if b["parent"] == history})
 
-    def _rewrite(self, history: str, rows: DataFrame, sequence: int, floor: int, held: int) -> str:
-        """A checkpoint with ``rows``. Ranges of key and sequence split a hot key over files. Lost races leave an invisible directory."""
+    def _rewrite(self, pin: Pin, history: str, rows: DataFrame, sequence: int, floor: int, held: int) -> tuple[str, int]:
+        """A checkpoint with ``rows``, its directory and their number. Ranges of key and sequence split a hot key over files.
+
+        What was written is read back and compared, as a sum of hashes, before the checkpoint is published. A lost race leaves an
+        invisible directory for ``vacuum``.
+        """
         generation, old = self._checkpoints[history]
         batches = dict(old["batches"])
         for _, m in sorted(self._commits[history].items()):
             batches.update([m["batch"]] if m["batch"] else [])
-        directory = f"versions/{history}/{uuid.uuid4().hex}"
+        directory = f"versions/{history}/{pin.token}-{generation + 1}"
+        print_ = [F.count("*").alias("n"), F.sum(F.xxhash64(*_VERSION).cast("decimal(38,0)")).alias("h")]
+        meant = Observation()
         dealt = rows.repartitionByRange(max(1, math.ceil(held / FILE_BYTES)), "k", "commit_seq").sortWithinPartitions("k", "commit_seq")
-        dealt.write.parquet(f"{self.files.root}/{directory}")
+        dealt.observe(meant, *print_).write.mode("overwrite").parquet(f"{self.files.root}/{directory}")
+        found = self.spark.read.schema(VERSIONS).parquet(f"{self.files.root}/{directory}").agg(*print_).first()
+        self.fault("rewritten")
+        if not _same(meant.get, found):
+            raise CorruptError(f"{directory} differs from what was to be written")
         if not self.files.publish(f"checkpoints/{history}/{generation + 1:020d}.json", {"sequence": sequence, "floor": floor, "directory": directory, "batches": batches}):
             raise ConflictError(f"another process rewrote {history}")
+        self.fault("checkpoint published")
         self._refresh(history)
-        return directory
+        return directory, found["n"]
 
     def _bytes(self, history: str) -> int:
         return sum(self.files.size(d) for d in self._directories(history, None))
 
     def collect_garbage(self, retain_recent: int = 1024, include_branches: bool = True) -> DataFrame:
         """history, versions_reclaimed, versions_retained, floor of histories whose floor advances or whose projection shrinks."""
+        if retain_recent < 0:
+            raise ValueError("retain_recent is negative")
         out = []
         for history in self._refresh_catalog().tree() if include_branches else [MAIN]:
-            current = self._refresh(history)
-            floor = retention.target_floor(self._floor(history), current, retain_recent)
-            rows, pins = self.log(history, current), self.protected(history)
-            found = retention.result(rows, floor, pins).first()
-            if floor > self._floor(history) or found["versions_reclaimed"]:
-                self._rewrite(history, retention.projection(rows, floor, pins), current, floor, self._bytes(history))
-                out.append((history, found["versions_reclaimed"], found["versions_retained"], floor))
+            with Pin(self, history) as pin:
+                current = self._refresh(history)
+                old = self._floor(history)
+                floor = retention.target_floor(old, current, retain_recent)
+                if floor > old:
+                    self.files.publish(f"floors/{history}/{floor:020d}.json", {"created_ms": _now()})
+                    self.fault("floor announced")
+                # Pins are read after the floor is announced: an observer that this misses is refused.
+                rows, pins = self.log(history, current), self.protected(history)
+                found = retention.result(rows, floor, pins).first()
+                if floor > self._checkpoints[history][1]["floor"] or found["versions_reclaimed"]:
+                    _, kept = self._rewrite(pin, history, retention.projection(rows, floor, pins), current, floor, self._bytes(history))
+                    out.append((history, found["versions_reclaimed"], kept, floor))
+                    self.telemetry.add("GarbageCollected", resource=history)
         return self.spark.createDataFrame(out, "history string, versions_reclaimed long, versions_retained long, floor long")
 
     def compact(self, most: int = 4, minimum: int = 1, budget: int = (1 << 63) - 1) -> DataFrame:
-        """history, directories_before, bytes_before, bytes_after: histories of many commits rewritten as they are, the most commits first."""
-        found = []
+        """history, directories_before, bytes_before, bytes_after, bytes_rewritten: histories rewritten as they are into one directory.
+
+        Largest gain first, at most ``most`` histories that gain ``minimum`` bytes, within a ``budget`` of bytes to be written; one that
+        exceeds what is left of it is passed over. The gain is what the history's directories take beyond one file's share of their rows.
+        """
+        if most < 1 or minimum < 0 or budget < 0:
+            raise ValueError("most is less than 1, or a number of bytes is negative")
+        sizes = {}
         for history in self._refresh_catalog().tree():
             self._refresh(history)
-            spare = len(self._directories(history, None)) - 1
-            if spare >= minimum:
-                found.append((history, spare, self._bytes(history)))
+            places = self._directories(history, None)
+            if len(places) > 1:
+                sizes[history] = len(places), self._bytes(history), max(self.files.size(d) for d in places)
+        # One directory holds at least its largest one, and a manifest and a footer a directory go.
+        found = [(h, held - largest, held) for h, (n, held, largest) in sizes.items() if held - largest >= minimum]
         out = []
-        sizes = {h: (n + 1, b) for h, n, b in found}
         for history in retention.select_candidates(found, most, budget):
-            current = self._refresh(history)
-            made = self._rewrite(history, self.log(history, current), current, self._floor(history), sizes[history][1])
-            out.append((history, *sizes[history], self.files.size(made)))
-        return self.spark.createDataFrame(out, "history string, directories_before long, bytes_before long, bytes_after long")
+            with Pin(self, history) as pin:
+                current = self._refresh(history)
+                made, _ = self._rewrite(pin, history, self.log(history, current), current, self._floor(history), sizes[history][1])
+                after = self.files.size(made)
+                out.append((history, *sizes[history][:2], after, after))
+                self.telemetry.add("Compacted", resource=history)
+        return self.spark.createDataFrame(out, "history string, directories_before long, bytes_before long, bytes_after long, bytes_rewritten long")
 
     def vacuum(self) -> tuple[int, int]:
-        """(deleted, pending) superseded files and directories. Nothing goes while this process observes anything; other processes must have no observers."""
-        gone = [f"{kind}/{h}" for h in self._refresh_catalog().dropped for kind in ("commits", "checkpoints", "versions") if self.files.exists(f"{kind}/{h}")]
+        """(deleted, pending) files and directories that no manifest names any more or that a dead writer left. Pending is what a living pin may read."""
+        places = {h: self.files.names(f"versions/{h}") for h in self.files.names("versions")}
+        live = self._live_pins()
+        tokens = {p["token"] for p in live}
+        gone, pending = [], 0
+        for h in self._refresh_catalog().dropped:
+            whole = [f"{kind}/{h}" for kind in ("commits", "checkpoints", "versions", "floors") if self.files.exists(f"{kind}/{h}")]
+            # A dropped branch has no observers, and writers of it find it dropped before they publish.
+            gone += whole
         for history in self.catalog.tree():
             self._refresh(history)
-            generation, checkpoint = self._checkpoints[history]
+            newest, _ = self._checkpoints[history]
+            oldest = min([newest, *(p["generations"][history] for p in live if history in p["generations"])])
+            named = set(self._directories(history, None))
+            bound = {g: self.files.read(f"checkpoints/{history}/{name}") for name in self.files.names(f"checkpoints/{history}") for g in [int(name[:-5])] if g <= newest}
             for name in self.files.names(f"commits/{history}"):
-                if int(name[:-5]) <= checkpoint["sequence"]:
-                    directory = self.files.read(f"commits/{history}/{name}")["directory"]
-                    gone += [f"commits/{history}/{name}"] + ([directory] if directory else [])
-            for name in self.files.names(f"checkpoints/{history}"):
-                if int(name[:-5]) < generation:
-                    gone += [self.files.read(f"checkpoints/{history}/{name}")["directory"], f"checkpoints/{history}/{name}"]
-        if self.pins:
-            return 0, len(gone)
+                seq, manifest = int(name[:-5]), self.files.read(f"commits/{history}/{name}")
+                if newest and seq <= bound[newest]["sequence"]:
+                    if oldest in bound and seq <= bound[oldest]["sequence"]:
+                        gone.append(f"commits/{history}/{name}")
+                    else:
+                        pending += 1
+                        named.add(manifest["directory"])
+            for g, checkpoint in bound.items():
+                if oldest <= g < newest:
+                    pending += 1
+                    named.add(checkpoint["directory"])
+                elif g < oldest:
+                    gone.append(f"checkpoints/{history}/{g:020d}.json")
+            gone += [f"floors/{history}/{name}" for name in self.files.names(f"floors/{history}")[:-1]]
+            gone += [d for name in places.get(history, []) for d in [f"versions/{history}/{name}"] if d not in named and name[:32] not in tokens]
+        gone += [f"pins/{name}" for name in self.files.names("pins") if (body := self.files.read_or_none(f"pins/{name}")) and body["expires_ms"] <= _now()]
         for name in gone:
             self.files.delete(name)
-        return len(gone), 0
+        return len(gone), pending
+
+    def raw(self, branch: str = MAIN) -> DataFrame:
+        """history, commit_seq, k, is_delete, v, txn, directory, visible of every row that lies in the store for a history, superseded and invisible ones included."""
+        history = self._history(branch)
+        self._refresh(history)
+        places = [f"versions/{history}/{name}" for name in self.files.names(f"versions/{history}")]
+        if not places:
+            return self.spark.createDataFrame([], VERSIONS).select("*", F.lit("").alias("directory"), F.lit(False).alias("visible"))
+        rows = self.spark.read.schema(VERSIONS).parquet(*[f"{self.files.root}/{d}" for d in places])
+        directory = F.regexp_extract(F.col("_metadata.file_path"), "versions/[^/]*/([^/]*)/", 1)
+        named = [d.rpartition("/")[2] for d in self._directories(history, None)]
+        return rows.select("*", directory.alias("directory"), directory.isin(named).alias("visible"))
+
+    def diagnostics(self) -> DataFrame:
+        """One row about the store. Sums of versions come from one job over the current directories of all histories; the rest is the driver's."""
+        tree = self._refresh_catalog().tree()
+        for history in tree:
+            self._refresh(history)
+        live = self._live_pins()
+        places = [f"{self.files.root}/{d}" for h in tree for d in self._directories(h, None)]
+        log = self.spark.read.schema(VERSIONS).parquet(*places) if places else self.spark.createDataFrame([], VERSIONS)
+        sequences = [s["sequence"] for s in self.catalog.snapshots.values()]
+        t, count = self.telemetry, lambda kind: F.lit(self.telemetry.counts[kind]).cast("long")
+        long = lambda n: F.lit(n).cast("long")
+        chains = log.groupBy("history", "k").agg(F.count("*").alias("n"), F.max_by("is_delete", "commit_seq").alias("dead"), F.sum(F.length("k") + F.coalesce(F.length("v"), F.lit(0))).alias("size"))
+        own = F.col("history") == MAIN
+        sums = chains.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("versions"), F.count("*").alias("chains"), F.coalesce(F.max("n"), F.lit(0)).alias("longest_chain"),
+            F.when(F.count("*") == 0, 0.0).otherwise(F.sum("n") / F.count("*")).alias("average_chain"), F.count_if(own & ~F.col("dead")).alias("main_keys"),
+            F.count_if(own & F.col("dead")).alias("main_tombstones"), F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("main_versions"), F.coalesce(F.sum("size"), F.lit(0)).alias("logical_bytes"),
+        )
+        return sums.select(
+            "*", long(self._commits[MAIN] and max(self._commits[MAIN]) or self._checkpoints[MAIN][1]["sequence"]).alias("current_sequence"), long(self._floor(MAIN)).alias("floor"),
+            long(self._checkpoints[MAIN][0]).alias("checkpoint_generation"), long(self._checkpoints[MAIN][1]["sequence"]).alias("checkpoint_sequence"), long(sum(len(c) for c in self._commits.values())).alias("commits_since_checkpoints"),
+            long(len(self.catalog.branches)).alias("branches"), long(max(h.depth for h in tree.values())).alias("deepest_branch"), long(len(self.catalog.snapshots)).alias("snapshots"),
+            long(sum(s["history"] != MAIN for s in self.catalog.snapshots.values())).alias("branch_snapshots"), long(min(sequences, default=None)).alias("least_snapshot_sequence"), long(max(sequences, default=None)).alias("greatest_snapshot_sequence"),
+            long(self.catalog.events).alias("catalog_events"), long(len(self.catalog.dropped)).alias("dropped_ids"), long(len(live)).alias("pins"), long(len(self.pins)).alias("own_pins"),
+            long(len({(h, b) for p in live for h, b in p["reach"]})).alias("pinned_boundaries"), long(sum(self._bytes(h) for h in tree)).alias("current_bytes"), long(self.files.size("versions")).alias("stored_bytes"),
+            count("TransactionCommitted").alias("commits"), count("TransactionConflict").alias("conflicts"), count("TransactionAborted").alias("aborts"), count("ObserverOpened").alias("observers_opened"),
+            count("GarbageCollected").alias("histories_collected"), count("Compacted").alias("histories_compacted"), F.lit(t.average_ms("TransactionCommitted")).alias("average_commit_ms"),
+            long(t.last).alias("telemetry_events"), long(t.lost).alias("telemetry_lost"), F.lit(t.lost == 0).alias("telemetry_complete"),
+        )
+
+    def topology(self) -> DataFrame:
+        """kind (Main, Branch, Snapshot, BranchBase), id, name, parent, boundary, depth, versions: histories, then the roots that retain parts of them."""
+        tree, rows = self._refresh_catalog().tree(), []
+        for h in tree.values():
+            self._refresh(h.name)
+            b = self.catalog.branches.get(h.name)
+            rows.append(("Branch" if b else "Main", h.name, b["name"] if b else MAIN, h.parent, h.base if b else None, h.depth))
+        rows += [("Snapshot", s["id"], s["name"], s["history"], s["sequence"], tree[s["history"]].depth) for s in self.catalog.snapshots.values()]
+        rows += [("BranchBase", b["id"], b["name"], b["parent"], b["base"], b["depth"]) for b in self.catalog.branches.values()]
+        places = [f"{self.files.root}/{d}" for h in tree for d in self._directories(h, None)]
+        log = self.spark.read.schema(VERSIONS).parquet(*places) if places else self.spark.createDataFrame([], VERSIONS)
+        held = log.groupBy(F.col("history").alias("id")).agg(F.count("*").alias("versions"))
+        found = self.spark.createDataFrame(rows, "kind string, id string, name string, parent string, boundary long, depth int").join(held, "id", "left")
+        versions = F.when(F.col("kind").isin("Main", "Branch"), F.coalesce("versions", F.lit(0))).cast("long")
+        return found.select("kind", "id", escaped(F.col("name")).alias("name"), "parent", "boundary", "depth", versions.alias("versions")).orderBy("depth", "name", "kind", "id")
 
     def last_batch(self, name: str, branch: str = MAIN) -> int:
         """The newest batch that a named stream committed; -1 if none."""
@@ -347,16 +509,85 @@ class Store:
         return max([*mine, self._checkpoints[history][1]["batches"].get(name, -1)])
 
 
-class Observer:
-    """A history at a boundary. It pins what it sees until it is closed."""
+class Pin:
+    """A file that tells all processes what this one holds. Renewed or not, it ends with its lease."""
 
-    def __init__(self, store: Store, history: str, boundary: int):
-        self.store, self.history, self.boundary = store, history, boundary
-        self.token = uuid.uuid4().hex
-        store.pins[self.token] = history, boundary
+    def __init__(self, store: Store, history: str, reach: list[tuple[str, int]] = ()):
+        self.store, self.history, self.reach = store, history, list(reach)
+        self.token, self.number = uuid.uuid4().hex, 0
+        tree = store._refresh_catalog().tree()
+        if history not in tree:
+            raise NotFoundError("the branch was deleted")
+        # Generations known before the pin is written: what the holder may read is of these or newer ones.
+        for name, _, _ in ancestors(tree, history, None):
+            store._refresh(name)
+        self.generations = {name: store._checkpoints[name][0] for name, _, _ in ancestors(tree, history, None)}
+        self._write()
+        store.pins[self.token] = self
+
+    def _write(self) -> None:
+        self.expires_ms = _now() + self.store.lease_ms
+        body = {"history": self.history, "reach": self.reach, "generations": self.generations, "expires_ms": self.expires_ms}
+        self.store.files.publish(f"pins/{self.token}.{self.number:06d}.json", body)
+
+    def renew(self) -> None:
+        """Holds for another lease from now on."""
+        self.check()
+        old, self.number = self.number, self.number + 1
+        self._write()
+        self.store.files.delete(f"pins/{self.token}.{old:06d}.json")
+
+    def check(self) -> None:
+        if _now() >= self.expires_ms:
+            raise LeaseError("the lease has ended")
+
+    def release(self) -> None:
+        if self.store.pins.pop(self.token, None):
+            self.store.files.delete(f"pins/{self.token}.{self.number:06d}.json")
+
+    def __enter__(self) -> Pin:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
+class Observer:
+    """A history at a boundary, the current one if none is given. It pins what it sees until it is closed or its lease ends."""
+
+    def __init__(self, store: Store, history: str, boundary: int | None = None, kept: bool = False):
+        """``kept`` boundaries belong to snapshots and may be below the floor."""
+        self.store, self.history = store, history
+        # The boundary of a current state is known only after it is pinned: the newest sequence is never collected.
+        asked = store._refresh(history) if boundary is None else boundary
+        chain = lambda b: ancestors(store.catalog.tree(), history, b)
+        self.pin = Pin(store, history, [(name, bound) for name, bound, _ in chain(asked)])
+        self.boundary = asked
+        try:
+            current, floor = store._refresh(history), store._floor(history)
+            if boundary is None and floor > asked:
+                # A collector went on in between; what is current now is not below its floor.
+                again = Observer(store, history)
+                self.pin.release()
+                self.pin, self.boundary, asked = again.pin, again.boundary, again.boundary
+                current, floor = store._refresh(history), 0
+            if not (0 if kept else floor) <= asked <= current:
+                raise UnavailableError(asked, floor, current)
+            self.tree, self.places = store.catalog.tree(), []
+            for name, bound, _ in chain(asked):
+                store._refresh(name)
+                self.places += store._directories(name, bound)
+        except Exception:
+            self.pin.release()
+            raise
+        self.token = self.pin.token
+        store.telemetry.add("ObserverOpened", resource=history)
 
     def close(self) -> None:
-        self.store.pins.pop(self.token, None)
+        self.pin.release()
+
+    def renew(self) -> None:
+        self.pin.renew()
 
     def __enter__(self) -> Observer:
         return self
@@ -365,13 +596,14 @@ class Observer:
         self.close()
 
     def _resolved(self, keys: list[bytes] | None = None) -> DataFrame:
-        tree, log = self.store.catalog.tree(), None
-        for history, bound, _ in ancestors(tree, self.history, self.boundary):
-            self.store._refresh(history)
-            rows = self.store.log(history, bound)
-            log = rows if log is None else log.union(rows)
+        self.pin.check()
+        if self.places:
+            # Beyond its boundary a directory of an ancestor holds versions that this observer does not reach: resolving leaves them out.
+            log = self.store.spark.read.schema(VERSIONS).parquet(*[f"{self.store.files.root}/{d}" for d in self.places])
+        else:
+            log = self.store.spark.createDataFrame([], VERSIONS)
         log = log if keys is None else log.filter(F.col("k").isin([F.lit(bytearray(k)) for k in keys]))
-        return resolve_history(log, tree, self.history, self.boundary)
+        return resolve_history(log, self.tree, self.history, self.boundary)
 
     @property
     def df(self) -> DataFrame:
@@ -456,21 +688,24 @@ class Transaction:
         self._active()
         self.state = "Preparing"
         store, history, start = self.store, self.base.history, self.base.boundary
-        if history not in store._refresh_catalog().tree():
-            self._end("Aborted")
-            raise NotFoundError("the branch was deleted")
+        began = time.monotonic()
         try:
+            self.base.pin.check()
             seq, staged = store._refresh(history) + 1, None
+            if seq > MAXIMUM_SEQUENCE:
+                raise StoreError("sequences are exhausted")
             if self._rows or self._frames:
                 staged = self._stage(self.writes(), seq)
-                if not beyond_limits(store.spark.read.schema(VERSIONS).parquet(f"{store.files.root}/{staged}")).isEmpty():
-                    raise StoreError("a write is beyond the limits")
+                store.fault("staged")
             while True:
                 if staged:
                     mine = store.spark.read.schema(VERSIONS).parquet(f"{store.files.root}/{staged}").select("k")
                     if seq > start + 1 and not mine.join(store.log(history, seq - 1, start), "k", "left_semi").isEmpty():
                         raise ConflictError("a written key has a newer version")
+                if history not in store._refresh_catalog().tree():
+                    raise NotFoundError("the branch was deleted")
                 self.state = "Committing"
+                store.fault("committing")
                 if store.files.publish(f"commits/{history}/{seq:020d}.json", {"txn": self.id, "start": start, "directory": staged, "batch": self.batch, "created_ms": _now()}):
                     break
                 # Another writer took the sequence: only the conflict test and the staged sequence change.
@@ -479,19 +714,32 @@ class Transaction:
                     rows = store.spark.read.schema(VERSIONS).parquet(f"{store.files.root}/{lost}")
                     staged = self._stage(rows.select("k", "is_delete", "v"), seq)
                     store.files.delete(lost)
-        except Exception:
-            self._end("Indeterminate" if self.state == "Committing" else "Aborted")
+            self.state = "DurableCommitted"
+            store.fault("committed")
+        except Exception as e:
+            if self.state != "DurableCommitted":
+                self._end("Indeterminate" if self.state == "Committing" else "Aborted")
+            store.telemetry.add("TransactionConflict" if isinstance(e, ConflictError) else "TransactionAborted", resource=history)
+            if BEYOND in str(e) and not isinstance(e, StoreError):
+                raise StoreError(BEYOND) from e
             raise
         self._end("Committed")
+        store.telemetry.add("TransactionCommitted", resource=history, ms=1000 * (time.monotonic() - began))
         store._refresh(history)
         return seq
 
     def _stage(self, rows: DataFrame, seq: int) -> str:
-        place = f"versions/{self.base.history}/{self.id}-{seq}"
-        full = rows.select(F.lit(self.base.history).alias("history"), F.lit(seq).cast("long").alias("commit_seq"), "k", "is_delete", "v", F.lit(self.id).alias("txn"))
-        full.write.parquet(f"{self.store.files.root}/{place}")
+        """Writes the rows, sorted by key so that readers of few keys skip row groups. A row beyond the limits fails the job."""
+        place = f"versions/{self.base.history}/{self.base.token}-{seq}"
+        key = F.when(beyond(), F.raise_error(F.lit(BEYOND)).cast("binary")).otherwise(F.col("k"))
+        full = rows.select(F.lit(self.base.history).alias("history"), F.lit(seq).cast("long").alias("commit_seq"), key.alias("k"), "is_delete", "v", F.lit(self.id).alias("txn"))
+        full.sortWithinPartitions("k").write.parquet(f"{self.store.files.root}/{place}")
         return place
 
 
+def _same(a: dict, b) -> bool:
+    return (a["n"], a["h"]) == (b["n"], b["h"])
+
+
 def _now() -> int:
     return int(time.time() * 1000)

@@ -1,6 +1,8 @@
 """The persistent store against a plain Python model, and its refusals."""
 
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,7 +118,7 @@ def test_branches_and_snapshots(spark, tmp_path):
     assert got == {b"a": ("Value", 2), b"b": ("Tombstone", 1), b"q": ("NoVisibleVersion", None)}
     with pytest.raises(S.NameTakenError):
         db.create_branch("x")
-    db.pins.clear()
+    db.close()
     with pytest.raises(S.InUseError):
         db.delete_branch("x")
     db.delete_branch("y")
@@ -137,11 +139,11 @@ def test_maintenance_changes_no_observer(spark, tmp_path):
     pinned = db.at(5)
     done = db.collect_garbage(retain_recent=1).first()
     assert done["floor"] == 7 and done["versions_reclaimed"] > 0
-    assert db.vacuum()[0] == 0 and live(pinned) == states[5]
+    assert db.vacuum()[1] > 0 and live(pinned) == states[5]
     assert live(db.snapshot("three")) == states[3] and live(db.at(7)) == states[7] and live(db.current()) == states[8]
     with pytest.raises(S.UnavailableError):
         db.at(6)
-    db.pins.clear()
+    db.close()
     assert db.vacuum()[0] > 0 and db.vacuum() == (0, 0)
     db.put(b"z", b"9")
     assert db.compact().first()["directories_before"] == 2 and db.compact().count() == 0
@@ -160,3 +162,182 @@ def test_stream_batches_are_committed_once(spark, tmp_path):
         stream = spark.readStream.schema(rows.schema).parquet(source)
         assert ingest(stream, db, "feed", str(tmp_path / point), availableNow=True).awaitTermination(60)
     assert db.current().boundary == 1 and len(live(db.current())) == 5 and db.last_batch("feed") == 0
+
+
+def test_observers_of_other_objects_and_processes(spark, tmp_path):
+    """What an observer sees stays, whoever collects and vacuums; a boundary below an announced floor is refused."""
+    path = str(tmp_path / "db")
+    db, other = S.Store(spark, path), S.Store(spark, path)
+    db.put(b"a", b"1")
+    db.put(b"a", b"2")
+    seen = other.at(1)
+    db.collect_garbage(retain_recent=0)
+    db.vacuum()
+    assert live(seen) == {b"a": b"1"}
+    code = f"""
+import sys; sys.path[:0] = {sys.path!r}
+from pyspark.sql import SparkSession
+from palimpsest.sources.store import Store
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+db = Store(spark, {path!r})
+db.put(b"a", b"3")
+db.collect_garbage(retain_recent=0)
+db.compact()
+print("vacuum", db.vacuum())
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert "vacuum" in done.stdout, done.stderr[-2000:]
+    assert live(seen) == {b"a": b"1"} and live(other.current()) == {b"a": b"3"}
+    seen.close()
+    db.collect_garbage(retain_recent=0)
+    with pytest.raises(S.UnavailableError):
+        other.at(1)
+    with pytest.raises(S.UnavailableError):
+        other.create_branch("late", at=1)
+
+
+def test_boundary_between_announcement_and_collection(spark, tmp_path):
+    """A collector that has announced its floor and not yet read pins: observers below it are refused, earlier ones are kept."""
+    path = str(tmp_path)
+    other = S.Store(spark, path)
+    refused = []
+
+    def between(step):
+        if step == "floor announced":
+            with pytest.raises(S.UnavailableError):
+                other.at(1)
+            refused.append(step)
+
+    db = S.Store(spark, path, fault=between)
+    for v in (b"1", b"2", b"3"):
+        db.put(b"a", v)
+    early = other.at(2)
+    db.collect_garbage(retain_recent=0)
+    assert refused and live(early) == {b"a": b"2"}
+    with pytest.raises(S.InUseError):
+        branch = other.create_branch("x")
+        with other.current("x"):
+            db.delete_branch(branch["name"])
+
+
+def test_leases_end_and_are_renewed(spark, tmp_path, monkeypatch):
+    now = [1000]
+    monkeypatch.setattr(S, "_now", lambda: now[0])
+    db = S.Store(spark, str(tmp_path), lease_ms=100)
+    db.put(b"a", b"1")
+    db.put(b"a", b"2")
+    seen = db.at(1)
+    now[0] += 60
+    seen.renew()
+    now[0] += 60
+    assert live(seen) == {b"a": b"1"} and db.protected(S.MAIN) == [1]
+    now[0] += 60
+    assert db.protected(S.MAIN) == []
+    with pytest.raises(S.LeaseError):
+        seen.df
+    assert db.vacuum()[0] > 0 and db.files.names("pins") == []
+
+
+@pytest.mark.parametrize("step", ["staged", "committing", "committed", "rewritten", "checkpoint published", "floor announced"])
+def test_failures_at_every_step(spark, tmp_path, monkeypatch, step):
+    """After a failure anywhere a new process sees a whole state, and what the dead one left goes when its lease has ended."""
+
+    def fail(at):
+        if at == step:
+            raise OSError(step)
+
+    S.Store(spark, str(tmp_path)).put(b"a", b"1")
+    db = S.Store(spark, str(tmp_path), fault=fail)
+    with pytest.raises(OSError):
+        db.put(b"a", b"2")
+        db.collect_garbage(retain_recent=0)
+    now = S._now()
+    monkeypatch.setattr(S, "_now", lambda: now + 2 * S.LEASE_MS)
+    again = S.Store(spark, str(tmp_path))
+    assert live(again.current()) == {b"a": b"1" if step in ("staged", "committing") else b"2"}
+    again.close()
+    again.vacuum()
+    named = {d.rpartition("/")[2] for d in again._directories(S.MAIN, None)}
+    assert set(again.files.names("versions/main")) == named and again.files.names("pins") == []
+
+
+def test_losers_leave_nothing(spark, tmp_path):
+    db = S.Store(spark, str(tmp_path))
+    one, two = db.begin(), db.begin()
+    one.put(b"a", b"1")
+    two.put(b"a", b"2")
+    one.commit()
+    with pytest.raises(S.ConflictError):
+        two.commit()
+    assert len(db.files.names("versions/main")) == 2
+    assert db.vacuum() == (1, 0) and len(db.files.names("versions/main")) == 1 and live(db.current()) == {b"a": b"1"}
+    assert db.telemetry.counts["TransactionConflict"] == 1
+
+
+def test_rewrites_of_many_files_and_point_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "FILE_BYTES", 500)
+    db = S.Store(spark, str(tmp_path))
+    rows = spark.range(400).select(F.format_string("k%04d", "id").cast("binary").alias("k"), F.lit(False).alias("is_delete"), F.col("id").cast("string").cast("binary").alias("v"))
+    for _ in range(2):
+        with db.begin() as txn:
+            txn.write(rows)
+            txn.commit()
+    done = db.compact().first()
+    assert done["directories_before"] == 2 and done["bytes_rewritten"] == done["bytes_after"] > 0
+    seen = db.current()
+    assert seen.df.count() == 400 and seen.get([b"k0007", b"none"]) == {b"k0007": b"7"}
+    plan = seen._resolved([b"k0007"])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(k" in plan or "PushedFilters: [IsNotNull(k), EqualTo(k" in plan or "EqualTo(k" in plan
+    assert db.raw().count() == 1600 and db.raw().filter("visible").count() == 800
+    for bad in ({"most": 0}, {"minimum": -1}, {"budget": -1}):
+        with pytest.raises(ValueError):
+            db.compact(**bad)
+
+
+def test_import_listing_and_diagnostics(spark, tmp_path):
+    db = S.Store(spark, str(tmp_path))
+    table = spark.createDataFrame([(bytearray(b"a"), bytearray(b"1")), (bytearray(b"b"), bytearray(b"2"))], "k binary, v binary")
+    db.put(b"b", b"own")
+    assert db.import_rows(table) == 2 and live(db.current()) == {b"a": b"1", b"b": b"own"} and db.import_rows(table) is None
+    db.create_snapshot("z")
+    db.put(b"c", b"3")
+    db.create_snapshot("y\x01")
+    db.create_branch("side", at=2)
+    db.put(b"a", b"side", "side")
+    db.create_snapshot("s", "side")
+    db.put(b"a", b"later", "side")
+    db.create_branch("deep", parent="side", snapshot="s")
+    assert [s["name"] for s in db.list_snapshots()] == ["z", "y\x01"] and [s["name"] for s in db.list_snapshots("side")] == ["s"]
+    assert [b["name"] for b in db.list_branches()] == ["side", "deep"]
+    assert live(db.snapshot("s", "side")) == {b"a": b"side", b"b": b"own"} == live(db.current("deep")) and live(db.snapshot("z")) == {b"a": b"1", b"b": b"own"}
+    assert live(db.at(0, "side")) == {b"a": b"1", b"b": b"own"} and live(db.at(1, "side")) == {b"a": b"side", b"b": b"own"}
+    assert live(db.open_id(db.list_branches()[0]["id"])) == {b"a": b"later", b"b": b"own"} and live(db.open_id(db.list_snapshots()[0]["id"])) == {b"a": b"1", b"b": b"own"}
+    row = db.diagnostics().first()
+    assert (row.versions, row.main_keys, row.branches, row.deepest_branch, row.snapshots, row.branch_snapshots) == (5, 3, 2, 2, 3, 1)
+    assert (row.least_snapshot_sequence, row.greatest_snapshot_sequence, row.commits, row.telemetry_complete) == (1, 3, 5, True) and row.average_commit_ms > 0
+    assert [(r.kind, r.name, r.versions) for r in db.topology().collect()][:3] == [("Main", "main", 3), ("Snapshot", "y\\u0001", None), ("Snapshot", "z", None)]
+    empty = S.Store(spark, str(tmp_path / "empty")).diagnostics().first()
+    assert (empty.versions, empty.average_chain, empty.average_commit_ms, empty.least_snapshot_sequence) == (0, 0.0, 0.0, None)
+    from palimpsest.operators.diagnostics import dependency_violations
+
+    events = db.telemetry.frame(spark)
+    assert dependency_violations(events).count() == 0 and events.count() == db.telemetry.last
+    bad = spark.createDataFrame([(1, "x", [2], None, 0.0), (1, "x", [], None, 0.0), (3, "x", [0], None, 0.0)], events.schema)
+    assert sorted((r.id, r.violation) for r in dependency_violations(bad).collect()) == [(1, "depends on no earlier event"), (1, "id used twice"), (3, "depends on no earlier event")]
+
+
+def test_transaction_states(spark, tmp_path):
+    """Which calls a transaction takes in which state."""
+    db = S.Store(spark, str(tmp_path))
+    for end in ("commit", "abort"):
+        txn = db.begin()
+        assert txn.state == "Active"
+        txn.put(b"a", end.encode())
+        getattr(txn, end)()
+        assert txn.state == {"commit": "Committed", "abort": "Aborted"}[end]
+        for call in (txn.commit, txn.abort, lambda: txn.put(b"a", b"x"), lambda: txn.delete(b"a")):
+            with pytest.raises(S.StoreError):
+                call()
+    with db.begin() as left:
+        left.put(b"b", b"x")
+    assert left.state == "Aborted" and live(db.current()) == {b"a": b"commit"}
