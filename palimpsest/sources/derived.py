@@ -9,8 +9,9 @@ from palimpsest.operators.ancestry import History
 
 TREE = {"main": History("main"), "A": History("A", "main", 1500, 1), "C": History("C", "A", 60, 2)}
 KINDS = ["click", "error", "purchase", "refund", "signup", "view"]
-#: Fixed catalog rows: (root, protected history, boundary, state) and (history, floor).
-ROOTS = [("snapshot-1", "main", 100, "Active"), ("base-A", "main", 1500, "Active"), ("base-C", "A", 60, "Creating"), ("snapshot-2", "main", 40, "Deleted"), ("snapshot-3", "A", 20, "Deleting")]
+#: The events of an undisturbed branch.
+BRANCH_LIFE = ["CreateIntent", "Activate", *["AdvanceSequence"] * 4, "PublishPhysicalBoundary", "AdvanceSequence", "DeleteIntent", "DeleteComplete"]
+#: Fixed catalog rows: (history, floor).
 FLOORS = [("main", 4900), ("A", 10), ("C", 0)]
 
 
@@ -60,9 +61,50 @@ def histories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(h.name, h.parent, h.base, h.depth) for h in TREE.values()], "history string, parent string, parent_base_seq long, depth int")
 
 
-def roots(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ROOTS, "root string, protected string, boundary long, state string")
+def roots(ev: DataFrame) -> DataFrame:
+    """Roots of the three histories, in every state."""
+    state = F.when(F.col("event_type") == "error", "Deleted").when(F.col("event_type") == "refund", "Deleting").when(F.col("event_type") == "signup", "Creating").otherwise("Active")
+    history = F.element_at(F.array(F.lit("main"), F.lit("A"), F.lit("C")), (F.col("event_id") % 3 + 1).cast("int"))
+    return ev.select(F.concat(F.lit("root-"), F.col("event_id").cast("string")).alias("root"), history.alias("protected"), (F.col("user_id") + 20).alias("boundary"), state.alias("state"))
 
 
 def floors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FLOORS, "history string, floor long")
+
+
+def history_wal(ev: DataFrame) -> DataFrame:
+    """The log of three histories, a transaction to each in turn. Some mutations name another history, some transactions have no Begin."""
+    rows = wal(ev).filter("type <> 'Begin' or txn % 17 <> 0")
+    own = F.element_at(F.array(F.lit("main"), F.lit("A"), F.lit("C")), (F.col("txn") % 3 + 1).cast("int"))
+    return rows.withColumn("history", F.when(F.col("k") % 23 == 0, "main").otherwise(own))
+
+
+def root_journal(ev: DataFrame) -> DataFrame:
+    """Four numbers a root: created, created again by some, deleted by some (a few with another boundary), deleted twice by a few."""
+    i, place, kind = F.expr("event_id div 4"), F.col("event_id") % 4, F.expr("(event_id div 4) % 4")
+    event = F.when(place == 0, "Create").when((place == 1) & (F.col("event_type") == "signup"), "Create").when((place == 2) & F.col("event_type").isin("error", "view"), "Delete").when((place == 3) & (F.col("event_type") == "refund"), "Delete")
+    rows = ev.select(
+        (F.col("event_id") + 1).alias("event_seq"), event.alias("event"), F.concat(F.lit("r"), i.cast("string")).alias("root"),
+        F.when(i % 41 == 0, "Other").when(kind == 0, "MainSnapshot").when(kind == 1, "BranchSnapshot").otherwise("BranchBase").alias("kind"),
+        F.when(kind == 0, "main").otherwise("A").alias("protected"), F.when(kind == 2, "main").when(kind == 3, F.when(i % 8 == 7, "A").otherwise("main")).alias("parent"),
+        F.when((F.col("event_id") % 4 >= 2) & (F.col("user_id") % 5 == 0), i + 1).otherwise(i).alias("boundary"),
+    )
+    return rows.filter("event is not null")
+
+
+def branch_journal(ev: DataFrame) -> DataFrame:
+    """Ten numbers a branch, from its intent to its end; some events are lost, of another kind, or carry wrong numbers."""
+    i, place, kind = F.expr("event_id div 10"), F.col("event_id") % 10, F.col("event_type")
+    usual = F.element_at(F.array(*[F.lit(e) for e in BRANCH_LIFE]), (place + 1).cast("int"))
+    event = F.when((place == 1) & (kind == "refund"), "AdvanceSequence").when((place == 9) & (kind == "purchase"), "PublishPhysicalBoundary").otherwise(usual)
+    advances, wrong = place.between(2, 7), (kind == "error").cast("long")
+    sequence = F.when(place.between(2, 5), place - 1 + wrong).when(place == 6, F.lit(4)).when(place == 7, 5 + wrong)
+    size = F.when((place == 7) & (F.col("user_id") % 7 == 0), F.lit(1)).when(advances, place * 100)
+    txn = F.when((place == 3) & (kind == "view"), F.col("event_id") - 1).when(place.isin(2, 3, 4, 5, 7), F.col("event_id"))
+    first = lambda c: F.when(place == 0, c)
+    rows = ev.select(
+        (F.col("event_id") + 1).alias("event_seq"), event.alias("event"), F.concat(F.lit("b"), i.cast("string")).alias("branch"), F.when(i % 97 == 0, "main").otherwise(F.concat(F.lit("h"), i.cast("string"))).alias("history"),
+        first(F.concat(F.lit("n"), (i % 50).cast("string"))).alias("name"), F.when(i % 3 == 0, "main").otherwise(F.concat(F.lit("h"), (i - 1).cast("string"))).alias("parent"),
+        i.alias("base"), F.when(i % 3 == 0, 1).otherwise(2).cast("long").alias("depth"), sequence.cast("long").alias("sequence"), size.cast("long").alias("data_bytes"), txn.alias("txn"),
+    )
+    return rows.filter("event_seq % 1000 <> 996")
