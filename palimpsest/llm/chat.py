@@ -5,13 +5,14 @@ forge a marker or another control string. The rendered text is encoded once by b
 the bytes; a token is under the loss mask where it overlaps the text of an assistant's turn. Turn spans and token spans are
 both sorted, so the overlap is found by binary search, and kept as clipped byte spans.
 
-A conversation is read as a stream of sorted turns and encoded in parts of bounded size. Parts end between
-turns, where the pattern always ends a piece, so the ids are those of the whole text.
+A conversation is read as a stream of sorted turns and encoded in parts of bounded size (``PART_CHARS`` or ``PART_TURNS``, a longer turn
+alone). Parts end between turns, after a line end and before ``<``, where the pattern always ends a piece, so the ids of all parts together
+are those of the whole text at once. Every turn is in a part: the sizes bound memory and leave nothing out.
 
 Escaping: a backslash is doubled, and a backslash follows the first character of every control string.
 
 Defined results: null text and null role are empty; turns are ordered by turn (null first), then role, then text;
-a null conv_id is a conversation of its own.
+a null conv_id is a conversation of its own. Columns other than conv_id, turn, role and text are not looked at.
 """
 
 from __future__ import annotations

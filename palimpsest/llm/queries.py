@@ -27,7 +27,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_topk_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = read_table(spark, sf_dir, "embeddings")
     return topk.nearest(rows, rows.filter("vec_id % 100 = 0"), k=10, bits=64)
 
 

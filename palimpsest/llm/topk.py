@@ -3,14 +3,17 @@
 A vector's code is its sign bits. A block of codes is indexed by each of ``SEGMENTS`` segments of the code. A query
 looks at segment values at distance 0, 1, 2, ... from its own. When the first j segments have been searched up
 to radius r and the others up to r - 1, every code within ``SEGMENTS * r + j - 1`` bits has been seen, so the search ends once
-the kth verified distance is at most that. Blocks are searched independently and their best k merge by (distance,
-id), so results are exact: no candidate is capped, and ties are broken by the smaller id.
+the kth verified distance is at most that. A task keeps each query's best k over all its blocks, and a block's search also ends once it
+has seen every code that is nearer than the kth of the blocks before. Tasks merge by (distance, id), so results are exact: no candidate
+is capped, and ties are broken by the smaller id.
 
-Queries come in blocks of at most ``QUERY_BLOCK``; one block's ids and codes (16 bytes a query) are the only data broadcast.
+Queries come in blocks of at most ``QUERY_BLOCK``; one block's ids and codes (16 bytes a query) are the only data broadcast, and a
+task holds and sends k results a query, however many codes it reads.
 
 Defined results: null vectors, null ids, and vectors whose number of elements is not ``bits`` are neither
-indexed nor queries; null elements count as not positive; repeated rows are results as often as they occur;
-fewer than k rows give that many results.
+indexed nor queries; null elements count as not positive; repeated rows are results as often as they occur; of several
+vectors of one query id the one with the smallest code (as a long) is asked; fewer than k rows give that many results. Other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -56,8 +59,8 @@ class BlockIndex:
     def segment(self, codes: np.ndarray, s: int) -> np.ndarray:
         return ((codes >> np.uint64(self.width * s)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
-    def search(self, query: np.ndarray, k: int, flips: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest to the code ``query`` (an array of one)."""
+    def search(self, query: np.ndarray, k: int, flips: list[np.ndarray], bound: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the k nearest to the code ``query`` (an array of one); those beyond ``bound`` may be left out."""
         n = len(self.codes)
         k = min(k, n)
         seen = np.zeros(n, bool)
@@ -79,8 +82,8 @@ class BlockIndex:
                     gap.append(d)
                     counts += np.bincount(d, minlength=len(counts))
                 covered = SEGMENTS * r + s
-                if counts[: covered + 1].sum() >= k:
-                    rows, d = np.concatenate(found), np.concatenate(gap)
+                if covered >= bound or counts[: covered + 1].sum() >= k:
+                    rows, d = np.concatenate(found or [np.zeros(0, np.int64)]), np.concatenate(gap or [np.zeros(0, np.int64)])
                     best = np.lexsort((self.ids[rows], d))[:k]
                     return self.ids[rows[best]], d[best]
         rows, d = np.concatenate(found or [np.zeros(0, np.int64)]), np.concatenate(gap or [np.zeros(0, np.int64)])
@@ -88,22 +91,33 @@ class BlockIndex:
         return self.ids[rows[best]], d[best]
 
 
-def _search_block(ids: np.ndarray, codes: np.ndarray, queries: tuple[np.ndarray, np.ndarray], k: int, bits: int) -> dict:
-    index, flips = BlockIndex(ids, codes, bits), _flips(bits // SEGMENTS)
-    out: tuple[list, list, list] = ([], [], [])
-    for q, c in zip(*queries):
-        near, d = index.search(np.array([c], np.int64).view(np.uint64), k, flips)
-        out[0].append(np.full(len(near), q))
-        out[1].append(near)
-        out[2].append(d)
-    return {name: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for name, x in zip(("query_id", "vec_id", "distance"), out)}
+class Best:
+    """The k nearest so far of every query, by distance, then id."""
 
+    def __init__(self, queries: tuple[np.ndarray, np.ndarray], k: int, bits: int):
+        self.queries, self.k, self.bits, self.flips = queries, k, bits, _flips(bits // SEGMENTS)
+        self.near = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries[0])
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) -> DataFrame:
-    """query_id, rank, vec_id, distance: for every query (id, vector) the k nearest of ``rows`` (id, vector)."""
-    names = ["id", "vector"]
-    index = rows.toDF(*names).select(F.col("id").cast("long").alias("id"), code(F.col("vector"), bits).alias("code")).dropna()
-    asked = queries.toDF(*names).select(F.col("id").cast("long").alias("id"), code(F.col("vector"), bits).alias("code")).dropna().distinct()
+    def add(self, ids: np.ndarray, codes: np.ndarray) -> None:
+        index = BlockIndex(ids, codes, self.bits)
+        for i, c in enumerate(self.queries[1]):
+            old, gap = self.near[i]
+            bound = int(gap[-1]) if len(gap) == self.k else self.bits
+            new, d = index.search(np.array([c], np.int64).view(np.uint64), self.k, self.flips, bound)
+            old, gap = np.concatenate([old, new]), np.concatenate([gap, d])
+            best = np.lexsort((old, gap))[: self.k]
+            self.near[i] = old[best], gap[best]
+
+    def batch(self) -> pa.RecordBatch:
+        whole = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+        asked = whole([np.full(len(n), q) for q, (n, _) in zip(self.queries[0], self.near)])
+        return pa.RecordBatch.from_pydict({"query_id": asked, "vec_id": whole([n for n, _ in self.near]), "distance": whole([d for _, d in self.near])})
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, distance: for every query the k nearest of ``rows``; both have the columns ``id`` and ``vector``."""
+    coded = lambda df: df.select(F.col(id).cast("long").alias("id"), code(F.col(vector), bits).alias("code")).dropna()
+    index, asked = coded(rows), coded(queries).groupBy("id").agg(F.min("code").alias("code"))
     spark = rows.sparkSession
     blocks = max(1, -(-asked.count() // QUERY_BLOCK) * 2 - 1)
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "code"), F.lit(blocks)))
@@ -113,20 +127,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) ->
         shared = spark.sparkContext.broadcast((part["id"].to_numpy(), part["code"].to_numpy()))
 
         def run(batches, shared=shared):
-            held, size = [], 0
-
-            def block():
-                ids, codes = (np.concatenate([h.column(i).to_numpy() for h in held]) for i in (0, 1))
-                return pa.RecordBatch.from_pydict(_search_block(ids, codes, shared.value, k, bits))
-
+            held, size, best = [], 0, Best(shared.value, k, bits)
+            add = lambda: best.add(*(np.concatenate([h.column(i).to_numpy() for h in held]) for i in (0, 1)))
             for batch in batches:
                 held.append(batch)
                 size += batch.num_rows
                 if size >= INDEX_BLOCK:
-                    yield block()
+                    add()
                     held, size = [], 0
             if size:
-                yield block()
+                add()
+            yield best.batch()
 
         results.append(index.mapInArrow(run, "query_id long, vec_id long, distance long"))
     found = results[0]

@@ -488,6 +488,66 @@ def test_mixing_prefix_is_the_seeded_order(spark):
     assert taken == want
 
 
+def test_mixing_against_brute_force(spark):
+    """Three levels, weights, shortages and several passes: budgets by filling one step at a time, then whole passes and a prefix."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(700):
+        domain = rng.choice("aab")
+        lang = rng.choice(("en", "en", "de", None))
+        rows.append((i, "w " * rng.randrange(1, 40), domain, lang, f"{domain}{rng.randrange(3)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string, lang string, source string")
+    levels = {"domain": F.col("domain"), "lang": F.col("lang"), "source": F.col("source")}
+    weights = {("b",): 2.0, ("*", "en"): 0.2, ("*", "de"): 1.0, ("a", "de", "a1"): 5.0}
+    size = {r[0]: len(r[1].split()) for r in rows}
+    path = {r[0]: tuple(x if x is not None else mixing.NULL for x in r[2:]) for r in rows}
+    supply = Counter()
+    for i, p in path.items():
+        supply[p] += size[i]
+    for share, passes in (("0.5", 2), ("1.6", 2), ("0.9", 3)):
+
+        def fill(node, give):
+            """Leaf budgets: what a full child can't take is shared by the others, again and again."""
+            if len(node) == 3:
+                return {node: give}
+            room = Counter()
+            for p, n in supply.items():
+                if p[: len(node)] == node:
+                    room[p[: len(node) + 1]] += n * passes
+            weight = {c: next((w for key, w in reversed(weights.items()) if len(key) == len(c) and all(k in ("*", x) for k, x in zip(key, c))), 1.0) for c in room}
+            got, left, open_ = dict.fromkeys(room, 0.0), give, set(room)
+            while open_ and left > 1e-9:
+                rate = left / sum(weight[c] for c in open_)
+                full = {c for c in open_ if room[c] <= rate * weight[c]}
+                for c in full or open_:
+                    got[c] = min(room[c], rate * weight[c])
+                    left -= got[c]
+                open_ = open_ - full if full else set()
+            return {k: v for c, g in got.items() for k, v in fill(c, g).items()}
+
+        total = sum(supply.values()) * mixing.Fraction(share)
+        budgets = fill((), float(int(total)))
+        planned, _ = mixing.plan(df, levels, weights, share, passes, 1, mixing.Scratch(spark, "t"))
+        for r in planned.collect():
+            assert abs(r.budget - budgets[(r.l0, r.l1, r.l2)]) <= 1, (share, r)
+        exact = {(r.l0, r.l1, r.l2): r.budget for r in planned.collect()}
+        place = {(r.doc_id, e): r[f"p{e}"] & (2**64 - 1) for r in df.select("doc_id", *[mixing.place(1, F.lit(e), F.col("doc_id")).alias(f"p{e}") for e in range(passes)]).collect() for e in range(passes)}
+        want = Counter()
+        for leaf, budget in exact.items():
+            own = [i for i in path if path[i] == leaf]
+            whole = min(passes, budget // supply[leaf])
+            for e in range(whole):
+                want.update((i, e) for i in own)
+            rest = budget - whole * supply[leaf]
+            if whole < passes:
+                for i in sorted(own, key=lambda i: (place[(i, whole)], i)):
+                    rest -= size[i]
+                    if rest < 0:
+                        break
+                    want[(i, whole)] += 1
+        assert Counter((r.doc_id, r.epoch) for r in mixing.mix(df, levels, weights, share, passes).collect()) == want, share
+
+
 def test_warc(spark):
     rows = [(1, "http://a/\r\nx", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c", None), (4, "u", ""), (5, "u", "z"), (5, "u", "z"), (None, "n", "z"), (7, "u", "a\r\n\r\nb WARC-Type: revisit")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -528,18 +588,55 @@ def test_chat(spark):
     assert chat.digests(chat.format_conversations(df.limit(0), PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).count() == 0
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
+    """Ties, repeated and odd rows, other columns, and blocks of queries and codes: as by brute force."""
+    monkeypatch.setattr(topk, "INDEX_BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(2)
     x = rng.standard_normal((400, 64))
     x[50:150] = x[50]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None), (1001, [1.0]), (None, [1.0] * 64)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = topk.nearest(df, df.filter("vec_id % 50 = 0"), k=7).collect()
-    for q in range(0, 400, 50):
+    x[300:] = np.where(rng.random((100, 64)) < 0.06, -x[7], x[7])
+    rows = [(i, [float(v) for v in r], i, "x") for i, r in enumerate(x)] + [(1000, None, 0, ""), (1001, [1.0], 0, ""), (None, [1.0] * 64, 0, "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, code long, id string")
+    got = topk.nearest(df.coalesce(2), df.filter("vec_id % 25 = 7 or vec_id = 50"), k=7).collect()
+    asked = [q for q in range(400) if q % 25 == 7 or q == 50]
+    for q in asked:
         d = ((x > 0) != (x[q] > 0)).sum(1)
         best = np.lexsort((np.arange(400), d))[:7]
         assert [(r.vec_id, r.distance) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(int(i), int(d[i])) for i in best]
-    assert topk.nearest(df.limit(0), df.limit(0)).count() == 0
+    assert len(got) == 7 * len(asked)
+    two = spark.createDataFrame([(5, [1.0] * 64), (5, [-1.0] * 64)], "vec_id long, embedding array<float>")
+    assert sorted((r.vec_id, r.distance) for r in topk.nearest(two, two, k=2).collect()) == [(5, 0), (5, 64)]
+    assert topk.nearest(df.limit(0), df.limit(0)).count() == 0 == topk.nearest(df.limit(0), df).count()
+
+
+def test_loss_mask_token_by_token():
+    """The overlap of every token with every assistant's text, one by one; and ids of parts are those of the whole."""
+    rng = random.Random(9)
+    ranks = bpe.load_ranks(PATH)
+    own = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    bits = ["a", " word", "\n", "  ", "é", "🙂", "<", "[INST]", "'s", "1", "", "\r\n", "|>", "\t", "…"]
+    for _ in range(60):
+        turns = [(rng.choice(("user", "assistant", "", "as\nsistant")), "".join(rng.choice(bits) for _ in range(rng.randrange(12)))) for _ in range(rng.randrange(1, 9))]
+        text, spans = chat.render(turns)
+        ids, offsets = own.encode_with_offsets(text)
+        tokens, starts, ends = chat.loss_mask(offsets, spans)
+        want = [(t, max(int(offsets[t]), s), min(int(offsets[t + 1]), e)) for s, e in spans for t in range(len(ids)) if max(offsets[t], s) < min(offsets[t + 1], e)]
+        assert list(zip(tokens.tolist(), starts.tolist(), ends.tolist())) == want
+        cut = rng.randrange(len(turns) + 1)
+        parts = [own.encode_with_offsets(chat.render(t)[0])[0].tolist() for t in (turns[:cut], turns[cut:])]
+        assert ids.tolist() == parts[0] + parts[1]
+
+
+def test_other_columns_and_long_values(spark):
+    """Columns that an operator doesn't know, under names that it uses, and values of a million characters."""
+    long_text = "very long <p>text</p> é\n" * 50_000
+    pages = spark.createDataFrame([(1, "u", long_text, "x", 9, "h"), (2, "u", long_text, "x", 9, "h")], "page_id long, url string, html string, payload string, uid long, digest string")
+    assert sorted((r.page_id, r.record_type, r.payload_bytes) for r in warc.round_trip(pages).collect()) == [(1, "revisit", len(long_text.encode())), (2, "response", len(long_text.encode()))]
+    rows = [(1, 0, "user", "q", "x", 3), (1, 1, "assistant", long_text, "x", 3)]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string, formatted long")
+    r = chat.digests(chat.format_conversations(talk, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(long_text), hashlib.sha256(long_text.encode()).hexdigest())
 
 
 def test_pseudo_likelihood_network():
