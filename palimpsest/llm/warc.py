@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Scratch, lookup_by_group
+from palimpsest.llm.common import HEAVY, Scratch, lookup_by_group
 
 #: The base32 alphabet, and the profile of a revisit.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -134,9 +134,18 @@ def read_records(records: DataFrame, payloads: DataFrame) -> DataFrame:
     return full.union(bare)
 
 
-def original_payloads(records: DataFrame, payloads: DataFrame) -> DataFrame:
-    """uid, payload of every record, revisits included: the page as it was before it was archived."""
-    full = _unpacked(records.select("uid", "digest").join(payloads.select("digest", "payload"), "digest"))
+def original_payloads(records: DataFrame, payloads: DataFrame, scratch: Scratch) -> DataFrame:
+    """uid, payload of every record, revisits included: the page as it was before it was archived.
+
+    A payload of many records is copied for every 1 / ``HEAVY`` of all records that have it, so its records part.
+    """
+    total = records.count()
+    found = lookup_by_group(records.select("uid", "digest"), ["digest"], {"n": F.count("*")}, scratch)
+    copies = F.ceil(F.col("n") * HEAVY / F.lit(max(1, total))).cast("int")
+    dealt = found.select("uid", "digest", F.pmod(F.xxhash64("uid"), copies).cast("int").alias("copy"))
+    several = payloads.join(records.groupBy("digest").agg(F.count("*").alias("n")), "digest")
+    several = several.select("digest", "payload", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    full = _unpacked(dealt.join(several, ["digest", "copy"]).select("uid", "digest", "payload"))
     return full.select("uid", _verified(F.col("payload"), F.col("digest")).alias("payload"))
 
 
@@ -173,9 +182,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, scratch: Scratch | None =
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     records, payloads = write_archive(pages, scratch, least_bytes)
     back = scratch.cut(parse(read_records(records, payloads)))
-    held = back.filter("record_type = 'response'").select("digest", "payload_bytes", "payload_digest")
-    if least_bytes > 0:
-        held = held.dropDuplicates(["digest"])
-    told = back.select("digest", "page_id", "record_type", "refers_to", "declared").join(held, "digest")
+    # Of records with one digest the responses hold size and digest of the payload.
+    told = lookup_by_group(back.select("digest", "page_id", "record_type", "refers_to", "declared", F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("found")), ["digest"], {"payload_bytes": F.max("bytes"), "payload_digest": F.max("found")}, scratch)
     same = F.when(F.col("declared") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("record and payload digests differ")))
     return told.select("page_id", "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to")

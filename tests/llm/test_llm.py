@@ -557,9 +557,10 @@ def test_warc(spark):
     for page, kind, text, refers in ((1, "revisit", "<p>é</p>", 2), (2, "response", "<p>é</p>", None), (3, "revisit", "", 4), (4, "response", "", None), (5, "response", "z", None), (5, "revisit", "z", 5), (None, "revisit", "z", 5), (7, "response", rows[7][2], None)):
         r = got[(page, kind)]
         assert (r.payload_bytes, r.payload_digest, r.refers_to) == (len(text.encode()), sha(text), refers)
-    records, payloads = warc.write_archive(pages, warc.Scratch(spark, "t"))
+    scratch = warc.Scratch(spark, "t")
+    records, payloads = warc.write_archive(pages, scratch)
     assert payloads.count() == 4
-    full = sorted(bytes(r.payload) for r in warc.original_payloads(records, payloads).collect())
+    full = sorted(bytes(r.payload) for r in warc.original_payloads(records, payloads, scratch).collect())
     assert full == sorted((r[2] or "").encode() for r in rows)
     bad = payloads.withColumn("payload", F.encode(F.lit("forged"), "UTF-8"))
     with pytest.raises(Exception, match="does not match"):
