@@ -2,9 +2,9 @@
 
 Everything is a DataFrame expression. Statistics come from each whole text. Their transformed vectors are
 rounded to integers, so sums are exact and do not depend on the order of rows. For every (lang, source)
-group the estimate starts from ``STARTS`` first fits. From each, concentration steps refit mean and covariance on the ``SHARE`` of
-rows nearest by Mahalanobis distance until that is stable, at most ``STEPS`` times (rows of one cell can make a group alternate
-between two near-equal fits); the fit whose covariance has the least determinant is the group's. The squares of ``FLOOR`` are added to
+group the estimate starts from ``STARTS`` first fits. A concentration step refits mean and covariance on the ``SHARE`` of
+rows nearest by Mahalanobis distance. Each start takes ``TRIAL`` steps; the fit whose covariance then has the least determinant
+goes on until it is stable, at most ``STEPS`` times (rows of one cell can make a group alternate between two near-equal fits). The squares of ``FLOOR`` are added to
 the diagonal of every covariance, which so stays regular where a statistic is constant in half a group. The step's quantile
 comes from a histogram of distances, so no group is ever sorted or gathered. Distances are scaled so that their median is that of a
 chi-squared variable, and rows beyond its quantile ``CUTOFF`` are rejected.
@@ -29,8 +29,8 @@ from palimpsest.llm.common import Scratch
 
 #: Fixed limits.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-#: The share of rows that an estimate rests on, its first fits, and the most concentration steps.
-SHARE, STARTS, STEPS = 0.5, 3, 20
+#: The share of rows that an estimate rests on, its first fits, concentration steps of each, and the most steps of the best of them.
+SHARE, STARTS, TRIAL, STEPS = 0.5, 3, 2, 20
 #: Integer units of a statistic, and the least standard deviation of each, in the statistic's own unit.
 UNIT = 1000
 FLOOR = {"size": 0.5, "length": 0.08, "symbols": 0.15, "lines": 0.4, "repeats": 0.4}
@@ -210,32 +210,43 @@ def _distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
     return out.select(*rows.columns, "d2", "cell")
 
 
+_NUMBERS = [f"m_{i}" for i in range(len(_NAMES))] + [f"l_{i}_{j}" for i in range(len(_NAMES)) for j in range(i + 1)]
+
+
+def _step(rows: DataFrame, fit: DataFrame, scratch: Scratch) -> DataFrame:
+    """A concentration step of every fit: gl, gs, its numbers, and whether they ``moved``. Sums are exact, so the same rows give the same numbers."""
+    near = _distances(rows, fit).filter("d2 is not null")
+    limit = scratch.cut(_quantile(near.groupBy("gl", "gs", "cell").agg(F.count("*").alias("c")), ["gl", "gs"], "cell", {"upto": SHARE}))
+    edge = limit.select(F.col("gl").alias("__gl"), F.col("gs").alias("__gs"), "upto")
+    kept = near.join(edge, (F.col("gl") == F.col("__gl")) & (F.col("gs") == F.col("__gs")) & (F.col("cell") <= F.col("upto")))
+    old = fit.select("gl", "gs", F.struct(*_NUMBERS).alias("__old"))
+    new = scratch.cut(_fitted(kept).join(old, ["gl", "gs"]).select("gl", "gs", *_NUMBERS, (F.struct(*_NUMBERS) != F.col("__old")).alias("moved")))
+    scratch.drop(limit)
+    return new
+
+
 def _estimate(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The estimate of every group: from each start concentration steps until they are stable, of these fits that of the least determinant,
+    """The estimate of every group: ``TRIAL`` steps from each start, further steps of the fit of least determinant until it is stable,
     and the factor that makes its median distance consistent."""
-    once, numbers = rows, [f"m_{i}" for i in range(len(_NAMES))] + [f"l_{i}_{j}" for i in range(len(_NAMES)) for j in range(i + 1)]
-    fit, done = scratch.cut(_starts(rows, scratch).select("gl", "gs", *numbers)), []
-    rows = rows.withColumn("gs", F.explode(F.array(*[F.concat("gs", F.lit(f"#{i}")) for i in range(STARTS)])))
+    fit = scratch.cut(_starts(rows, scratch).select("gl", "gs", *_NUMBERS))
+    marked = rows.withColumn("gs", F.explode(F.array(*[F.concat("gs", F.lit(f"#{i}")) for i in range(STARTS)])))
+    for _ in range(TRIAL):
+        fit, old = _step(marked, fit, scratch), fit
+        scratch.drop(old)
+    named = fit.select("gl", F.substring_index("gs", "#", -1).alias("start"), F.expr("substring(gs, 1, length(gs) - 2)").alias("gs"), *_NUMBERS)
+    size = reduce(lambda a, b: a + b, [F.log(f"l_{i}_{i}") for i in range(len(_NAMES))])
+    fit = scratch.cut(named.groupBy("gl", "gs").agg(F.min_by(F.struct(*_NUMBERS), F.struct(F.round(size, 9), "start")).alias("b")).select("gl", "gs", "b.*"))
+    done = []
     for _ in range(STEPS):
-        near = _distances(rows, fit).filter("d2 is not null")
-        limit = scratch.cut(_quantile(near.groupBy("gl", "gs", "cell").agg(F.count("*").alias("c")), ["gl", "gs"], "cell", {"upto": SHARE}))
-        edge = limit.select(F.col("gl").alias("__gl"), F.col("gs").alias("__gs"), "upto")
-        kept = near.join(edge, (F.col("gl") == F.col("__gl")) & (F.col("gs") == F.col("__gs")) & (F.col("cell") <= F.col("upto")))
-        # Sums are exact, so the same rows give the same numbers, and a group whose numbers stay takes no further step.
-        old = fit.select("gl", "gs", F.struct(*numbers).alias("__old"))
-        new = _fitted(kept).join(old, ["gl", "gs"]).select("gl", "gs", *numbers, (F.struct(*numbers) != F.col("__old")).alias("moved"))
-        new = scratch.cut(new)
+        new = _step(rows, fit, scratch)
         done.append(new)
+        # A group whose numbers stay takes no further step.
         fit = new.filter("moved").drop("moved")
         if not fit.limit(1).count():
             break
     ended = [t.filter("not moved") for t in done[:-1]] + done[-1:]
-    ended = reduce(DataFrame.union, ended).select("gl", F.substring_index("gs", "#", -1).alias("start"), F.expr("substring(gs, 1, length(gs) - 2)").alias("gs"), *numbers)
-    spread = reduce(lambda a, b: a + b, [F.log(f"l_{i}_{i}") for i in range(len(_NAMES))])
-    best = ended.groupBy("gl", "gs").agg(F.min_by(F.struct(*numbers), F.struct(F.round(spread, 9), "start")).alias("b"))
-    fit = scratch.cut(best.select("gl", "gs", "b.*"))
+    fit = scratch.cut(reduce(DataFrame.union, ended).select("gl", "gs", *_NUMBERS))
     scratch.drop(*done)
-    rows = once
     hist = _distances(rows, fit).groupBy("gl", "gs", "cell").agg(F.count("*").alias("c"))
     mid = _quantile(hist, ["gl", "gs"], "cell", {"mid": 0.5})
     factor = mid.select("gl", "gs", F.greatest(F.lit(1.0), (F.exp((F.col("mid") + 1) / CELLS) - 1) / CHI2_MEDIAN).alias("factor"))

@@ -353,18 +353,24 @@ def brute_mcd(x):
     signs = np.rint(u[:, :, None] * u[:, None, :] * 1e6).sum(0)
     corr = 0.9 * signs / np.sqrt(np.maximum(np.outer(np.diag(signs), np.diag(signs)), 1))
     np.fill_diagonal(corr, 1)
+
+    def step(mean, low):
+        d2 = (np.linalg.solve(low, (x - mean).T) ** 2).sum(0)
+        cell = np.minimum(np.floor(np.log(1 + d2) * quality.CELLS), quality.LAST_CELL)
+        near = x[cell <= np.sort(cell)[int(np.ceil(len(x) * quality.SHARE)) - 1]]
+        return near.mean(0), np.linalg.cholesky(np.cov(near.T, bias=True) + np.diag(floor**2))
+
     found = []
     for low in (np.diag(wide), np.diag(floor), np.linalg.cholesky(corr * np.outer(wide, wide))):
         mean = q(0.5).astype(float)
-        for _ in range(quality.STEPS):
-            d2 = (np.linalg.solve(low, (x - mean).T) ** 2).sum(0)
-            cell = np.minimum(np.floor(np.log(1 + d2) * quality.CELLS), quality.LAST_CELL)
-            near = x[cell <= np.sort(cell)[int(np.ceil(len(x) * quality.SHARE)) - 1]]
-            old, mean, low = mean, near.mean(0), np.linalg.cholesky(np.cov(near.T, bias=True) + np.diag(floor**2))
-            if np.array_equal(old, mean):
-                break
+        for _ in range(quality.TRIAL):
+            mean, low = step(mean, low)
         found.append((round(np.log(np.diag(low)).sum(), 9), len(found), mean, low))
     _, _, mean, low = min(found, key=lambda f: f[:2])
+    for _ in range(quality.STEPS):
+        old, (mean, low) = mean, step(mean, low)
+        if np.array_equal(old, mean):
+            break
     cell = np.floor(np.log(1 + (np.linalg.solve(low, (x - mean).T) ** 2).sum(0)) * quality.CELLS)
     mid = np.sort(np.minimum(cell, quality.LAST_CELL))[int(np.ceil(len(x) * 0.5)) - 1]
     return mean, low, max(1.0, (np.exp((mid + 1) / quality.CELLS) - 1) / quality.CHI2_MEDIAN)
