@@ -323,7 +323,8 @@ def base_statistics(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
-def test_quality(spark, docs, empty):
+def test_quality(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 3)  # for time; test_quality_verdicts_against_numpy takes all
     extra = [(9100000 + i, t, "en", "s1", 1, "x") for i, t in enumerate(["a b c a b c", "x\nx\n\n x\nx", "a a a a a", "é|🙂 <b> é|🙂 <b> z", "p q r p q r p q s"])]
     all_docs = docs.union(spark.createDataFrame(extra, DOCS).select(docs.columns))
     got = quality.judge(all_docs).collect()
@@ -425,8 +426,9 @@ def test_quality_verdicts_against_numpy(spark):
     assert {k[0] for k in fits} == {0, 1, 2} and 10 < sum(not r.kept and not r.base_failed for r in got) < 60
 
 
-def test_quality_judges_small_groups(spark):
+def test_quality_judges_small_groups(spark, monkeypatch):
     """A small source is judged by its whole language, a small language by the whole corpus; a tiny corpus isn't judged."""
+    monkeypatch.setattr(quality, "STEPS", 3)
     rng = random.Random(6)
     text = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(rng.randrange(60, 200)))
     junk = lambda: " ".join(f"#$%{rng.randrange(10**5)}*&|" for _ in range(100))
