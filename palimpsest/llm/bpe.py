@@ -16,10 +16,12 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ MEMO_PIECES, MEMO_PIECE_BYTES = 300_000, 64
 #: Children of a node of the segment tree.
 FAN = 8
 
+#: Longest piece that ``library_merge`` leaves to the library, whose time grows with the square of a piece's length.
+LIBRARY_PIECE_BYTES = 256
+
 _NONE = 1 << 62
 
 
@@ -88,10 +93,16 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def library_merge(ranks: dict[bytes, int]) -> Callable[[bytes, dict[bytes, int]], list[int]]:
+    """The ids of one piece by the tiktoken library, of a long one by ``merge_piece``: the same ids in less time."""
+    short = tiktoken.Encoding("ranks", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return lambda piece, ranks: short(piece) if len(piece) <= LIBRARY_PIECE_BYTES else merge_piece(piece, ranks)
+
+
 class Encoder:
     """Encodes and decodes by a rank table and a pattern that covers every text."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, merge: Callable[[bytes, dict[bytes, int]], list[int]] = merge_piece):
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -99,7 +110,7 @@ class Encoder:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.find = regex.compile(pattern).finditer
         self.find_all = regex.compile(pattern).findall
-        self.memo = _Memo(self.ranks)
+        self.memo = _Memo(self.ranks, merge)
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -120,16 +131,16 @@ class Encoder:
 class _Memo(dict):
     """Piece to packed ids in two generations: when the young one is full it becomes the old one, from which pieces return when met."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], merge: Callable[[bytes, dict[bytes, int]], list[int]]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.merge = ranks, merge
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             raw = piece.encode()
-            ids = array("I", merge_piece(raw, self.ranks)).tobytes()
+            ids = array("I", self.merge(raw, self.ranks)).tobytes()
             if len(raw) > MEMO_PIECE_BYTES:
                 return ids
         if len(self) >= MEMO_PIECES // 2:
@@ -139,15 +150,16 @@ class _Memo(dict):
         return ids
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, bool], Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    """This worker's encoder for a rank file; the file is installed on every machine, never shipped."""
-    key = (path, pattern)
+def encoder(path: str, pattern: str, library: bool = False) -> Encoder:
+    """This worker's encoder for a rank file; the file is installed on every machine, never shipped. ``library``: pieces by ``library_merge``."""
+    key = (path, pattern, library)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(load_ranks(path), pattern)
+        ranks = load_ranks(path)
+        _encoders[key] = Encoder(ranks, pattern, library_merge(ranks) if library else merge_piece)
     return _encoders[key]
 
 

@@ -597,6 +597,32 @@ def test_chat(spark):
     assert chat.digests(chat.format_conversations(df.limit(0), PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("held", [100, 20_000, 4 << 20])
+def test_conversations_over_many_tasks(spark, monkeypatch, held):
+    """One conversation holds most turns and lies in several tasks, turns are missing or equal; whatever a task holds, the digests are those of the whole."""
+    monkeypatch.setattr(chat, "HELD_BYTES", held)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(17)
+        rows = [(7, t // 3, rng.choice(("user", "assistant")), f"{t} " + "é [INST] " * rng.randrange(40)) for t in range(3000)]
+        rows += [(c, t, rng.choice(("user", "assistant")), f"{c} \\ {t}") for c in range(-20, 60) if c != 7 for t in range(rng.randrange(1, 5))]
+        rows += [(7, None, "assistant", "first"), (None, 1, "assistant", "nobody's"), (None, None, "user", None)]
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        formatted = chat.format_conversations(df, PATH, public_tokenizers.PATTERN)
+        assert formatted.filter("conv_id = 7").select(F.spark_partition_id()).distinct().count() > 1
+        found = chat.digests(formatted, PATH, public_tokenizers.PATTERN).collect()
+        assert len(found) == len({x[0] for x in rows})
+        for r in found:
+            own = sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: (x[1] is not None, x[1] or 0, x[2], x[3] or ""))
+            loss = "".join(x[3] or "" for x in own if x[2] == "assistant")
+            turns = "".join(f"{x[2]}\n{x[3] or ''}\n" for x in own)
+            assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+            assert r.formatted_chars == len(chat.render([(x[2], x[3] or "") for x in own])[0])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_topk(spark, monkeypatch):
     """Ties, repeated and odd rows, other columns, and blocks of queries and codes: as by brute force."""
     monkeypatch.setattr(topk, "INDEX_BLOCK", 64)
@@ -624,11 +650,16 @@ def test_loss_mask_token_by_token():
     rng = random.Random(9)
     ranks = bpe.load_ranks(PATH)
     own = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    library = bpe.Encoder(ranks, public_tokenizers.PATTERN, bpe.library_merge(ranks))
+    edge = "".join(rng.choice("abcdefgh") for _ in range(1 << 17))
+    for n in (bpe.LIBRARY_PIECE_BYTES - 1, bpe.LIBRARY_PIECE_BYTES, bpe.LIBRARY_PIECE_BYTES + 1, len(edge)):
+        assert library.encode(edge[:n]) == own.encode(edge[:n])
     bits = ["a", " word", "\n", "  ", "é", "🙂", "<", "[INST]", "'s", "1", "", "\r\n", "|>", "\t", "…"]
     for _ in range(60):
         turns = [(rng.choice(("user", "assistant", "", "as\nsistant")), "".join(rng.choice(bits) for _ in range(rng.randrange(12)))) for _ in range(rng.randrange(1, 9))]
         text, spans = chat.render(turns)
         ids, offsets = own.encode_with_offsets(text)
+        assert library.encode(text) == ids.tolist()
         tokens, starts, ends = chat.loss_mask(offsets, spans)
         want = [(t, max(int(offsets[t]), s), min(int(offsets[t + 1]), e)) for s, e in spans for t in range(len(ids)) if max(offsets[t], s) < min(offsets[t + 1], e)]
         assert list(zip(tokens.tolist(), starts.tolist(), ends.tolist())) == want
