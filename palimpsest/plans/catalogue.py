@@ -690,6 +690,28 @@ def store_gc_pass(s, p):
     return _filled(s, p).collect_garbage(retain_recent=0)
 
 
+@_query("SELECT violation, count(*) AS n FROM (SELECT CASE WHEN user_id % 2 = 0 THEN 'other history' ELSE 'sequence beyond' END AS violation FROM events) GROUP BY 1")
+def store_verification(s, p):
+    """The rows that do not belong into a store whose files got other rows beside its own."""
+    db, ev = _filled(s, p), d.events(s, p)
+    even = F.col("user_id") % 2 == 0
+    alien = ev.select(
+        F.when(even, "elsewhere").otherwise("main").alias("history"), F.when(even, 1).otherwise(F.lit(100) + F.col("event_id")).cast("long").alias("commit_seq"),
+        F.concat(F.lit("alien "), F.col("event_id").cast("string")).cast("binary").alias("k"), F.lit(False).alias("is_delete"), F.lit("x").cast("binary").alias("v"), F.lit("t").alias("txn"),
+    )
+    alien.write.mode("append").parquet(f"{db.files.root}/{db._directories('main', None)[0]}")
+    return db.verify().groupBy("violation").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_PARTS} SELECT k, v FROM {_top('parts', 'k IN (SELECT unnest([arg_min(user_id, event_id), arg_max(user_id, event_id)]) FROM events)', 'r DESC, event_id DESC')} WHERE NOT is_delete")
+def store_point_read(s, p):
+    """The values of two keys, those of the first and the last event; directories and row groups without them are skipped."""
+    db = _filled(s, p)
+    keys = d.events(s, p).agg(F.min_by("user_id", "event_id"), F.max_by("user_id", "event_id")).first()
+    found = db.current().get([str(k).encode() for k in keys])
+    return s.createDataFrame([(int(k), float(v)) for k, v in found.items()], "k long, v double")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _made.items()}
 

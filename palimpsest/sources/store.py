@@ -1,14 +1,17 @@
 """A persistent store of versions: Parquet data, and a manifest per commit that alone makes it visible.
 
+    meta.json                                  the format, written with the store
     versions/<history>/<pin>-<n>/*.parquet     written first, invisible
     commits/<history>/<sequence>.json          the durable decision; made by one writer only
     checkpoints/<history>/<generation>.json    the newest one stands for all commits up to its sequence
     floors/<history>/<floor>.json              announced before a collector looks for pins
     catalog/<event>.json                       branches and snapshots
+    catalogs/<event>.json                      the newest one stands for all events up to its own
     pins/<token>.<n>.json                      what an observer or a writer, of any process, holds, until its lease ends
 
 Data stay distributed: a commit, a state and a collection are DataFrame jobs, and reads name only the directories that their
-boundary needs. The driver holds manifests and the catalog: a few fields for each commit since the last checkpoint.
+boundary needs. The driver holds manifests and the catalog: a few fields for each commit since the last checkpoint. A manifest tells how
+many rows its directory has and their least and greatest key, so reads of few keys, and the test for conflicts, skip other directories.
 
 An observer writes its pin, then reads floors and manifests, and from then on reads exactly the directories that they name. A collector
 announces its floor, then reads pins: so either it sees the pin, or the observer sees the floor and is refused. Versions of pinned
@@ -20,6 +23,7 @@ from __future__ import annotations
 import math
 import time
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -37,6 +41,8 @@ MAIN = "main"
 _VERSION = ["history", "commit_seq", "k", "is_delete", "v", "txn"]
 VERSIONS = "history string, commit_seq long, k binary, is_delete boolean, v binary, txn string"
 WRITES = "k binary, is_delete boolean, v binary, mutation_index long"
+#: Fixed value: the format that this code reads and writes.
+FORMAT = 1
 #: Bytes that compaction and collection aim at in a file.
 FILE_BYTES = 128 << 20
 #: Milliseconds for which a pin holds unless it is renewed.
@@ -89,6 +95,12 @@ class Catalog:
     snapshots: dict[str, dict] = field(default_factory=dict)
     dropped: set[str] = field(default_factory=set)
 
+    def state(self, dropped: list[str]) -> dict:
+        return {"events": self.events, "branches": self.branches, "snapshots": self.snapshots, "dropped": dropped}
+
+    def load(self, state: dict) -> None:
+        self.events, self.branches, self.snapshots, self.dropped = state["events"], state["branches"], state["snapshots"], set(state["dropped"])
+
     def apply(self, event: dict) -> None:
         self.events += 1
         kind, key = event["event"], event["id"]
@@ -118,6 +130,10 @@ class Store:
         self._commits: dict[str, dict[int, dict]] = {}
         self._checkpoints: dict[str, tuple[int, dict]] = {}
         phase = self.telemetry.add("RecoveryStarted")
+        self._check_format()
+        states = self.files.names("catalogs")
+        if states:
+            self.catalog.load(self.files.read(f"catalogs/{states[-1]}"))
         self._refresh_catalog()
         phase = self.telemetry.add("CatalogRead", phase)
         for history in self.catalog.tree():
@@ -136,12 +152,36 @@ class Store:
 
     # State of histories
 
+    def _check_format(self) -> None:
+        if not self.files.exists("meta.json"):
+            if self.files.names("versions"):
+                raise CorruptError("meta.json is missing")
+            self.files.publish("meta.json", {"format": FORMAT, "id": uuid.uuid4().hex, "created_ms": _now()})
+        self.meta = self.files.read("meta.json")
+        if self.meta.get("format") != FORMAT:
+            raise StoreError(f"format {self.meta.get('format')} is not {FORMAT}")
+
     def _refresh_catalog(self) -> Catalog:
-        for name in self.files.names("catalog")[self.catalog.events :]:
-            if int(name[:-5]) != self.catalog.events + 1:
-                raise CorruptError(f"catalog event {self.catalog.events + 1} is missing")
-            self.catalog.apply(self.files.read(f"catalog/{name}"))
-        return self.catalog
+        while True:
+            for name in self.files.names("catalog"):
+                if int(name[:-5]) <= self.catalog.events:
+                    continue
+                event = self.files.read_or_none(f"catalog/{name}") if int(name[:-5]) == self.catalog.events + 1 else None
+                if event is None:
+                    # Events went into a state that another process made; ``vacuum`` always leaves its last one, which leads here.
+                    self._load_state()
+                    break
+                self.catalog.apply(event)
+            else:
+                return self.catalog
+
+    def _load_state(self) -> None:
+        states = self.files.names("catalogs")
+        state = self.files.read_or_none(f"catalogs/{states[-1]}") if states and int(states[-1][:-5]) > self.catalog.events else None
+        if state is None and (not states or int(states[-1][:-5]) <= self.catalog.events):
+            raise CorruptError(f"catalog event {self.catalog.events + 1} is missing")
+        if state is not None:
+            self.catalog.load(state)
 
     def _refresh(self, history: str) -> int:
         """The history's current sequence, after manifests that other writers made have been read."""
@@ -175,17 +215,23 @@ class Store:
                 found.append(body | {"token": name.split(".")[0]})
         return found
 
-    def _directories(self, history: str, boundary: int | None, after: int = 0) -> list[str]:
+    def _entries(self, history: str, boundary: int | None, after: int = 0) -> list[dict]:
+        """Checkpoint and manifests whose directories hold the versions with ``after`` < sequence <= ``boundary``."""
         checkpoint = self._checkpoints[history][1]
-        old = [checkpoint["directory"]] if checkpoint["directory"] and after < checkpoint["sequence"] else []
-        return old + [m["directory"] for s, m in sorted(self._commits[history].items()) if s > after and (boundary is None or s <= boundary) and m["directory"]]
+        old = [checkpoint] if checkpoint["directory"] and after < checkpoint["sequence"] else []
+        return old + [m for s, m in sorted(self._commits[history].items()) if s > after and (boundary is None or s <= boundary) and m["directory"]]
 
-    def log(self, history: str, boundary: int | None = None, after: int = 0) -> DataFrame:
-        """The versions of one history with ``after`` < sequence <= ``boundary``."""
-        places = [f"{self.files.root}/{d}" for d in self._directories(history, boundary, after)]
-        if not places:
+    def _directories(self, history: str, boundary: int | None, after: int = 0) -> list[str]:
+        return [e["directory"] for e in self._entries(history, boundary, after)]
+
+    def _read(self, directories: list[str]) -> DataFrame:
+        if not directories:
             return self.spark.createDataFrame([], VERSIONS)
-        rows = self.spark.read.schema(VERSIONS).parquet(*places)
+        return self.spark.read.schema(VERSIONS).parquet(*[f"{self.files.root}/{d}" for d in directories])
+
+    def log(self, history: str, boundary: int | None = None, after: int = 0, within: tuple[bytes, bytes] | None = None) -> DataFrame:
+        """The versions of one history with ``after`` < sequence <= ``boundary``; directories without a key ``within`` a least and a greatest are left out."""
+        rows = self._read([e["directory"] for e in self._entries(history, boundary, after) if within is None or _overlaps(e, *within)])
         rows = rows.filter(F.col("commit_seq") > after) if after else rows
         return rows if boundary is None else rows.filter(F.col("commit_seq") <= boundary)
 
@@ -257,7 +303,13 @@ class Store:
     def _append(self, make) -> dict:
         while True:
             event = make(self._refresh_catalog())
-            if self.files.publish(f"catalog/{self.catalog.events + 1:020d}.json", event):
+            name = f"catalog/{self.catalog.events + 1:020d}.json"
+            if self.files.publish(name, event):
+                states = self.files.names("catalogs")
+                if states and states[-1] >= name.rpartition("/")[2]:
+                    # Meanwhile events up to this number went into a state and were deleted: nobody reads this one.
+                    self.files.delete(name)
+                    continue
                 self._refresh_catalog()
                 return event
 
@@ -341,7 +393,7 @@ class Store:
         for _, m in sorted(self._commits[history].items()):
             batches.update([m["batch"]] if m["batch"] else [])
         directory = f"versions/{history}/{pin.token}-{generation + 1}"
-        print_ = [F.count("*").alias("n"), F.sum(F.xxhash64(*_VERSION).cast("decimal(38,0)")).alias("h")]
+        print_ = [F.count("*").alias("n"), F.sum(F.xxhash64(*_VERSION).cast("decimal(38,0)")).alias("h"), F.min("k").alias("least"), F.max("k").alias("greatest")]
         meant = Observation()
         dealt = rows.repartitionByRange(max(1, math.ceil(held / FILE_BYTES)), "k", "commit_seq").sortWithinPartitions("k", "commit_seq")
         dealt.observe(meant, *print_).write.mode("overwrite").parquet(f"{self.files.root}/{directory}")
@@ -349,7 +401,7 @@ class Store:
         self.fault("rewritten")
         if not _same(meant.get, found):
             raise CorruptError(f"{directory} differs from what was to be written")
-        if not self.files.publish(f"checkpoints/{history}/{generation + 1:020d}.json", {"sequence": sequence, "floor": floor, "directory": directory, "batches": batches}):
+        if not self.files.publish(f"checkpoints/{history}/{generation + 1:020d}.json", {"sequence": sequence, "floor": floor, "directory": directory, "batches": batches, **_range(found.asDict())}):
             raise ConflictError(f"another process rewrote {history}")
         self.fault("checkpoint published")
         self._refresh(history)
@@ -406,6 +458,28 @@ class Store:
                 self.telemetry.add("Compacted", resource=history)
         return self.spark.createDataFrame(out, "history string, directories_before long, bytes_before long, bytes_after long, bytes_rewritten long")
 
+    def compact_catalog(self) -> int:
+        """The number of events that a new state of the catalog stands for; ``vacuum`` deletes them. Ids that were dropped and left nothing are forgotten."""
+        catalog = self._refresh_catalog()
+        left = [h for h in sorted(catalog.dropped) if any(self.files.exists(f"{kind}/{h}") for kind in _KINDS)]
+        if catalog.events:
+            self.files.publish(f"catalogs/{catalog.events:020d}.json", catalog.state(left))
+            self.fault("catalog state published")
+        return catalog.events
+
+    def verify(self) -> DataFrame:
+        """history (the folder), commit_seq, k, violation of current rows that no commit may have left: of another history, beyond the sequences, beyond the limits, repeated."""
+        tree = self._refresh_catalog().tree()
+        ends = self.spark.createDataFrame([(h, self._refresh(h)) for h in tree], "folder string, current long")
+        rows = self._read([d for h in tree for d in self._directories(h, None)])
+        place = F.regexp_extract(F.input_file_name(), "versions/([^/]*)/", 1)
+        rows = rows.withColumn("folder", place).join(F.broadcast(ends), "folder", "left")
+        kind = F.when(~F.col("history").eqNullSafe(F.col("folder")), "other history")
+        kind = kind.when(F.col("commit_seq").isNull() | (F.col("commit_seq") < 1) | (F.col("commit_seq") > F.col("current")), "sequence beyond").when(beyond(), "beyond the limits")
+        wrong = rows.withColumn("violation", kind).filter("violation is not null").select(F.col("folder").alias("history"), "commit_seq", "k", "violation")
+        repeated = rows.groupBy(F.col("folder").alias("history"), "commit_seq", "k").agg(F.count("*").alias("n")).filter("n > 1")
+        return wrong.union(repeated.select("history", "commit_seq", "k", F.lit("repeated")))
+
     def vacuum(self) -> tuple[int, int]:
         """(deleted, pending) files and directories that no manifest names any more or that a dead writer left. Pending is what a living pin may read."""
         places = {h: self.files.names(f"versions/{h}") for h in self.files.names("versions")}
@@ -413,7 +487,7 @@ class Store:
         tokens = {p["token"] for p in live}
         gone, pending = [], 0
         for h in self._refresh_catalog().dropped:
-            whole = [f"{kind}/{h}" for kind in ("commits", "checkpoints", "versions", "floors") if self.files.exists(f"{kind}/{h}")]
+            whole = [f"{kind}/{h}" for kind in _KINDS if self.files.exists(f"{kind}/{h}")]
             # A dropped branch has no observers, and writers of it find it dropped before they publish.
             gone += whole
         for history in self.catalog.tree():
@@ -438,6 +512,8 @@ class Store:
                     gone.append(f"checkpoints/{history}/{g:020d}.json")
             gone += [f"floors/{history}/{name}" for name in self.files.names(f"floors/{history}")[:-1]]
             gone += [d for name in places.get(history, []) for d in [f"versions/{history}/{name}"] if d not in named and name[:32] not in tokens]
+        states = self.files.names("catalogs")
+        gone += [f"catalogs/{name}" for name in states[:-1]] + [f"catalog/{name}" for name in self.files.names("catalog") if states and name < states[-1]]
         gone += [f"pins/{name}" for name in self.files.names("pins") if (body := self.files.read_or_none(f"pins/{name}")) and body["expires_ms"] <= _now()]
         for name in gone:
             self.files.delete(name)
@@ -461,8 +537,7 @@ class Store:
         for history in tree:
             self._refresh(history)
         live = self._live_pins()
-        places = [f"{self.files.root}/{d}" for h in tree for d in self._directories(h, None)]
-        log = self.spark.read.schema(VERSIONS).parquet(*places) if places else self.spark.createDataFrame([], VERSIONS)
+        log = self._read([d for h in tree for d in self._directories(h, None)])
         sequences = [s["sequence"] for s in self.catalog.snapshots.values()]
         t, count = self.telemetry, lambda kind: F.lit(self.telemetry.counts[kind]).cast("long")
         long = lambda n: F.lit(n).cast("long")
@@ -494,8 +569,7 @@ class Store:
             rows.append(("Branch" if b else "Main", h.name, b["name"] if b else MAIN, h.parent, h.base if b else None, h.depth))
         rows += [("Snapshot", s["id"], s["name"], s["history"], s["sequence"], tree[s["history"]].depth) for s in self.catalog.snapshots.values()]
         rows += [("BranchBase", b["id"], b["name"], b["parent"], b["base"], b["depth"]) for b in self.catalog.branches.values()]
-        places = [f"{self.files.root}/{d}" for h in tree for d in self._directories(h, None)]
-        log = self.spark.read.schema(VERSIONS).parquet(*places) if places else self.spark.createDataFrame([], VERSIONS)
+        log = self._read([d for h in tree for d in self._directories(h, None)])
         held = log.groupBy(F.col("history").alias("id")).agg(F.count("*").alias("versions"))
         found = self.spark.createDataFrame(rows, "kind string, id string, name string, parent string, boundary long, depth int").join(held, "id", "left")
         versions = F.when(F.col("kind").isin("Main", "Branch"), F.coalesce("versions", F.lit(0))).cast("long")
@@ -576,7 +650,7 @@ class Observer:
             self.tree, self.places = store.catalog.tree(), []
             for name, bound, _ in chain(asked):
                 store._refresh(name)
-                self.places += store._directories(name, bound)
+                self.places += store._entries(name, bound)
         except Exception:
             self.pin.release()
             raise
@@ -597,11 +671,8 @@ class Observer:
 
     def _resolved(self, keys: list[bytes] | None = None) -> DataFrame:
         self.pin.check()
-        if self.places:
-            # Beyond its boundary a directory of an ancestor holds versions that this observer does not reach: resolving leaves them out.
-            log = self.store.spark.read.schema(VERSIONS).parquet(*[f"{self.store.files.root}/{d}" for d in self.places])
-        else:
-            log = self.store.spark.createDataFrame([], VERSIONS)
+        # Beyond its boundary a directory of an ancestor holds versions that this observer does not reach: resolving leaves them out.
+        log = self.store._read([e["directory"] for e in self.places if keys is None or _holds(e, sorted(keys))])
         log = log if keys is None else log.filter(F.col("k").isin([F.lit(bytearray(k)) for k in keys]))
         return resolve_history(log, self.tree, self.history, self.boundary)
 
@@ -691,28 +762,30 @@ class Transaction:
         began = time.monotonic()
         try:
             self.base.pin.check()
-            seq, staged = store._refresh(history) + 1, None
+            seq, staged, stats = store._refresh(history) + 1, None, {}
             if seq > MAXIMUM_SEQUENCE:
                 raise StoreError("sequences are exhausted")
             if self._rows or self._frames:
-                staged = self._stage(self.writes(), seq)
+                staged, stats = self._stage(self.writes(), seq)
                 store.fault("staged")
             while True:
-                if staged:
+                if staged and stats["rows"]:
                     mine = store.spark.read.schema(VERSIONS).parquet(f"{store.files.root}/{staged}").select("k")
-                    if seq > start + 1 and not mine.join(store.log(history, seq - 1, start), "k", "left_semi").isEmpty():
+                    within = bytes.fromhex(stats["least"]), bytes.fromhex(stats["greatest"])
+                    newer = any(_overlaps(e, *within) for e in store._entries(history, seq - 1, start))
+                    if newer and not mine.join(store.log(history, seq - 1, start, within), "k", "left_semi").isEmpty():
                         raise ConflictError("a written key has a newer version")
                 if history not in store._refresh_catalog().tree():
                     raise NotFoundError("the branch was deleted")
                 self.state = "Committing"
                 store.fault("committing")
-                if store.files.publish(f"commits/{history}/{seq:020d}.json", {"txn": self.id, "start": start, "directory": staged, "batch": self.batch, "created_ms": _now()}):
+                if store.files.publish(f"commits/{history}/{seq:020d}.json", {"txn": self.id, "start": start, "directory": staged, "batch": self.batch, "created_ms": _now(), **stats}):
                     break
                 # Another writer took the sequence: only the conflict test and the staged sequence change.
                 lost, self.state, seq = staged, "Preparing", store._refresh(history) + 1
                 if lost:
                     rows = store.spark.read.schema(VERSIONS).parquet(f"{store.files.root}/{lost}")
-                    staged = self._stage(rows.select("k", "is_delete", "v"), seq)
+                    staged, stats = self._stage(rows.select("k", "is_delete", "v"), seq)
                     store.files.delete(lost)
             self.state = "DurableCommitted"
             store.fault("committed")
@@ -728,13 +801,40 @@ class Transaction:
         store._refresh(history)
         return seq
 
-    def _stage(self, rows: DataFrame, seq: int) -> str:
-        """Writes the rows, sorted by key so that readers of few keys skip row groups. A row beyond the limits fails the job."""
+    def _stage(self, rows: DataFrame, seq: int) -> tuple[str, dict]:
+        """Writes the rows, sorted by key so that readers of few keys skip row groups. A row beyond the limits fails the job. The directory, and its rows and range of keys."""
         place = f"versions/{self.base.history}/{self.base.token}-{seq}"
         key = F.when(beyond(), F.raise_error(F.lit(BEYOND)).cast("binary")).otherwise(F.col("k"))
         full = rows.select(F.lit(self.base.history).alias("history"), F.lit(seq).cast("long").alias("commit_seq"), key.alias("k"), "is_delete", "v", F.lit(self.id).alias("txn"))
-        full.sortWithinPartitions("k").write.parquet(f"{self.store.files.root}/{place}")
-        return place
+        seen = Observation()
+        sums = [F.count("*").alias("n"), F.min("k").alias("least"), F.max("k").alias("greatest")]
+        full.sortWithinPartitions("k").observe(seen, *sums).write.parquet(f"{self.store.files.root}/{place}")
+        return place, _range(seen.get)
+
+
+#: Folders with a subfolder for each history.
+_KINDS = ("commits", "checkpoints", "versions", "floors")
+
+
+def _range(found: dict) -> dict:
+    """The fields of a manifest that tell rows and keys of its directory."""
+    key = lambda k: None if k is None else bytes(k).hex()
+    return {"rows": found["n"], "least": key(found["least"]), "greatest": key(found["greatest"])}
+
+
+def _overlaps(entry: dict, least: bytes, greatest: bytes) -> bool:
+    """Whether the entry's directory may hold a key of the range; True where the entry doesn't tell. Bytes compare as unsigned, here as in Spark."""
+    if "rows" not in entry:
+        return True
+    return entry["rows"] > 0 and bytes.fromhex(entry["least"]) <= greatest and least <= bytes.fromhex(entry["greatest"])
+
+
+def _holds(entry: dict, keys: list[bytes]) -> bool:
+    """Whether the entry's directory may hold one of the ascending ``keys``."""
+    if "rows" not in entry or not entry["rows"]:
+        return "rows" not in entry
+    at = bisect_left(keys, bytes.fromhex(entry["least"]))
+    return at < len(keys) and keys[at] <= bytes.fromhex(entry["greatest"])
 
 
 def _same(a: dict, b) -> bool:

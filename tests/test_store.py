@@ -341,3 +341,125 @@ def test_transaction_states(spark, tmp_path):
     with db.begin() as left:
         left.put(b"b", b"x")
     assert left.state == "Aborted" and live(db.current()) == {b"a": b"commit"}
+
+
+def test_key_ranges_spare_directories(spark, tmp_path):
+    """Point reads and conflict tests read only directories that may hold the keys, and find all of them."""
+    rng, model = random.Random(5), {}
+    db = S.Store(spark, str(tmp_path))
+    for _ in range(6):
+        low = rng.randrange(200)
+        writes = [(bytes([low + rng.randrange(40)]) * rng.randrange(1, 3), rng.choice([None, b"x", b"y"])) for _ in range(5)]
+        commit(db, writes)
+        model.update(writes)
+    commit(db, [])
+    for _ in range(2):
+        seen = S.Store(spark, str(tmp_path)).current()
+        keys = [*model, b"", b"\xff\xff", b"none"]
+        assert seen.get(keys) == {k: v for k, v in model.items() if v is not None}
+        for key in rng.sample(sorted(model), 4):
+            assert seen.get([key]) == ({key: model[key]} if model[key] is not None else {})
+        seen.close()
+        db.collect_garbage(retain_recent=0)
+    db = S.Store(spark, str(tmp_path / "two"))
+    commit(db, [(b"a", b"1"), (b"c", b"1")])
+    commit(db, [(b"m", b"1"), (b"p", b"1")])
+    seen = db.current()
+    used = lambda keys: len(seen._resolved(keys).inputFiles())
+    assert (used([b"b"]), used([b"n", b"d"]), used([b"a", b"p"]), used([b"d"]), used([b"\xff"]), used(None)) == (1, 1, 2, 0, 0, 2)
+    late, clash = db.begin(), db.begin()
+    commit(db, [(b"x", b"1"), (b"z", b"1")])
+    late.put(b"n", b"2")
+    clash.delete(b"z")
+    assert late.commit() == 4
+    with pytest.raises(S.ConflictError):
+        clash.commit()
+
+
+def test_catalog_states(spark, tmp_path):
+    """A state stands for the events before it, for objects that saw them and for those that did not."""
+    db, stale = S.Store(spark, str(tmp_path)), S.Store(spark, str(tmp_path))
+    assert db.compact_catalog() == 0
+    commit(db, [(b"a", b"1")])
+    for name in ("one", "two", "three"):
+        db.create_branch(name)
+    db.create_snapshot("kept")
+    db.create_snapshot("gone")
+    commit(db, [(b"a", b"side")], "one")
+    commit(db, [(b"a", b"two")], "two")
+    assert len(stale.list_branches()) == 3
+    db.delete_branch("two")
+    db.delete_snapshot("gone")
+    want = db.list_branches(), db.list_snapshots()
+    assert db.compact_catalog() == 7
+    db.vacuum()
+    assert db.files.names("catalog") == [f"{7:020d}.json"]
+    for other in (db, stale, S.Store(spark, str(tmp_path))):
+        assert (other.list_branches(), other.list_snapshots()) == want
+        assert live(other.current("one")) == {b"a": b"side"} and live(other.snapshot("kept")) == {b"a": b"1"}
+    # An event under a number that a state stands for, from a process that died, is read by nobody.
+    db.files.publish(f"catalog/{1:020d}.json", {"event": "drop branch", "id": "x"})
+    again = S.Store(spark, str(tmp_path))
+    assert again.list_branches() == want[0]
+    stale.create_branch("two")
+    assert [b["name"] for b in again.list_branches()] == [b["name"] for b in db.list_branches()] == ["one", "three", "two"]
+    assert again.compact_catalog() == 8 and again.vacuum() and len(db.list_branches()) == 3
+    db.files.delete(f"catalogs/{8:020d}.json")
+    with pytest.raises(S.CorruptError):
+        S.Store(spark, str(tmp_path))
+
+
+def test_event_of_a_late_process(spark, tmp_path, monkeypatch):
+    """A number that was free when a process looked may stand for a deleted event when it writes: it takes another."""
+    db, late = S.Store(spark, str(tmp_path)), S.Store(spark, str(tmp_path))
+    publish, raced = late.files.publish, []
+
+    def race(name, body):
+        if name.startswith("catalog/") and not raced:
+            raced.append(name)
+            for n in ("one", "two", "three"):
+                db.create_branch(n)
+            db.compact_catalog()
+            db.vacuum()
+        return publish(name, body)
+
+    monkeypatch.setattr(late.files, "publish", race)
+    late.create_branch("late")
+    assert raced == [f"catalog/{1:020d}.json"]
+    for other in (db, late, S.Store(spark, str(tmp_path))):
+        assert [b["name"] for b in other.list_branches()] == ["late", "one", "three", "two"]
+
+
+def test_format_and_missing_checkpoints(spark, tmp_path):
+    db = S.Store(spark, str(tmp_path))
+    assert db.meta["format"] == S.FORMAT and S.Store(spark, str(tmp_path)).meta == db.meta
+    commit(db, [(b"a", b"1")])
+    db.collect_garbage(retain_recent=0)
+    commit(db, [(b"a", b"2"), (b"b", b"2")])
+    db.collect_garbage(retain_recent=0)
+    # Until vacuum, the checkpoint before the newest one and the commits after it say the same.
+    db.files.delete(f"checkpoints/{S.MAIN}/{2:020d}.json")
+    assert live(S.Store(spark, str(tmp_path)).current()) == {b"a": b"2", b"b": b"2"}
+    db.files.delete("meta.json")
+    with pytest.raises(S.CorruptError):
+        S.Store(spark, str(tmp_path))
+    db.files.publish("meta.json", {"format": S.FORMAT + 1})
+    with pytest.raises(S.StoreError):
+        S.Store(spark, str(tmp_path))
+
+
+def test_verification(spark, tmp_path):
+    db = S.Store(spark, str(tmp_path))
+    assert db.verify().count() == 0
+    commit(db, [(b"a", b"1"), (b"b", None)])
+    db.create_branch("side")
+    commit(db, [(b"a", b"2")], "side")
+    assert db.verify().count() == 0
+    long = b"k" * 1025
+    bad = [("main", 1, b"a", False, b"1", "t"), ("other", 1, b"c", False, b"1", "t"), ("main", 2, b"d", False, b"1", "t"), ("main", 1, long, False, b"1", "t"), ("main", 1, b"e", True, b"1", "t")]
+    rows = [(h, n, bytearray(k), gone, bytearray(v), t) for h, n, k, gone, v, t in bad]
+    spark.createDataFrame(rows, S.VERSIONS).write.mode("append").parquet(f"{db.files.root}/{db._directories(S.MAIN, None)[0]}")
+    found = {(r.history, r.commit_seq, bytes(r.k), r.violation) for r in db.verify().collect()}
+    assert found == {
+        ("main", 1, b"a", "repeated"), ("main", 1, b"c", "other history"), ("main", 2, b"d", "sequence beyond"), ("main", 1, long, "beyond the limits"), ("main", 1, b"e", "beyond the limits"),
+    }
