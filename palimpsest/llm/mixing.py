@@ -6,7 +6,7 @@ only what all siblings cannot use reaches the ancestors. (A child's supply is al
 ``max_epochs`` passes, so budgets filled from the root down do exactly that.) A leaf takes whole passes over its
 documents while its budget lasts, then a token prefix of one more pass, in that pass's seeded order.
 
-The order of a pass is a hash of seed, pass and doc_id. A histogram over hash cells finds the cell in which
+The order of a pass is a hash (60 bits of MD5) of seed, pass and doc_id. A histogram over hash cells finds the cell in which
 the budget ends; only that cell's documents are ordered. Document rows are never shuffled.
 
 Defined results: null or blank texts have no tokens and are taken while their place is in the prefix; a null
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Scratch
 
-#: Bits of the hash cells of a pass.
-CELL_BITS = 12
+#: Bits of a place in a pass, and of the hash cells among them.
+PLACE_BITS, CELL_BITS = 60, 12
 NULL = "\x00"
 
 
@@ -64,7 +64,8 @@ def budgets(leaves: DataFrame, depth: int, weights: dict[tuple[str, ...], float]
         children = children.withColumn("share", F.least("room", F.col("w") * F.max("rate").over(every)))
         level = children.select(*own, F.col("share").alias("give"))
         node = own
-    return leaves.join(level, names).select(*names, "supply", F.floor("give").cast("long").alias("budget"))
+    # Rounded first: a share that is whole but for the sums' last bits is that whole number.
+    return leaves.join(level, names).select(*names, "supply", F.floor(F.round("give", 6)).cast("long").alias("budget"))
 
 
 def plan(docs: DataFrame, levels: dict[str, Column], weights: dict, total_share: str, max_epochs: int, seed: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +79,7 @@ def plan(docs: DataFrame, levels: dict[str, Column], weights: dict, total_share:
     shares = shares.withColumn("passes", F.least(whole, F.lit(max_epochs)))
     shares = scratch.cut(shares.withColumn("rest", F.when(F.col("passes") < max_epochs, F.col("budget") - F.col("passes") * F.col("supply")).otherwise(F.lit(0).cast("long"))))
     placed = rows.join(shares.filter("rest > 0"), names).withColumn("h", place(seed, F.col("passes"), F.col("doc_id")))
-    placed = placed.withColumn("cell", F.shiftrightunsigned("h", 64 - CELL_BITS))
+    placed = placed.withColumn("cell", cell(F.col("h")))
     cells = placed.groupBy(*names, "cell", "rest").agg(F.sum("tokens").alias("t"))
     run = Window.partitionBy(*names).orderBy("cell")
     cells = cells.withColumn("upto", F.sum("t").over(run))
@@ -95,20 +96,25 @@ def plan(docs: DataFrame, levels: dict[str, Column], weights: dict, total_share:
 
 
 def place(seed: int, epoch: Column, doc_id: Column) -> Column:
-    return F.xxhash64(F.lit(seed), epoch.cast("int"), doc_id)
+    """``PLACE_BITS`` bits; a null doc_id has a place too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("int").cast("string"), doc_id.cast("string"))), 1, PLACE_BITS // 4), 16, 10).cast("long")
+
+
+def cell(h: Column) -> Column:
+    return F.shiftright(h, PLACE_BITS - CELL_BITS)
 
 
 def sortable(h: Column) -> Column:
-    """A hash within its cell, as a non-negative number in unsigned order."""
-    return h.bitwiseAND(F.lit((1 << (64 - CELL_BITS)) - 1))
+    """A place within its cell."""
+    return h.bitwiseAND(F.lit((1 << (PLACE_BITS - CELL_BITS)) - 1))
 
 
 def _taken(seed: int) -> Column:
     """Passes in which a row of a planned leaf is taken."""
     h = place(seed, F.col("passes"), F.col("__id"))
-    cell, u, key = F.shiftrightunsigned(h, 64 - CELL_BITS), sortable(h), F.coalesce(F.col("__id"), F.lit(-(1 << 63)))
-    inside = (cell == F.col("end_cell")) & ((u < F.col("last_u")) | ((u == F.col("last_u")) & (key <= F.col("last_id"))))
-    extra = F.col("end_cell").isNull() | (cell < F.col("end_cell")) | F.coalesce(inside, F.lit(False))
+    own, u, key = cell(h), sortable(h), F.coalesce(F.col("__id"), F.lit(-(1 << 63)))
+    inside = (own == F.col("end_cell")) & ((u < F.col("last_u")) | ((u == F.col("last_u")) & (key <= F.col("last_id"))))
+    extra = F.col("end_cell").isNull() | (own < F.col("end_cell")) | F.coalesce(inside, F.lit(False))
     return F.col("passes") + F.when((F.col("rest") > 0) & extra, 1).otherwise(0)
 
 

@@ -128,5 +128,35 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN least l ON l.id =
 """
 
 
+def _mixture(total_share: str, max_epochs: int, seed: int) -> str:
+    """SQL that fills the budgets level by level from the root, then takes whole passes and a prefix of each leaf."""
+    names = ["domain", "lang", "source"]
+    weight = "CASE " + " ".join(f"WHEN lang = '{lang}' THEN {w}" for (_, lang), w in WEIGHTS.items()) + " ELSE 1.0 END"
+    parts = [r"""d AS (
+  SELECT doc_id, coalesce(regexp_replace(source, '[0-9]+$', ''), chr(0)) AS domain, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents)""",
+        "leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS supply FROM d GROUP BY ALL)",
+        f"g0 AS (SELECT CAST(floor(CAST(sum(supply) AS DECIMAL(38, 0)) * {total_share}) AS DOUBLE) AS give FROM leaf)",
+    ]
+    for i, name in enumerate(names):
+        own, node = ", ".join(names[: i + 1]), ", ".join(names[:i])
+        every = f"PARTITION BY {node}" if node else ""
+        order = f"{every} ORDER BY room / w, {name} ROWS BETWEEN"
+        parts += [
+            f"r{i} AS (SELECT {own}, CAST(sum(supply) AS DOUBLE) * {max_epochs} AS room, CAST({weight if name == 'lang' else '1.0'} AS DOUBLE) AS w FROM leaf GROUP BY {own})",
+            f"f{i} AS (SELECT *, (give - coalesce(sum(room) OVER ({order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM r{i} " + (f"JOIN g{i} USING ({node}))" if node else f"CROSS JOIN g{i})"),
+            f"g{i + 1} AS (SELECT {own}, least(room, w * max(rate) OVER ({every})) AS give FROM f{i})",
+        ]
+    parts += [
+        "b AS (SELECT domain, lang, source, supply, CAST(floor(round(give, 6)) AS BIGINT) AS budget FROM leaf JOIN g3 USING (domain, lang, source))",
+        f"p AS (SELECT *, least(CASE WHEN supply > 0 THEN budget // supply ELSE 1 END, {max_epochs}) AS passes FROM b)",
+        f"q AS (SELECT *, CASE WHEN passes < {max_epochs} THEN budget - passes * supply ELSE 0 END AS rest FROM p)",
+        f"h AS (SELECT d.*, passes, rest, CAST('0x' || substr(md5(concat_ws(':', '{seed}', CAST(passes AS VARCHAR), CAST(doc_id AS VARCHAR))), 1, 15) AS BIGINT) AS place FROM d JOIN q USING (domain, lang, source))",
+        "t AS (SELECT *, passes + CASE WHEN rest > 0 AND sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id NULLS FIRST) <= rest THEN 1 ELSE 0 END AS taken FROM h)",
+    ]
+    shown = ", ".join(f"nullif({n}, chr(0)) AS {n}" for n in names)
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, {shown}, tokens, CAST(unnest(range(taken)) AS INTEGER) AS epoch FROM t"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_hamming": _OP2, "op4_warc": _OP4, "op6_chat": _OP6, "op10_near_duplicates": _OP10}
+    return {"op2_topk_hamming": _OP2, "op4_warc": _OP4, "op6_chat": _OP6, "op9_mixing": _mixture("0.9", 4, 1), "op10_near_duplicates": _OP10}
