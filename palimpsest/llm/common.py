@@ -46,6 +46,10 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def together(self, tables: list[DataFrame]) -> DataFrame:
+        """The union of written tables of one schema, by one scan."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[t._scratch_path for t in tables])
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for t in tables:

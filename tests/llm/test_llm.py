@@ -460,6 +460,31 @@ def test_quality_estimate_withstands_much_junk(spark):
     assert np.allclose(near.mean(0), mean)
 
 
+def test_quality_steps_spare_the_driver(spark, monkeypatch):
+    """A step is one job that sends its fits once, and reads vectors instead of joining rows and groups anew: the driver's memory holds every plan and broadcast."""
+    monkeypatch.setattr(quality, "STEPS", 2)
+    held = spark._jsparkSession.sharedState().statusStore()
+
+    def ran(work):
+        settle = spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty
+        settle()
+        first = held.executionsCount()
+        out = work()
+        settle()
+        plans = [held.executionsList(i, 1).apply(0) for i in range(first, held.executionsCount())]
+        return out, [x.physicalPlanDescription().split("Initial Plan")[0].split("\n\n\n")[0] for x in plans]
+
+    scratch = quality.Scratch(spark, "t")
+    stats = scratch.cut(quality._stats(spark.read.parquet(f"{SF}/documents.parquet")))
+    sent = lambda plan: len(re.findall(r"(?<!Reused)BroadcastExchange \(", plan))
+    (_, fit), plans = ran(lambda: quality.estimates(stats, scratch))
+    assert fit.count() > 1 and len(plans) <= 14 and sum(map(sent, plans)) <= 16
+    rows = spark.createDataFrame([("=a", "=b", *[1000 + i * i * (k + 3) % 997 for k in range(len(quality.FLOOR))]) for i in range(200)], "gl string, gs string, " + ", ".join(f"{k} long" for k in quality.FLOOR))
+    start = scratch.cut(quality._starts(rows, scratch).filter("gs like '%#0'").withColumn("gs", F.lit("=b")))
+    new, plans = ran(lambda: quality._step(scratch.cut(rows), start, scratch))
+    assert new.first()["moved"] and len(plans) == 2 and sum(map(sent, plans)) == 1
+
+
 def test_mixing_budgets_and_prefixes(spark, docs, empty):
     leaves = spark.createDataFrame([("a", "x", 100), ("a", "y", 10), ("b", "x", 1000), ("b", "z", 1000)], "l0 string, l1 string, supply long")
     got = {(r.l0, r.l1): r.budget for r in mixing.budgets(leaves, 2, {("a",): 3.0}, mixing.Fraction("0.5"), 1).collect()}
