@@ -1,9 +1,9 @@
 """A content-addressed WARC archive in two tables.
 
-``payloads`` holds every distinct payload once, deflated, under its SHA-256 digest and length; ``records`` holds the exact
-header bytes of every record. A record's bytes are its header and, for a response, its payload, joined by digest
-and verified against it on the way out. Of records with equal payloads that with the largest page_id is
-the response; the others are revisits that refer to it.
+``payloads`` holds every distinct payload once, deflated, under its SHA-256 digest and length, beside the exact header bytes
+of its response; ``records`` holds the header bytes of every record. A record's bytes are its header and, for a
+response, its payload, verified against its digest on the way out. Of records with equal payloads that with the largest page_id is
+the response; the others are revisits that refer to it. A payload is shuffled once, to meet the header that it is stored with.
 
 Defined results: null html is an empty payload; a null url is an omitted header; of rows with equal page_id and payload one is
 the response and the others revisit it; a null page_id is smaller than any other. A payload whose bytes no
@@ -25,6 +25,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
+#: Digests that a task remembers, to pass on each once; those that it forgets are told apart after the shuffle.
+SEEN = 1 << 18
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -46,10 +48,20 @@ def _mapped(column: pa.Array, each) -> pa.Array:
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``payload`` deflated, so that shuffles and the archive hold less."""
+    """``rows`` with ``payload`` deflated, so that shuffles and the archive hold less; of rows with one digest a task passes on the first."""
 
     def run(batches):
+        seen = set()
         for batch in batches:
+            fresh = []
+            for i, digest in enumerate(batch.column("digest").to_pylist()):
+                if (key := bytes.fromhex(digest)) not in seen:
+                    seen.add(key)
+                    fresh.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            if len(fresh) < batch.num_rows:
+                batch = batch.take(pa.array(fresh, pa.int64()))
             at = batch.schema.get_field_index("payload")
             yield batch.set_column(at, "payload", _mapped(batch.column(at), lambda x: zlib.compress(x, 6)))
 
@@ -85,13 +97,16 @@ def _record_id(page: Column, uid: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The written tables ``records`` (uid, digest, size, header) and ``payloads`` (digest, size, payload)."""
+    """The written tables ``records`` (uid, digest, size, holder, shared, header) and ``payloads`` (the same of its response, payload).
+
+    ``holder`` is the uid of the response with the payload; where ``shared`` holds, it is that of more responses too.
+    """
     body = _payload(F.col("html"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     keyed = rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
     index = scratch.cut(keyed.withColumn("uid", F.monotonically_increasing_id()))
     top = F.struct("page_id", "uid")
-    found = lookup_by_group(index, ["digest", "size"], {"first": F.max(top)}, scratch)
+    found = lookup_by_group(index, ["digest", "size"], {"first": F.max(top), "n": F.count("*")}, scratch)
     revisit = (F.col("uid") != F.col("first.uid")) & (F.col("size") >= least_bytes)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(CRLF + CRLF))
     length = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("size"))
@@ -109,14 +124,15 @@ def write_archive(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) -> t
         F.lit(CRLF),
         http,
     )
-    records = scratch.cut(found.select("uid", "digest", "size", F.col("first.uid").alias("holder"), header.alias("header")))
-    # The payload of each digest comes from the response's row.
-    holders = index.select("page_id", "digest", "uid").join(records.filter("uid = holder").select("uid"), "uid", "left_semi")
-    holders = holders.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"))
-    sized = rows.select("page_id", "payload", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"))
-    stored = _packed(sized).join(holders, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left_semi")
-    payloads = scratch.cut(stored.dropDuplicates(["page_id", "digest"]).select("digest", "size", "payload"))
-    return records, payloads
+    shared = (F.col("n") > 1) & (F.col("size") < least_bytes)
+    listed = scratch.cut(found.select("uid", "digest", "size", F.col("first.uid").alias("holder"), shared.alias("shared"), header.alias("header")))
+    scratch.drop(index)
+    # Equal digests are equal payloads, so any row's will do. As many copies meet the header as there are tasks, not rows.
+    moved = _packed(rows.select(F.sha2("payload", 256).alias("digest"), "payload"))
+    payloads = scratch.cut(moved.join(listed.filter("uid = holder"), "digest").dropDuplicates(["digest"]).select(*listed.columns, "payload"))
+    others = scratch.cut(listed.filter("uid != holder"))
+    scratch.drop(listed)
+    return others.union(payloads.select(*listed.columns)), payloads
 
 
 def _verified(payload: Column, digest: Column) -> Column:
@@ -127,7 +143,9 @@ def _verified(payload: Column, digest: Column) -> Column:
 def read_records(records: DataFrame, payloads: DataFrame) -> DataFrame:
     """uid, record: the exact bytes of every record; a revisit's block ends with its HTTP header."""
     revisit = F.col("header").contains("\r\nWARC-Type: revisit\r\n")
-    full = _unpacked(records.filter(~revisit).select("uid", "digest", "header").join(payloads.select("digest", "payload"), "digest"))
+    more = records.filter(~revisit & (F.col("uid") != F.col("holder"))).select("uid", "digest", "header")
+    more = more.join(payloads.filter("shared").select("digest", "payload"), "digest")
+    full = _unpacked(payloads.select("uid", "digest", "header", "payload").unionByName(more))
     full = full.withColumn("payload", _verified(F.col("payload"), F.col("digest")))
     full = full.select("uid", "digest", F.concat(F.encode("header", "UTF-8"), F.col("payload"), F.encode(F.lit(CRLF * 2), "UTF-8")).alias("record"))
     bare = records.filter(revisit).select("uid", "digest", F.encode(F.concat("header", F.lit(CRLF * 2)), "UTF-8").alias("record"))

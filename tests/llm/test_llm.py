@@ -601,6 +601,54 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def shuffled(spark, work):
+    """Bytes that the stages of ``work`` write to shuffles, and its result."""
+    sc = spark.sparkContext
+    context, jvm = sc._jsc.sc(), sc._jvm
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteBytes() for x in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    out = work()
+    return sum(n for i, n in stages().items() if i not in before), out
+
+
+@pytest.mark.parametrize("seen", [1, 1 << 18])
+def test_archive_moves_payloads_once(spark, monkeypatch, seen):
+    """A payload crosses one shuffle, and its copies stay behind; whatever a task remembers, and where small responses share a payload, rows and records are right."""
+    monkeypatch.setattr(warc, "SEEN", seen)
+    rng = random.Random(5)
+    texts = [rng.randbytes(15_000).hex() for _ in range(300)]
+    rows = [(i, f"u{i}", t) for i, t in enumerate(texts)] + [(1000 + i, "hot", texts[7]) for i in range(300)] + [(2000 + i, "small", "s") for i in range(20)]
+    rng.shuffle(rows)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.execution.arrow.maxRecordsPerBatch": "40"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        pages = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "page_id long, url string, html string")
+        moved, got = shuffled(spark, lambda: warc.round_trip(pages, least_bytes=10).collect())
+        records, payloads = warc.write_archive(pages, warc.Scratch(spark, "t"), 10)
+        stored, known = payloads.select("digest", "payload").collect(), records.count()
+        whole = [bytes(r.record) for r in warc.read_records(records, payloads).collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    top = {}
+    for page, _, t in rows:
+        top[t] = max(page, top.get(t, -1))
+    want = {page: (len(t), "revisit" if len(t) >= 10 and page != top[t] else "response", top[t] if len(t) >= 10 and page != top[t] else None) for page, _, t in rows}
+    assert {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in got} == want and len(got) == len(rows)
+    assert sorted(zlib.decompress(bytes(r.payload)).decode() for r in stored) == sorted({t for _, _, t in rows})
+    assert known == len(whole) == len(rows)
+    assert sum(x.endswith(b"\r\n\r\ns\r\n\r\n") for x in whole) == 20
+    if seen > 1:
+        assert moved < 1.5 * sum(len(r.payload) for r in stored), moved
+
+
 def test_chat(spark):
     rng = random.Random(3)
     bits = ["<", "|", "turn", "|>", "\\", "</s>", "[INST]", "[", "/INST]", "n", "\n", "<|end|>", "é", "s>", "<s>", "🙂"]
